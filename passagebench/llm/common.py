@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -57,3 +58,21 @@ def shards(spark: SparkSession) -> int:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def grouped(f, **fixed):
+    """A function for applyInArrow over one group, with its other arguments fixed."""
+
+    def call(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return f(key, table, **fixed)
+
+    return call
+
+
+def cogrouped(f, **fixed):
+    """A function for applyInArrow over a pair of groups, with its other arguments fixed."""
+
+    def call(key, left, right):
+        return f(key, left, right, **fixed)
+
+    return call

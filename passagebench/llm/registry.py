@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination
+from . import decontamination, ngram_join
 
 QUERIES = {
+    "op7_ngram_jaccard_join": ngram_join.op7_ngram_jaccard_join,
     "op10_benchmark_decontamination": decontamination.op10_benchmark_decontamination,
 }
 ORACLE_SQL = {
+    "op7_ngram_jaccard_join": ngram_join.OP7_SQL,
     "op10_benchmark_decontamination": decontamination.OP10_SQL,
 }
