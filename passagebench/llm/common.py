@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parents[2]
 #: A table is sent to every task only when it is known to be at most so large; beyond that it is joined by key.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 32 << 20
 _shipped: set[str] = set()
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontamination, ngram_join
+from . import bpe, decontamination, fingerprints, line_dedup, ngram_join
 
 QUERIES = {
+    "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
+    "op8_bpe": bpe.op8_bpe,
     "op7_ngram_jaccard_join": ngram_join.op7_ngram_jaccard_join,
     "op10_benchmark_decontamination": decontamination.op10_benchmark_decontamination,
 }
 ORACLE_SQL = {
+    "op4_line_dedup": line_dedup.OP4_SQL,
     "op7_ngram_jaccard_join": ngram_join.OP7_SQL,
     "op10_benchmark_decontamination": decontamination.OP10_SQL,
 }
