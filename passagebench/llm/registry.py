@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, fingerprints, line_dedup, ngram_join
+from . import bpe, decontamination, fingerprints, line_dedup, ngram_join, substring_dedup
 
 QUERIES = {
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
     "op8_bpe": bpe.op8_bpe,
