@@ -15,6 +15,7 @@ ROOT = Path(__file__).resolve().parents[2]
 #: A table is sent to every task only when it is known to be at most so large; beyond that it is joined by key.
 BROADCAST_BYTES = 32 << 20
 _shipped: set[str] = set()
+_local: dict[str, str] = {}
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -24,8 +25,11 @@ def work_folder(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = tempfile.mkdtemp(prefix="passagebench-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = tempfile.mkdtemp(prefix="passagebench-")
+            spark.sparkContext.setCheckpointDir(_local[app])
+        base = _local[app]
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 

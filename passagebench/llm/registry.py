@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, fingerprints, line_dedup, ngram_join, substring_dedup
+from . import bpe, chat, decontamination, fingerprints, line_dedup, ngram_join, substring_dedup
 
 QUERIES = {
+    "op5_chat_formatting": chat.op5_chat_formatting,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
@@ -13,6 +14,7 @@ QUERIES = {
     "op10_benchmark_decontamination": decontamination.op10_benchmark_decontamination,
 }
 ORACLE_SQL = {
+    "op5_chat_formatting": chat.OP5_SQL,
     "op4_line_dedup": line_dedup.OP4_SQL,
     "op7_ngram_jaccard_join": ngram_join.OP7_SQL,
     "op10_benchmark_decontamination": decontamination.OP10_SQL,
