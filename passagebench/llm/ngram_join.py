@@ -12,7 +12,7 @@
 6. verify    The sets of the surviving classes are made again from their texts and intersected exactly.
 7. degrees and components  Cells emit link counts per class and a spanning forest, never all pairs of documents.
 
-Token hashes have 64 bits. Nothing is approximate: bitmaps and bounds only drop pairs that can't be linked.
+Token hashes and class names have 64 bits, 48 when two sets are intersected. Nothing is approximate: bitmaps and bounds only drop pairs that can't be linked.
 
 Defined cases: null and empty texts have the empty set, no link, and their own doc_id as component; a text of one or two
 words has its whole sequence as the one member; repeated rows are copies of one another and link; null doc_ids are ignored
@@ -21,6 +21,7 @@ when the smallest doc_id is taken; extra columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -42,15 +43,18 @@ FOREST_EDGES = 2_000_000
 
 
 def set_key(s: np.ndarray) -> int:
+    """A set's 64-bit name: 24 bits of its least token, so that like sets lie together, and 40 of all its tokens."""
+    if not len(s):
+        return 0
     with np.errstate(over="ignore"):
         x = K.mix(s ^ K.U(0xA24BAED4963EE407))
-        both = np.array([x.sum(dtype=K.U) + K.U(len(s)), np.bitwise_xor.reduce(K.mix(x + K.U(0x9FB21C651E98DF25)))], K.U) if len(s) else np.zeros(2, K.U)
-        return int(K.mix(both[:1] * K.U(0xD6E8FEB86659FD93) + both[1:])[0].view(np.int64))
+        both = np.array([x.sum(dtype=K.U) + K.U(len(s)), np.bitwise_xor.reduce(K.mix(x + K.U(0x9FB21C651E98DF25)))], K.U)
+        return int((K.mix(both[:1] * K.U(0xD6E8FEB86659FD93) + both[1:]) >> K.U(24) | K.mix(x.min(keepdims=True)) >> K.U(40) << K.U(40))[0].view(np.int64))
 
 
 def bitmap_bits(n: int) -> int:
-    """A power of two of at least 2 n bits, 64 at least."""
-    return max(64, 1 << (2 * n - 1).bit_length()) if n else 64
+    """A power of two of at least n bits, 64 at least."""
+    return max(64, 1 << (n - 1).bit_length()) if n else 64
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -155,20 +159,46 @@ def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def _pair_rows(a: np.ndarray, b: np.ndarray, keys: np.ndarray, sizes: np.ndarray, blocks: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Pairs of class indices by cell of the grid, in each the class of the lower block first."""
-    block = (K.mix(keys.view(K.U)) % K.U(blocks)).astype(np.int64)
-    swap = (block[a] > block[b]) | ((block[a] == block[b]) & ((keys[a] > keys[b]) | ((keys[a] == keys[b]) & (sizes[a] > sizes[b]))))
-    a, b = np.where(swap, b, a), np.where(swap, a, b)
-    cell = (block[a] << 32) | block[b]
+def _blocks(keys: np.ndarray, blocks: int, splits: dict[int, int]) -> np.ndarray:
+    """The block of each class: like sets share one, unless their group is so large that it has several."""
+    k = keys.view(K.U)
+    near = (k >> K.U(40)).astype(np.int64)
+    block = K.mix(near.astype(K.U))
+    if splits:
+        names = np.array(sorted(splits), np.int64)
+        at = np.flatnonzero(K.isin_sorted(near, names))
+        with np.errstate(over="ignore"):
+            block[at] += K.mix(k[at]) % np.array([splits[x] for x in near[at].tolist()], K.U)
+    return (block % K.U(blocks)).astype(np.int64)
+
+
+PAIR_TYPE = "cell long, k binary, n binary, code binary"
+
+
+def _pair_rows(a: np.ndarray, b: np.ndarray, keys: np.ndarray, sizes: np.ndarray, blocks: int, splits: dict[int, int]) -> pa.RecordBatch:
+    """Pairs of class indices by cell of the grid: the cell's classes, and its distinct pairs as packed differences."""
+    block = _blocks(keys, blocks, splits)
+    x, y = np.minimum(block[a], block[b]), np.maximum(block[a], block[b])
+    cell = (x << 32) | y
     o = np.argsort(cell, kind="stable")
     a, b, cell = a[o], b[o], cell[o]
     cuts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]])) if len(cell) else []
+    rows = []
     for x, y in zip(cuts[:-1], cuts[1:]):
-        yield int(cell[x]), a[x:y], b[x:y]
+        own, index = np.unique(np.concatenate([a[x:y], b[x:y]]), return_inverse=True)
+        i, j = index[: y - x], index[y - x :]
+        code = np.unique(np.minimum(i, j) * len(own) + np.maximum(i, j))
+        rows.append((int(cell[x]), keys[own].tobytes(), sizes[own].astype(np.uint32).tobytes(), zlib.compress(np.diff(code, prepend=0).tobytes(), 1)))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64())] + [pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)], names=["cell", "k", "n", "code"])
+
 
+def _unpacked(k: bytes, n: bytes, code: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and sizes of the classes, and the pairs as indices into them."""
+    keys, c = np.frombuffer(k, np.int64), np.cumsum(np.frombuffer(zlib.decompress(code), np.int64))
+    return keys, np.frombuffer(n, np.uint32).astype(np.int64), c // max(1, len(keys)), c % max(1, len(keys))
 
-def _candidates(key: tuple, table: pa.Table, blocks: int, percent: int) -> pa.Table:
+
+def _candidates(key: tuple, table: pa.Table, blocks: int, splits: dict[int, int], percent: int) -> pa.Table:
     t, k, n = _joined(table["t"], K.U), _joined(table["k"], np.int64), _joined(table["n"], np.uint32)
     o = np.argsort(t, kind="stable")
     same = np.zeros(len(t) + 1, bool)
@@ -180,9 +210,8 @@ def _candidates(key: tuple, table: pa.Table, blocks: int, percent: int) -> pa.Ta
     fresh[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1]) | (n[1:] != n[:-1])
     t, k, n = t[fresh], k[fresh], n[fresh]
     group = np.cumsum(np.concatenate([[0], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
-    rows = np.rec.fromarrays([k, n])
-    classes, index = np.unique(rows, return_inverse=True)
-    keys, sizes = np.ascontiguousarray(classes["f0"]), np.ascontiguousarray(classes["f1"])
+    keys, some, index = np.unique(k, return_index=True, return_inverse=True)
+    sizes = n[some]
     place = (group << 32) | n
     most = np.searchsorted(place, (group << 32) | np.minimum(n * 100 // percent, 2**32 - 1), "right") - np.arange(len(t)) - 1
     sums, found, begin = np.cumsum(most), [], 0
@@ -192,37 +221,49 @@ def _candidates(key: tuple, table: pa.Table, blocks: int, percent: int) -> pa.Ta
         i = np.repeat(np.arange(begin, end), m)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
         x, y = index[i].astype(np.int64), index[j].astype(np.int64)
-        found.append(np.unique(np.minimum(x, y) * len(classes) + np.maximum(x, y)))
+        found.append(np.unique(np.minimum(x, y) * len(keys) + np.maximum(x, y)))
         if sum(map(len, found)) > 4 * PAIRS:
             found = [np.unique(np.concatenate(found))]
         begin = end
     code = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    out = list(_pair_rows(code // max(1, len(classes)), code % max(1, len(classes)), keys, sizes, blocks))
-    cols = [[x[a].tobytes() for _, a, _ in out] for x in (keys, sizes)] + [[x[b].tobytes() for _, _, b in out] for x in (keys, sizes)]
-    return pa.table([pa.array([c for c, _, _ in out], pa.int64())] + [pa.array(c, pa.binary()) for c in cols], names=["cell", "ak", "an", "bk", "bn"])
+    return pa.Table.from_batches([_pair_rows(code // max(1, len(keys)), code % max(1, len(keys)), keys, sizes, blocks, splits)])
 
 
-PAIR_TYPE = "cell long, ak binary, an binary, bk binary, bn binary"
+def _needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The classes that are needed in each cell, once per task or flush."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
+    def flush() -> pa.RecordBatch:
+        cell, key = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.int64),) * 2
+        held.clear()
+        o = np.lexsort((key, cell))
+        cell, key = cell[o], key[o]
+        new = np.ones(len(o), bool)
+        new[1:] = (cell[1:] != cell[:-1]) | (key[1:] != key[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(cell[new]), pa.array(key[new])], names=["cell", "key"])
 
-def _needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The classes that each row of pairs needs in its cell."""
     for batch in batches:
-        for c, *blobs in zip(*(x.to_pylist() for x in batch.columns)):
-            ak, an, bk, bn = (np.frombuffer(x, np.int64) for x in blobs)
-            both = np.unique(np.rec.fromarrays([np.concatenate([ak, bk]), np.concatenate([an, bn])]))
-            yield pa.RecordBatch.from_arrays([pa.array([c] * len(both), pa.int64()), pa.array(np.ascontiguousarray(both["f0"])), pa.array(np.ascontiguousarray(both["f1"]))], names=["cell", "key", "n"])
+        for c, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            held.append((np.full(len(k) // 8, c, np.int64), np.frombuffer(k, np.int64)))
+        if sum(len(x) for x, _ in held) > PAIRS:
+            yield flush()
+    yield flush()
 
 
 def _cell_pairs(pairs: pa.Table, classes: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs of a cell as indices into its classes, ordered by size and key; the classes' keys, sizes, row numbers."""
-    rows = np.rec.fromarrays([classes["n"].to_numpy(), classes["key"].to_numpy()])
-    known, row = np.unique(rows, return_index=True)
-    ids = []
-    for k, n in (("ak", "an"), ("bk", "bn")):
-        ids.append(np.searchsorted(known, np.rec.fromarrays([_joined(pairs[n], np.int64), _joined(pairs[k], np.int64)])))
-    code = np.unique(ids[0] * max(1, len(known)) + ids[1])
-    return code // max(1, len(known)), code % max(1, len(known)), np.ascontiguousarray(known["f1"]), np.ascontiguousarray(known["f0"]), row
+    key, row = np.unique(classes["key"].to_numpy(), return_index=True)
+    size = classes["n"].to_numpy()[row]
+    order = np.lexsort((key, size))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    found = []
+    for blobs in zip(*(pairs[c].to_pylist() for c in ("k", "n", "code"))):
+        keys, _, a, b = _unpacked(*blobs)
+        at = place[np.searchsorted(key, keys)]
+        found.append(np.unique(np.minimum(at[a], at[b]) * len(key) + np.maximum(at[a], at[b])))
+    code = np.unique(np.concatenate(found))
+    return code // len(key), code % len(key), key[order], size[order], row[order]
 
 
 def _fold(maps: list[np.ndarray], words: int) -> np.ndarray:
@@ -282,26 +323,29 @@ def prune(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray
 
 
 def _trees(key: tuple, pairs: pa.Table, classes: pa.Table, percent: int) -> pa.Table:
-    out: list[list] = [[], [], [], [], []]
-    if pairs.num_rows and classes.num_rows:
-        a, b, keys, sizes, row = _cell_pairs(pairs, classes)
-        blobs = classes["bits"].take(pa.array(row)).to_pylist()
-        keep = prune(a, b, sizes, [np.frombuffer(x, K.U) for x in blobs], percent)
-        a, b = a[keep], b[keep]
-        if len(a):
-            out = [[key[0].as_py()], [keys[a].tobytes()], [sizes[a].tobytes()], [keys[b].tobytes()], [sizes[b].tobytes()]]
-    return pa.table([pa.array(out[0], pa.int64())] + [pa.array(x, pa.binary()) for x in out[1:]], names=["cell", "ak", "an", "bk", "bn"])
+    none = pa.table([pa.array([], pa.int64())] + [pa.array([], pa.binary())] * 3, names=["cell", "k", "n", "code"])
+    if not pairs.num_rows or not classes.num_rows:
+        return none
+    a, b, keys, sizes, row = _cell_pairs(pairs, classes)
+    keep = prune(a, b, sizes, [np.frombuffer(x, K.U) for x in classes["bits"].take(pa.array(row)).to_pylist()], percent)
+    return pa.Table.from_batches([_pair_rows(a[keep], b[keep], keys, sizes, 1, {})]) if keep.any() else none
 
 
-def _regrid(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
+def _regrid(batches: Iterator[pa.RecordBatch], blocks: int, splits: dict[int, int]) -> Iterator[pa.RecordBatch]:
     """Pairs by the cells of another grid."""
     for batch in batches:
-        for _, *blobs in zip(*(x.to_pylist() for x in batch.columns)):
-            ak, an, bk, bn = (np.frombuffer(x, np.int64) for x in blobs)
-            keys, sizes, m = np.concatenate([ak, bk]), np.concatenate([an, bn]), len(ak)
-            out = list(_pair_rows(np.arange(m), np.arange(m, 2 * m), keys, sizes, blocks))
-            cols = [[x[a].tobytes() for _, a, _ in out] for x in (keys, sizes)] + [[x[b].tobytes() for _, _, b in out] for x in (keys, sizes)]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in out], pa.int64())] + [pa.array(c, pa.binary()) for c in cols], names=["cell", "ak", "an", "bk", "bn"])
+        for blobs in zip(*(x.to_pylist() for x in batch.columns[1:])):
+            keys, sizes, a, b = _unpacked(*blobs)
+            yield _pair_rows(a, b, keys, sizes, blocks, splits)
+
+
+def packed(s: np.ndarray) -> bytes:
+    """A sorted set by the upper 48 bits of its tokens."""
+    return np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    return np.pad(np.frombuffer(x, np.uint8).reshape(-1, 6), ((0, 0), (2, 0))).reshape(-1).view(K.U)
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +356,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s, key, many, to in zip(_sets(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if set_key(s) == key:  # else another text under the same doc_id
                     for c in to:
-                        cells.append(c), keys.append(key), copies.append(many), n.append(len(s)), blobs.append(s.tobytes())
+                        cells.append(c), keys.append(key), copies.append(many), n.append(len(s)), blobs.append(packed(s))
             yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(keys, pa.int64()), pa.array(copies, pa.int64()), pa.array(n, pa.int64()), pa.array(blobs, pa.binary())], names=["cell", "key", "copies", "n", "tokens"])
 
 
@@ -333,11 +377,11 @@ def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def _verify(key: tuple, pairs: pa.Table, classes: pa.Table, percent: int) -> pa.Table:
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
     if pairs.num_rows and classes.num_rows:
         a, b, keys, sizes, row = _cell_pairs(pairs, classes)
         copies = classes["copies"].to_numpy()[row]
-        sets = [np.frombuffer(x, K.U) for x in classes["tokens"].take(pa.array(row)).to_pylist()]
+        sets = [unpacked(x) for x in classes["tokens"].take(pa.array(row)).to_pylist()]
         need, linked = _least(sizes[a], sizes[b], percent), np.zeros(len(a), bool)
         for i, (x, y, least) in enumerate(zip(a.tolist(), b.tolist(), need.tolist())):
             s, t = (sets[x], sets[y]) if len(sets[x]) <= len(sets[y]) else (sets[y], sets[x])
@@ -347,8 +391,8 @@ def _verify(key: tuple, pairs: pa.Table, classes: pa.Table, percent: int) -> pa.
         degree = np.bincount(a, copies[b], len(keys)) + np.bincount(b, copies[a], len(keys))
         root = spanning(a, b, len(keys))
         own = np.flatnonzero(degree > 0)
-        out = [keys[own], sizes[own], degree[own].astype(np.int64), keys[root[own]]]
-    return pa.table([pa.array(x, pa.int64()) for x in out], names=["key", "n", "links", "root"])
+        out = [keys[own], degree[own].astype(np.int64), keys[root[own]]]
+    return pa.table([pa.array(x, pa.int64()) for x in out], names=["key", "links", "root"])
 
 
 def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,6 +427,14 @@ def components(edges: DataFrame, folder: str, bound: int = FOREST_EDGES) -> Data
     return spark.read.parquet(f"{folder}/edges-{k}").select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select("b", "b").distinct()).groupBy("node").agg(F.min("label").alias("label"))
 
 
+def _grid(sizes: DataFrame) -> tuple[int, dict[int, int]]:
+    """How many blocks hold all classes of (key, size), and into how many the groups of like sets that exceed one are split."""
+    near = F.expr("shiftrightunsigned(key, 40)")
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    large = sizes.groupBy(near.alias("near")).agg(F.sum("size").alias("size")).where(F.col("size") > CELL_BYTES).collect() if total > CELL_BYTES else []
+    return max(1, -(-total // CELL_BYTES)), {r[0]: -(-r[1] // CELL_BYTES) for r in large}
+
+
 def similar(docs: DataFrame, percent: int = 70) -> DataFrame:
     """Per document: doc_id, n_shingles, n_similar, component_id."""
     spark = docs.sparkSession
@@ -393,42 +445,40 @@ def similar(docs: DataFrame, percent: int = 70) -> DataFrame:
     profile = common.stored(texts.mapInArrow(_profile, f"kind int, doc_id {kind}, n long, key long, bits binary"), folder, "profile")
     sets = profile.where("kind = 0").select("doc_id", "n", "key")
     classes = common.stored(
-        profile.where("kind = 0 AND n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("bits").alias("bits")), folder, "classes"
+        profile.where("kind = 0 AND n > 0").groupBy("key").agg(F.first("n").alias("n"), F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("bits").alias("bits")), folder, "classes"
     )
     hot = profile.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "key").limit(FREQUENT_MOST).collect()
     token, count = np.array([r[0] for r in hot], np.int64).view(K.U), np.array([r[1] for r in hot], np.int64)
     order = np.argsort(token)
     rank = np.empty(len(count), np.int32)
     rank[np.lexsort((token, count))] = np.arange(len(count))
-    sizes = classes.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
-    blocks = max(1, -(-sizes // CELL_BYTES))
+    blocks, splits = _grid(classes.select("key", F.length("bits").alias("size")))
     postings = texts.select("text").mapInArrow(partial(_postings, parts=2 * parts, frequent=token[order].tobytes(), order=rank[order].tobytes(), percent=percent), "part int, t binary, k binary, n binary")
-    pairs = common.stored(postings.groupBy("part").applyInArrow(common.grouped(_candidates, blocks=blocks, percent=percent), PAIR_TYPE), folder, "pairs")
+    pairs = common.stored(postings.groupBy("part").applyInArrow(common.grouped(_candidates, blocks=blocks, splits=splits, percent=percent), PAIR_TYPE), folder, "pairs")
 
-    needs = pairs.mapInArrow(_needs, "cell long, key long, n long").distinct()
-    with_bits = needs.join(classes.select("key", "n", "bits"), ["key", "n"])
+    needs = pairs.mapInArrow(_needs, "cell long, key long").distinct()
+    with_bits = needs.join(classes.select("key", "n", "bits"), "key")
     alive = common.stored(pairs.groupBy("cell").cogroup(with_bits.groupBy("cell")).applyInArrow(common.cogrouped(_trees, percent=percent), PAIR_TYPE), folder, "alive")
 
-    wanted = alive.mapInArrow(_needs, "cell long, key long, n long").select("key", "n").distinct().join(classes.select("key", "n", "copies", "first"), ["key", "n"])
+    wanted = alive.mapInArrow(_needs, "cell long, key long").select("key").distinct().join(classes.select("key", "n", "copies", "first"), "key")
     wanted = common.stored(wanted, folder, "wanted")
-    many, volume = wanted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    blocks = max(1, -(-8 * volume // CELL_BYTES))
-    linked = common.stored(alive.mapInArrow(partial(_regrid, blocks=blocks), PAIR_TYPE), folder, "linked")
-    cells = linked.mapInArrow(_needs, "cell long, key long, n long").groupBy("key", "n").agg(F.collect_set("cell").alias("cells"))
-    wanted = common.stored(wanted.join(cells, ["key", "n"]).select("first", "key", "copies", "cells"), folder, "wanted-cells")
-    size = wanted.agg(F.coalesce(F.sum(F.size("cells")), F.lit(0))).first()[0] * 8 + many * 64
-    side = F.broadcast(wanted) if size <= common.BROADCAST_BYTES else wanted
+    blocks, splits = _grid(wanted.select("key", (F.col("n") * 6).alias("size")))
+    linked = common.stored(alive.mapInArrow(partial(_regrid, blocks=blocks, splits=splits), PAIR_TYPE), folder, "linked")
+    cells = linked.mapInArrow(_needs, "cell long, key long").groupBy("key").agg(F.collect_set("cell").alias("cells"))
+    wanted = common.stored(wanted.join(cells, "key").select("first", "key", "copies", "cells"), folder, "wanted-cells")
+    many, places = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("cells")), F.lit(0))).first()
+    side = F.broadcast(wanted) if places * 8 + many * 64 <= common.BROADCAST_BYTES else wanted
     members = texts.join(side, texts["doc_id"].eqNullSafe(side["first"])).select("text", "key", "copies", "cells").mapInArrow(_members, "cell long, key long, copies long, n long, tokens binary")
-    links = common.stored(linked.groupBy("cell").cogroup(members.groupBy("cell")).applyInArrow(common.cogrouped(_verify, percent=percent), "key long, n long, links long, root long"), folder, "links")
+    links = common.stored(linked.groupBy("cell").cogroup(members.groupBy("cell")).applyInArrow(common.cogrouped(_verify, percent=percent), "key long, links long, root long"), folder, "links")
 
     labels = components(links.select(F.col("key").alias("a"), F.col("root").alias("b")), folder)
-    grouped = links.groupBy("key", "n").agg(F.sum("links").alias("links")).join(labels.withColumnRenamed("node", "key"), "key", "left")
-    known = classes.select("key", "n", "first", "copies").join(grouped, ["key", "n"], "left").withColumn("label", F.coalesce("label", "key"))
+    grouped = links.groupBy("key").agg(F.sum("links").alias("links")).join(labels.withColumnRenamed("node", "key"), "key", "left")
+    known = classes.select("key", "n", "first", "copies").join(grouped, "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = known.where("links IS NOT NULL").groupBy("label").agg(F.min("first").alias("least"))
     known = known.join(least, "label", "left")
     result = known.select("key", "n", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"), F.least("least", "first").alias("component_id"))
     result = common.stored(result.where("n_similar > 0"), folder, "result")
-    return sets.join(result, ["key", "n"], "left").select(
+    return sets.join(result.drop("n"), "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0).cast("long")).alias("n_similar"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
