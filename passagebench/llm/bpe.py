@@ -162,8 +162,6 @@ class Bpe:
         """Encode new words: all proposals are verified at once."""
         if not words:
             return
-        if len(self.words) > WORDS_KEPT:
-            self.words.clear()
         guesses = [self.propose(w) for w in words]
         n = np.array([len(g) for g in guesses])
         flat = np.fromiter((t for g in guesses for t in g), np.int64, int(n.sum()))
@@ -180,6 +178,8 @@ class Bpe:
             self.words[w] = self.merge(w) if wrong else tuple(g)
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[bytes]]:
+        if len(self.words) > WORDS_KEPT:
+            self.words.clear()
         split = [[w.encode() for w in self.pattern.findall(p.decode())] for p in pieces]
         self.learn(list({w for ws in split for w in ws if w not in self.words}))
         return split
