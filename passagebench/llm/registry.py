@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontamination, fingerprints, line_dedup, ngram_join, substring_dedup
+from . import bpe, chat, decontamination, fingerprints, line_dedup, ngram_join, substring_dedup, toxicity, url_filter
 
 QUERIES = {
+    "op6_url_filter": url_filter.op6_url_filter,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op4_line_dedup": line_dedup.op4_line_dedup,
