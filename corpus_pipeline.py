@@ -1,15 +1,65 @@
-"""A cleaning pipeline over `documents`; each stage reads what the one before it wrote."""
+"""A cleaning pipeline over `documents`: each stage reads the Parquet files that the one before it wrote.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `documents`, and what
+they drop is gone for the stages after them. The last returns one row per document that is left.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from passagebench.llm import bpe, common, decontamination, line_dedup, ngram_join, quality
+
+
+def accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the co-trained quality classifier keeps."""
+    return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the lines that ten or more documents have; n_chars follows the text."""
+    kept = line_dedup.LineIndex(spark, 10).insert(docs).apply(docs)
+    return kept.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that links of similarity connect, the one with the smallest doc_id."""
+    groups = common.stored(ngram_join.similar(docs), common.work_folder(spark), "groups")
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    # 16 bytes a row, with the table's own overhead
+    side = F.broadcast(gone) if gone.count() * 32 <= common.BROADCAST_BYTES else gone
+    return docs.join(side, F.col("doc_id") == F.col("gone_id"), "left_anti")
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in which no window of the benchmark occurs."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document that is left."""
+    import public_tokenizers
+
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", accepted),
+    ("line dedup", without_repeated_lines),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("benchmark decontamination", uncontaminated),
+    ("BPE encoding", encoded),
+]
+#: The classifier and the tokenizer can't be expressed in SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = common.work_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = common.stored(docs, folder, f"stage-{i + 1}")
     return docs

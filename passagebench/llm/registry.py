@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontamination, fingerprints, line_dedup, ngram_join, substring_dedup, toxicity, url_filter
+from . import bpe, chat, decontamination, fingerprints, line_dedup, ngram_join, quality, substring_dedup, toxicity, url_filter
 
 QUERIES = {
+    "op3_quality_classifier": quality.op3_quality_classifier,
     "op6_url_filter": url_filter.op6_url_filter,
     "op9_toxicity": toxicity.op9_toxicity,
     "op5_chat_formatting": chat.op5_chat_formatting,
