@@ -162,10 +162,8 @@ def without_repeats(docs: DataFrame, counts: bool = False) -> DataFrame:
     found = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(partial(_spread, parts=2 * common.shards(spark)), "part int, open boolean, h binary, doc binary, code binary")
     later = found.groupBy("part").applyInArrow(common.grouped(_decide), "span_doc long, codes binary")
     later = common.stored(later.groupBy("span_doc").agg(F.collect_list("codes").alias("span_codes")), folder, "later")
-    n, volume = later.agg(F.count("*"), F.coalesce(F.sum(F.aggregate("span_codes", F.lit(0), lambda a, x: a + F.length(x) + 16)), F.lit(0))).first()
-    side = F.broadcast(later) if volume + 48 * n <= common.BROADCAST_BYTES else later
     keyed = docs.withColumn("span_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    joined = keyed.join(side, keyed["span_key"] == side["span_doc"], "left").select(*[keyed[c] for c in docs.columns], side["span_codes"])
+    joined = keyed.join(later.hint("merge"), keyed["span_key"] == later["span_doc"], "left").select(*[keyed[c] for c in docs.columns], later["span_codes"])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + (", n_sentences long, n_removed long" if counts else "")
     return joined.mapInArrow(partial(_remove, text_at=docs.columns.index("text"), counts=counts), schema)
 
