@@ -27,7 +27,7 @@ from . import common, kernels as K
 
 _SPACES = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACES}\p{{L}}\p{{N}}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
-WORDS_KEPT, PIECES_KEPT = 400_000, 600_000
+WORDS_KEPT, PIECES_KEPT = 200_000, 300_000
 SLICE = 2 << 20
 
 
@@ -220,6 +220,11 @@ class Bpe:
         total = np.concatenate([[0], np.cumsum(n)])
         return self.pieces[index], total[np.searchsorted(start, offsets)]
 
+    def forget(self) -> None:
+        """Empty the caches; the vocabulary stays."""
+        self.words.clear()
+        self.piece_hash, self.piece_at, self.piece_n, self.pieces = np.zeros(0, K.U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text."""
         parts: list[str] = []
@@ -281,6 +286,7 @@ def _load(path: str) -> Bpe:
     return Bpe(path)
 
 
+@common.lean
 def _tokenize(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     bpe = _load(path)
     for batch in batches:
@@ -292,15 +298,19 @@ def _tokenize(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Recor
             ],
             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
         )
+    bpe.forget()
 
 
+@common.lean
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     bpe = _load(path)
     for batch in batches:
         ids = bpe.encode(batch.column(1).to_pylist())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+    bpe.forget()
 
 
+@common.lean
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     bpe = _load(path)
     for batch in batches:

@@ -155,6 +155,7 @@ def _rows(found: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(types)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
 
+@common.lean
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now: _Digest | None = None
     kind = pa.int64()
@@ -171,6 +172,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows([now.row()], kind)
 
 
+@common.lean
 def _format(batches: Iterator[pa.RecordBatch], options: dict) -> Iterator[pa.RecordBatch]:
     """One row per turn; state is carried over a conversation's turns."""
     now: tuple[object, Flattener] | None = None

@@ -119,6 +119,7 @@ def _scan(texts: pa.Array, path: str, blocks: int, window: int) -> Iterator[tupl
         yield h, rows, at, which, tests
 
 
+@common.lean
 def _summary(batches: Iterator[pa.RecordBatch], path: str, blocks: int, window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text, items = batch.column(1), [set() for _ in range(batch.num_rows)]
@@ -147,6 +148,7 @@ def _summary(batches: Iterator[pa.RecordBatch], path: str, blocks: int, window:
         )
 
 
+@common.lean
 def _matches(batches: Iterator[pa.RecordBatch], path: str, blocks: int, window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, rows, at, which, tests in _scan(batch.column(1), path, blocks, window):
@@ -167,6 +169,7 @@ def _matches(batches: Iterator[pa.RecordBatch], path: str, blocks: int, window:
             )
 
 
+@common.lean
 def _clean(batches: Iterator[pa.RecordBatch], path: str, blocks: int, window: int, text_at: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = np.ones(batch.num_rows, bool)

@@ -118,6 +118,7 @@ class CuckooFilter:
                     break
 
 
+@common.lean
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in _pieces(whole, 0):
@@ -218,6 +219,7 @@ def _result(batch: pa.RecordBatch, text_at: int, gone_of, digest: bool) -> pa.Re
     return pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
 
+@common.lean
 def _apply_here(batches: Iterator[pa.RecordBatch], filters: str, repeated: str, shards: int, text_at: int, digest: bool) -> Iterator[pa.RecordBatch]:
     table, exact = _load_filters(filters, shards), _load_repeated(repeated)
 
@@ -235,6 +237,7 @@ def _apply_here(batches: Iterator[pa.RecordBatch], filters: str, repeated: str,
             yield _result(batch, text_at, gone_of, digest)
 
 
+@common.lean
 def _emit_suspects(batches: Iterator[pa.RecordBatch], filters: str | None, shards: int) -> Iterator[pa.RecordBatch]:
     table = _load_filters(filters, shards) if filters else None
     for whole in batches:
@@ -247,6 +250,7 @@ def _emit_suspects(batches: Iterator[pa.RecordBatch], filters: str | None, shard
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(at - rows[row], pa.int64()), pa.array(a[at].view(np.int64)), pa.array(b[at].view(np.int64))], names=["row_key", "line", "a", "b"])
 
 
+@common.lean
 def _apply_lists(batches: Iterator[pa.RecordBatch], text_at: int, digest: bool) -> Iterator[pa.RecordBatch]:
     """The last column lists the lines to drop."""
     for batch in batches:

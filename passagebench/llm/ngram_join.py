@@ -78,6 +78,7 @@ def _pieces(batch: pa.RecordBatch, at: int, most: int = 4 << 20) -> Iterator[pa.
         begin = end
 
 
+@common.lean
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["kind", "doc_id", "n", "key", "bits"]
     tokens, counts, held = np.zeros(0, K.U), np.zeros(0, np.int64), []
@@ -103,8 +104,8 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if sets:
                 t, c = np.unique(np.concatenate(sets), return_counts=True)
                 held.append((t, c))
-            if sum(len(t) for t, _ in held) > FLUSH * 10:
-                merge(1 if len(tokens) < FLUSH * 10 else 2)
+            if sum(len(t) for t, _ in held) > FLUSH * 4:
+                merge(1 if len(tokens) < FLUSH * 4 else 2)
     merge(2)
     for k in range(0, len(tokens), 100_000):
         t, c = tokens[k : k + 100_000], counts[k : k + 100_000]
@@ -124,6 +125,7 @@ def prefix(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent: int)
     return np.concatenate([calm, loud[np.argsort(rank[at[hot]], kind="stable")][: p - len(calm)]])
 
 
+@common.lean
 def _postings(batches: Iterator[pa.RecordBatch], parts: int, frequent: bytes, order: bytes, percent: int) -> Iterator[pa.RecordBatch]:
     common_tokens, rank = np.frombuffer(frequent, K.U), np.frombuffer(order, np.int32)
     seen: set[int] = set()
@@ -229,6 +231,7 @@ def _candidates(key: tuple, table: pa.Table, blocks: int, splits: dict[int, int]
     return pa.Table.from_batches([_pair_rows(code // max(1, len(keys)), code % max(1, len(keys)), keys, sizes, blocks, splits)])
 
 
+@common.lean
 def _needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The classes that are needed in each cell, once per task or flush."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -331,6 +334,7 @@ def _trees(key: tuple, pairs: pa.Table, classes: pa.Table, percent: int) -> pa.T
     return pa.Table.from_batches([_pair_rows(a[keep], b[keep], keys, sizes, 1, {})]) if keep.any() else none
 
 
+@common.lean
 def _regrid(batches: Iterator[pa.RecordBatch], blocks: int, splits: dict[int, int]) -> Iterator[pa.RecordBatch]:
     """Pairs by the cells of another grid."""
     for batch in batches:
@@ -348,6 +352,7 @@ def unpacked(x: bytes) -> np.ndarray:
     return np.pad(np.frombuffer(x, np.uint8).reshape(-1, 6), ((0, 0), (2, 0))).reshape(-1).view(K.U)
 
 
+@common.lean
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From text, key, copies and cells: the set of each class for each cell that needs it."""
     for whole in batches:
@@ -395,6 +400,7 @@ def _verify(key: tuple, pairs: pa.Table, classes: pa.Table, percent: int) -> pa.
     return pa.table([pa.array(x, pa.int64()) for x in out], names=["key", "links", "root"])
 
 
+@common.lean
 def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(batches, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
     nodes, index = np.unique(np.concatenate([table["a"].to_numpy(), table["b"].to_numpy()]), return_inverse=True)

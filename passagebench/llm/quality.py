@@ -72,6 +72,7 @@ def hash_text(text: str) -> int:
     return int(K.span_hashes(raw, np.array([0]), np.array([len(raw)]))[0])
 
 
+@common.lean
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in _pieces(whole, 0):
@@ -184,6 +185,7 @@ def _view_scores(model: dict, text: pa.Array, lang: list, source: list) -> tuple
     return curve(x), curve(y), curve(w[0] * x + w[1] * y + w[2])
 
 
+@common.lean
 def _score(batches: Iterator[pa.RecordBatch], model: dict, threshold: float) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in _pieces(whole, 1):
@@ -191,6 +193,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: dict, threshold: float) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.float64()) for x in (c, m, p)), pa.array(p >= threshold)], names=["doc_id", "content_score", "metadata_score", "score", "keep"])
 
 
+@common.lean
 def _filter(batches: Iterator[pa.RecordBatch], model: dict, threshold: float, at: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in _pieces(whole, at[0]):

@@ -76,6 +76,7 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
 
 
+@common.lean
 def _spread(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in _pieces(whole, 1):
@@ -118,6 +119,7 @@ def _decide(key, table: pa.Table) -> pa.Table:
     return pa.table([pa.array([int(doc[a]) for a in cuts[:-1]], pa.int64()), pa.array([code[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["span_doc", "codes"])
 
 
+@common.lean
 def _remove(batches: Iterator[pa.RecordBatch], text_at: int, counts: bool) -> Iterator[pa.RecordBatch]:
     """The last column has the blobs of codes."""
     for whole in batches:

@@ -51,6 +51,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+@common.lean
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per batch, fold and feature: tokens and texts, toxic and clean; the feature 0 has all words."""
     for whole in batches:
@@ -132,6 +133,7 @@ class Model:
         return 1 / (1 + np.exp(-(self.bias + self.slope * np.log1p(evidence))))
 
 
+@common.lean
 def _profile(batches: Iterator[pa.RecordBatch], models: list[Model]) -> Iterator[pa.RecordBatch]:
     """For calibration: label, words and segment scores, by the model of the row's fold."""
     for batch in batches:
@@ -224,6 +226,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
+@common.lean
 def _score(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in _pieces(whole, 1):
@@ -231,6 +234,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32), pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
 
+@common.lean
 def _passages(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [(i, a, b - a + 1, s, x) for i, (n, found) in zip(batch.column(0).to_pylist(), model.found(batch.column(1))) for a, b, s in found if (x := model.log_p(s, n)) > -np.log(ALPHA)]
