@@ -1,14 +1,668 @@
-"""The registered queries and the SQL that each is compared with."""
+"""The registered queries, each over whole tables, and the SQL that they are compared with.
+
+Documents are `documents`, questions `benchmark`: a question's text is the first twelve tokens of an item, its gold snippet the
+whole item. Every double is rounded, and near-ties are broken on rounded scores, so that the order of additions doesn't show.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import chunking, comparison, questions, retrieval, scoring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+SIZE, OVERLAP, TOP = 128, 16, 5
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.fixed(docs(spark, sf_dir), SIZE, OVERLAP)
+
+
+def question_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """question_id, query, gold_snippets."""
+    words = F.slice(T.token_pieces(F.col("text")), 1, 12)
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.trim(F.array_join(words, "")).alias("query"), F.array("text").alias("gold_snippets"))
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+# SQL that several oracles begin with ------------------------------------------------------------------------------------
+
+PIECES = r"regexp_extract_all(text, '[\p{L}\p{N}]+[^\p{L}\p{N}]*')"
+LOWER_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+NORM = r"trim(regexp_replace(lower({}), '\s+', ' ', 'g'))"
+
+
+def count_sql(c: str) -> str:
+    return rf"len(regexp_extract_all({c}, '[\p{{L}}\p{{N}}]+'))"
+
+
+def chunks_sql(size: int = SIZE, overlap: int = OVERLAP, name: str = "fixed", as_name: str = "chunks") -> str:
+    step = size - overlap
+    return rf"""{as_name}_p AS (SELECT doc_id, text, {PIECES} AS p FROM documents),
+{as_name}_w AS (SELECT *, unnest(generate_series(0, CASE WHEN len(p) <= {size} THEN 0 ELSE CAST(ceil((len(p) - {size}) / {step}.0) AS BIGINT) END)) AS chunk_index FROM {as_name}_p WHERE len(p) > 0),
+{as_name}_t AS (SELECT doc_id, chunk_index, array_to_string(p[chunk_index * {step} + 1:chunk_index * {step} + {size}], '') AS ctext,
+  length(text) - length(array_to_string(p, '')) + CASE WHEN chunk_index = 0 THEN 0 ELSE length(array_to_string(p[1:chunk_index * {step}], '')) END AS start FROM {as_name}_w),
+{as_name} AS MATERIALIZED (SELECT '{name}' AS strategy, doc_id || ':{name}:' || chunk_index AS chunk_id, doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, ctext AS text,
+  CAST({count_sql('ctext')} AS INTEGER) AS token_count, CAST(start AS INTEGER) AS start, CAST(start + length(ctext) AS INTEGER) AS "end" FROM {as_name}_t)"""
+
+
+QUESTIONS_SQL = rf"""questions AS (SELECT item_id AS question_id, trim(array_to_string(({PIECES})[1:12], '')) AS query, text AS gold, {NORM.format('text')} AS norm, {count_sql('text')} AS gold_tokens FROM benchmark)"""
+
+
+def bm25_sql(top: int, corpus: str = "chunks", as_name: str = "ranked") -> str:
+    return rf"""{as_name}_post AS (SELECT chunk_id, doc_id, chunk_index, len(ws) AS length, term, count(*) AS tf FROM (SELECT *, unnest(ws) AS term FROM (SELECT chunk_id, doc_id, chunk_index, {LOWER_WORDS.format('text')} AS ws FROM {corpus})) GROUP BY ALL),
+{as_name}_n AS (SELECT count(*) AS n, avg(len({LOWER_WORDS.format('text')})) AS al FROM {corpus}),
+{as_name}_df AS (SELECT term, ln(1 + (n - count(*) + 0.5e0) / (count(*) + 0.5e0)) AS idf, any_value(al) AS al FROM {as_name}_post, {as_name}_n GROUP BY term, n),
+{as_name}_q AS (SELECT question_id, term, count(*) AS qtf FROM (SELECT question_id, unnest({LOWER_WORDS.format('query')}) AS term FROM questions) GROUP BY ALL),
+{as_name}_s AS (SELECT question_id, chunk_id, doc_id, chunk_index, round(sum(qtf * idf * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * length / al))), 6) AS score FROM {as_name}_post JOIN {as_name}_df USING (term) JOIN {as_name}_q USING (term) GROUP BY ALL),
+{as_name}_f AS (SELECT chunk_id, doc_id, chunk_index FROM {corpus} ORDER BY doc_id, chunk_index LIMIT {top}),
+{as_name}_all AS (SELECT * FROM {as_name}_s UNION ALL SELECT question_id, chunk_id, doc_id, chunk_index, 0e0 FROM questions, {as_name}_f WHERE (question_id, chunk_id) NOT IN (SELECT (question_id, chunk_id) FROM {as_name}_s)),
+{as_name} AS MATERIALIZED (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id, chunk_index) AS INTEGER) AS rank FROM {as_name}_all) WHERE rank <= {top})"""
+
+
+def vectors_sql(source: str, id_column: str, text: str, as_name: str) -> str:
+    return rf"""{as_name}_b AS (SELECT {id_column} AS id, CAST(('0x' || substr(md5(w), 1, 8)) AS BIGINT) % 256 AS bucket, count(*) AS n FROM (SELECT {id_column}, unnest(regexp_extract_all(lower({text}), '[a-z0-9]+')) AS w FROM {source}) GROUP BY ALL),
+{as_name} AS MATERIALIZED (SELECT id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS weight FROM {as_name}_b)"""
+
+
+def dense_sql(top: int, corpus: str = "chunks", as_name: str = "dense") -> str:
+    return rf"""{vectors_sql(corpus, 'chunk_id', 'text', as_name + '_c')}, {vectors_sql('questions', 'question_id', 'query', as_name + '_v')},
+{as_name}_s AS (SELECT v.id AS question_id, c.id AS chunk_id, round(sum(v.weight * c.weight), 6) AS score FROM {as_name}_v v JOIN {as_name}_c c USING (bucket) GROUP BY ALL),
+{as_name}_all AS (SELECT q.question_id, c.chunk_id, c.doc_id, c.chunk_index, coalesce(s.score, 0e0) AS score FROM questions q CROSS JOIN {corpus} c LEFT JOIN {as_name}_s s ON s.question_id = q.question_id AND s.chunk_id = c.chunk_id),
+{as_name} AS MATERIALIZED (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id, chunk_index) AS INTEGER) AS rank FROM {as_name}_all) WHERE rank <= {top})"""
+
+
+def fuse_sql(a: str, b: str, top: int, as_name: str = "fused") -> str:
+    return rf"""{as_name}_u AS (SELECT question_id, chunk_id, round(sum(1e0 / (60 + rank)), 9) AS score, min(rank) AS best FROM (SELECT question_id, chunk_id, rank FROM {a} UNION ALL SELECT question_id, chunk_id, rank FROM {b}) GROUP BY ALL),
+{as_name} AS MATERIALIZED (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, best, chunk_id) AS INTEGER) AS rank FROM {as_name}_u) WHERE rank <= {top})"""
+
+
+SENTENCES_SQL = r"""sentence_p AS (SELECT doc_id, unnest(ps) AS part, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?]["'')\]*_»”]*\s+|\n{2,})', '\1' || chr(1), 'g'), chr(1)) AS ps FROM documents)),
+sentence_g AS (SELECT *, coalesce(sum(CASE WHEN regexp_matches(part, '(?i)(^|[\s(])(mr|mrs|ms|dr|prof|sr|jr|st|vs|etc|e\.g|i\.e|fig|no|vol|inc|ltd|co|dept|approx)[.!?]*\s+$') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g,
+  coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM sentence_p),
+sentence_m AS (SELECT doc_id, g, min(at) AS at, string_agg(part, '' ORDER BY i) AS s FROM sentence_g GROUP BY doc_id, g),
+sentences AS MATERIALIZED (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS INTEGER) AS idx, CAST(at + length(s) - length(regexp_replace(s, '^\s+', '')) AS INTEGER) AS start,
+  CAST(at + length(regexp_replace(s, '\s+$', '')) AS INTEGER) AS "end", trim(regexp_replace(regexp_replace(s, '^\s+', ''), '\s+$', '')) AS sentence FROM sentence_m WHERE regexp_replace(s, '\s+', '', 'g') <> '')"""
+
+HITS_SQL = r"""hits AS MATERIALIZED (SELECT r.question_id, r.rank, r.chunk_id FROM ranked r JOIN chunks c USING (chunk_id) JOIN questions q ON q.question_id = r.question_id WHERE contains(trim(regexp_replace(lower(c.text), '\s+', ' ', 'g')), q.norm))"""
+RESULTS_SQL = rf"""{HITS_SQL},
+results AS MATERIALIZED (SELECT r.question_id, CAST(sum(c.token_count) AS BIGINT) AS retrieved_tokens, min(h.rank) AS first_hit_rank, count(h.rank) AS hit_chunks, CAST(count(h.rank) > 0 AS BIGINT) AS gold_found,
+  CASE WHEN count(h.rank) > 0 THEN any_value(q.gold_tokens) ELSE 0 END AS found_tokens
+  FROM ranked r JOIN chunks c USING (chunk_id) JOIN questions q ON q.question_id = r.question_id LEFT JOIN hits h ON h.question_id = r.question_id AND h.rank = r.rank GROUP BY r.question_id)"""
+METRICS = """count(*) AS questions, round(avg(gold_found * 1e0), 6) AS recall_at_k, round(avg(gold_found * 1e0), 6) AS hit_rate_at_k, round(avg(coalesce(1e0 / first_hit_rank, 0)), 6) AS mrr,
+  round(avg(hit_chunks / 5e0), 6) AS precision_at_k, round(avg(retrieved_tokens * 1e0), 6) AS retrieved_tokens_at_k, round(avg(CASE WHEN retrieved_tokens > 0 THEN least(found_tokens * 1e0 / retrieved_tokens, 1e0) ELSE 0 END), 6) AS context_efficiency"""
+
+
+# text -------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, CAST({count_sql('text')} AS INTEGER) AS tokens FROM documents")
+def token_counts(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", T.token_count(F.col("text")).alias("tokens"))
+
+
+@query(f"SELECT doc_id, md5({NORM.format('text')}) AS norm_md5, CAST(length({NORM.format('text')}) AS INTEGER) AS n FROM documents")
+def normalize_text(spark, sf_dir):
+    norm = T.normalize(F.col("text"))
+    return docs(spark, sf_dir).select("doc_id", F.md5(norm).alias("norm_md5"), F.length(norm).alias("n"))
+
+
+@query(f'WITH {SENTENCES_SQL} SELECT doc_id, idx, start, "end" FROM sentences')
+def sentence_spans(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.posexplode(T.sentence_spans(F.col("text"))).alias("idx", "s")).select("doc_id", "idx", "s.start", "s.end")
+
+
+@query("SELECT doc_id, " + ", ".join(f"CAST(len(regexp_extract_all(text, '[{c}]')) AS INTEGER) AS {n}" for n, c in T.SCRIPTS.items()) + " FROM documents")
+def script_profile(spark, sf_dir):
+    counts = T.script_counts(F.col("text"))
+    return docs(spark, sf_dir).select("doc_id", counts.alias("m")).select("doc_id", *[F.col("m")[n].alias(n) for n in T.SCRIPTS])
+
+
+def _shares_sql() -> str:
+    lists = ", ".join("len(list_filter(ws, lambda w: list_contains([{}], w))) * 1e0 / greatest(len(ws), 1) AS {}".format(", ".join(f"'{w}'" for w in stop.split()), lang + "_") for lang, stop in T.STOP_WORDS.items())
+    structs = ", ".join(f"{{'s': -{lang}_, 'i': {i}, 'lang': '{lang}'}}" for i, lang in enumerate(T.STOP_WORDS))
+    return rf"""w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '\p{{L}}+'), lambda x: lower(x)) AS ws FROM documents), s AS (SELECT doc_id, len(ws) AS n, {lists} FROM w),
+r AS (SELECT *, list_sort([{structs}]) AS ranked FROM s), languages AS (SELECT *, CASE WHEN n >= 40 AND -ranked[1].s >= 0.04e0 AND ranked[2].s - ranked[1].s >= 0.01e0 THEN ranked[1].lang END AS language FROM r)"""
+
+
+@query(f"WITH {_shares_sql()} SELECT doc_id, language, CAST(n AS INTEGER) AS words, round(en_, 6) AS en, round(de_, 6) AS de, round(es_, 6) AS es, round(fr_, 6) AS fr FROM languages")
+def language_detect(spark, sf_dir):
+    rows = docs(spark, sf_dir).select("doc_id", T.language_shares(F.col("text")).alias("s"))
+    return rows.select("doc_id", T.language_of(F.col("s")).alias("language"), F.col("s.n").alias("words"), *[r6(F.col(f"s.{x}")).alias(x) for x in ("en", "de", "es", "fr")])
+
+
+@query(f"WITH {_shares_sql()} SELECT d.lang, l.language AS label, count(*) AS documents FROM languages l JOIN documents d USING (doc_id) GROUP BY ALL")
+def language_audit(spark, sf_dir):
+    found = comparison.languages(docs(spark, sf_dir)).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return found.groupBy("lang", "label").agg(F.count("*").alias("documents"))
+
+
+@query("SELECT sha256(string_agg(d, '' ORDER BY p)) AS sha256 FROM (SELECT substr(h, 1, 2) AS p, sha256(string_agg(h, '' ORDER BY h)) AS d FROM (SELECT sha256(doc_id || chr(0) || text || chr(0)) AS h FROM documents) GROUP BY 1)")
+def corpus_fingerprint(spark, sf_dir):
+    return comparison.fingerprint(docs(spark, sf_dir), "doc_id", "text")
+
+
+# chunks -----------------------------------------------------------------------------------------------------------------
+
+
+@query(f'WITH {chunks_sql()} SELECT chunk_id, doc_id, chunk_index, md5(text) AS text_md5, token_count, start, "end" FROM chunks')
+def fixed_chunks(spark, sf_dir):
+    return chunks(spark, sf_dir).select("chunk_id", "doc_id", "chunk_index", F.md5("text").alias("text_md5"), "token_count", "start", "end")
+
+
+@query(f"SELECT doc_id || ':whole_document:0' AS chunk_id, md5(text) AS text_md5, CAST({count_sql('text')} AS INTEGER) AS token_count FROM documents WHERE regexp_replace(text, '\\s+', '', 'g') <> ''")
+def whole_document_chunks(spark, sf_dir):
+    return chunking.whole_document(docs(spark, sf_dir)).select("chunk_id", F.md5("text").alias("text_md5"), "token_count")
+
+
+@query()
+def recursive_chunks(spark, sf_dir):
+    return chunking.recursive(docs(spark, sf_dir), SIZE, OVERLAP)
+
+
+@query()
+def semantic_chunks(spark, sf_dir):
+    return chunking.semantic(docs(spark, sf_dir), min_tokens=50, max_tokens=250)
+
+
+@query()
+def semantic_no_floor_chunks(spark, sf_dir):
+    return chunking.semantic_no_floor(docs(spark, sf_dir), max_tokens=250)
+
+
+def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as documents: h1 and li as text lines, with a level-1 heading element for each h1."""
+    found = F.regexp_extract_all("html", F.lit(r"(?s)<(?:h1|li)[^>]*>.*?</(?:h1|li)>"), F.lit(0))
+    heading = F.transform(found, lambda t: t.startswith("<h1"))
+    text = F.transform(found, lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, r"<[^>]*>", " "), r"\s+", " ")))
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.arrays_zip(text.alias("body"), heading.alias("h")).alias("lines"))
+    state = F.struct(F.lit(0).alias("at"), F.array().cast(chunking.ELEMENTS).alias("out"))
+
+    def step(acc, x):
+        end = acc["at"] + F.length(x["body"])
+        e = F.struct(F.when(x["h"], "heading").otherwise("list").alias("type"), x["body"].alias("text"), acc["at"].alias("start"), end.alias("end"), F.when(x["h"], 1).alias("level"))
+        return F.struct((end + 1).alias("at"), F.concat(acc["out"], F.array(e)).alias("out"))
+
+    return rows.select("doc_id", F.array_join(F.transform("lines", lambda x: x["body"]), "\n").alias("text"), F.aggregate("lines", state, step, lambda acc: acc["out"]).alias("elements"))
+
+
+PAGES_SQL = r"""tags AS (SELECT page_id AS doc_id, regexp_extract_all(html, '(?s)<(?:h1|li)[^>]*>.*?</(?:h1|li)>') AS ts FROM pages),
+tag_lines AS (SELECT doc_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM tags),
+line_rows AS (SELECT doc_id, i, starts_with(t, '<h1') AS h, trim(regexp_replace(regexp_replace(t, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS body FROM tag_lines),
+page_elements AS MATERIALIZED (SELECT *, CAST(coalesce(sum(length(body) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start FROM line_rows)"""
+
+
+@query(rf"WITH {PAGES_SQL} SELECT doc_id, CASE WHEN h THEN 'heading' ELSE 'list' END AS type, start, CAST(start + length(body) AS INTEGER) AS \"end\", md5(body) AS text_md5 FROM page_elements".replace('\\"', '"'))
+def page_elements(spark, sf_dir):
+    rows = page_documents(spark, sf_dir).select("doc_id", F.explode("elements").alias("e"))
+    return rows.select("doc_id", "e.type", "e.start", "e.end", F.md5("e.text").alias("text_md5"))
+
+
+@query(rf"""WITH {PAGES_SQL}, size AS (SELECT doc_id, max(start + length(body)) AS n FROM page_elements GROUP BY doc_id),
+heads AS (SELECT doc_id, start, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS k FROM page_elements WHERE h),
+starts AS (SELECT doc_id, start FROM heads UNION SELECT doc_id, 0 FROM size), spans AS (SELECT doc_id, start, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start), n) AS stop FROM starts JOIN size USING (doc_id))
+SELECT doc_id, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS "end" FROM spans WHERE stop > start""")
+def structure_sections_pages(spark, sf_dir):
+    """Section boundaries at headings, before heading-only sections are merged: a window over each page's headings."""
+    from pyspark.sql.window import Window as W
+
+    rows = page_documents(spark, sf_dir)
+    starts = rows.select("doc_id", F.length("text").alias("n"), F.explode(F.array_distinct(F.concat(F.array(F.lit(0)), F.transform(F.filter("elements", lambda e: e["type"] == "heading"), lambda e: e["start"])))).alias("start"))
+    stop = F.coalesce(F.lead("start").over(W.partitionBy("doc_id").orderBy("start")), F.col("n"))
+    return starts.select("doc_id", "start", stop.alias("end")).where("end > start")
+
+
+@query()
+def structure_chunks(spark, sf_dir):
+    rows = page_documents(spark, sf_dir)
+    return chunking.annotate(chunking.structure(rows, 60), rows)
+
+
+TABLES_SQL = r"""lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+placed AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM lines),
+runs AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM placed WHERE regexp_matches(line, '^[ \t]*\|.*\|[ \t]*$')),
+tables AS MATERIALIZED (SELECT doc_id, CAST(min(at) AS INTEGER) AS start, CAST(least(max(at + length(line) + 1), any_value(n)) AS INTEGER) AS "end", CAST(count(*) AS INTEGER) AS n_rows FROM runs JOIN (SELECT doc_id, length(text) AS n FROM documents) USING (doc_id) GROUP BY doc_id, run HAVING count(*) >= 2)"""
+#: Documents here have no table rows of their own; cells between bars on a line are made into rows.
+TABLE_DOCS_SQL = r"documents AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(?m)^(.* \| .*)$', '| \1 |', 'g'), '(?m)^([A-Z]+)!! ', '## \1\n', 'g') AS text FROM memory.main.documents)"
+
+
+def table_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as markdown: lines with bars become table rows."""
+    return docs(spark, sf_dir).select("doc_id", F.regexp_replace("text", r"(?m)^([^\n]* \| [^\n]*)$", "| $1 |").alias("text"))
+
+
+@query(TABLES_SQL.join(["WITH d0 AS (SELECT doc_id, regexp_replace(text, '(?m)^(.* \\| .*)$', '| \\1 |', 'g') AS text FROM documents), ", ' SELECT doc_id, start, "end" FROM tables']).replace("FROM documents)", "FROM d0)").replace("text FROM d0), lines", "text FROM documents), lines"))
+def table_runs(spark, sf_dir):
+    rows = table_documents(spark, sf_dir).select("doc_id", F.explode(chunking.markdown_elements(F.col("text"))).alias("e"))
+    return rows.where("e.type = 'table'").select("doc_id", "e.start", "e.end")
+
+
+def table_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table_documents(spark, sf_dir).withColumn("elements", chunking.markdown_elements(F.col("text")))
+
+
+def _on_tables(rest: str) -> str:
+    base = "WITH d0 AS (SELECT doc_id, regexp_replace(text, '(?m)^(.* \\| .*)$', '| \\1 |', 'g') AS text FROM documents), "
+    return base + (chunks_sql() + ", " + TABLES_SQL).replace("FROM documents", "FROM d0") + rest
+
+
+@query(_on_tables(" SELECT chunk_id, EXISTS (SELECT 1 FROM tables t WHERE t.doc_id = c.doc_id AND t.start < c.\"end\" AND t.\"end\" > c.start) AS contains_table FROM chunks c"))
+def table_overlap(spark, sf_dir):
+    rows = table_elements(spark, sf_dir)
+    return chunking.annotate(chunking.fixed(rows, SIZE, OVERLAP), rows).select("chunk_id", "contains_table")
+
+
+@query(_on_tables(" SELECT 'fixed' AS strategy, round((SELECT count(*) FROM tables t WHERE EXISTS (SELECT 1 FROM chunks c WHERE c.doc_id = t.doc_id AND c.start <= t.start AND c.\"end\" >= t.\"end\")) * 1e0 / nullif((SELECT count(*) FROM tables), 0), 6) AS table_integrity"))
+def table_integrity(spark, sf_dir):
+    rows = table_elements(spark, sf_dir)
+    elements = rows.select("doc_id", F.explode("elements").alias("e")).select("doc_id", "e.*")
+    return scoring.table_integrity(chunking.fixed(rows, SIZE, OVERLAP), elements).select("strategy", r6("table_integrity").alias("table_integrity"))
+
+
+@query(rf"""WITH {PAGES_SQL}, h AS (SELECT doc_id, start, body FROM page_elements WHERE h)
+SELECT e.doc_id, e.start, md5(coalesce((SELECT max_by(h.body, h.start) FROM h WHERE h.doc_id = e.doc_id AND h.start <= e.start), '')) AS trail_md5 FROM page_elements e WHERE NOT e.h""")
+def heading_trail(spark, sf_dir):
+    """The heading trail at every list item: one level here, so the last heading before it."""
+    rows = page_documents(spark, sf_dir)
+    items = rows.select("doc_id", F.explode(F.filter("elements", lambda e: e["type"] == "list")).alias("e")).select("doc_id", "e.start", "e.end")
+    out = chunking.annotate(items, rows)
+    return out.select("doc_id", "start", F.md5(F.array_join("section_path", " > ")).alias("trail_md5"))
+
+
+HEALTH_SQL = f"""sizes AS (SELECT strategy, count(*) AS num_chunks, min(token_count) AS tokens_min, median(token_count) AS tokens_median, round(avg(token_count), 6) AS tokens_mean, max(token_count) AS tokens_max,
+  round(avg(CASE WHEN token_count < 50 THEN 1e0 ELSE 0 END), 6) AS pct_tiny, round(avg(CASE WHEN token_count > 120 THEN 1e0 ELSE 0 END), 6) AS pct_oversized FROM chunks GROUP BY strategy)"""
+BOUNDARY_SQL = """boundary AS (SELECT strategy, round(avg(CASE WHEN EXISTS (SELECT 1 FROM sentences s WHERE s.doc_id = c.doc_id AND ((s.start < c.start AND c.start < s."end") OR (s.start < c."end" AND c."end" < s."end"))) THEN 0e0 ELSE 1 END), 6) AS boundary_health FROM chunks c GROUP BY strategy)"""
+
+
+@query(f"WITH {chunks_sql()}, {SENTENCES_SQL}, {HEALTH_SQL}, {BOUNDARY_SQL} SELECT * FROM sizes JOIN boundary USING (strategy)")
+def chunk_health(spark, sf_dir):
+    c = chunks(spark, sf_dir)
+    rows = scoring.sizes(c, 50, 120).join(scoring.boundary_health(c, docs(spark, sf_dir)), "strategy")
+    return rows.withColumns({k: r6(k) for k in ("tokens_mean", "pct_tiny", "pct_oversized", "boundary_health")})
+
+
+@query(f"WITH {chunks_sql()} SELECT strategy, CAST(token_count // 10 * 10 AS INTEGER) AS bucket, count(*) AS chunks FROM chunks GROUP BY ALL")
+def token_histogram(spark, sf_dir):
+    return scoring.histogram(chunks(spark, sf_dir), 10)
+
+
+@query(f"WITH {chunks_sql()}, {SENTENCES_SQL}, {BOUNDARY_SQL} SELECT * FROM boundary")
+def boundary_health(spark, sf_dir):
+    return scoring.boundary_health(chunks(spark, sf_dir), docs(spark, sf_dir)).withColumn("boundary_health", r6("boundary_health"))
+
+
+@query(f"""WITH {chunks_sql()} SELECT doc_id, md5(array_to_string(list_concat(list_transform(list_sort(list(start)), lambda x: CAST(x AS VARCHAR)), [CAST(max("end") AS VARCHAR)]), ',')) AS boundaries_md5 FROM chunks GROUP BY doc_id""")
+def chunk_boundaries(spark, sf_dir):
+    rows = comparison.boundaries(chunks(spark, sf_dir))
+    return rows.select("doc_id", F.md5(F.array_join(F.transform("boundaries", lambda x: x.cast("string")), ",")).alias("boundaries_md5"))
+
+
+# retrieval --------------------------------------------------------------------------------------------------------------
+
+
+@query(rf"WITH {chunks_sql()} SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest({LOWER_WORDS.format('text')}) AS term FROM chunks) GROUP BY ALL")
+def bm25_postings(spark, sf_dir):
+    return retrieval.postings(chunks(spark, sf_dir)).select("chunk_id", "term", "tf")
+
+
+@query(rf"WITH {chunks_sql()}, n AS (SELECT count(*) AS n FROM chunks) SELECT term, count(*) AS df, round(ln(1 + (any_value(n) - count(*) + 0.5e0) / (count(*) + 0.5e0)), 6) AS idf FROM (SELECT DISTINCT chunk_id, unnest({LOWER_WORDS.format('text')}) AS term FROM chunks), n GROUP BY term")
+def bm25_idf(spark, sf_dir):
+    return retrieval.term_statistics(chunks(spark, sf_dir)).select("term", "df", r6("idf").alias("idf"))
+
+
+@query(f"WITH {chunks_sql()}, {QUESTIONS_SQL}, {bm25_sql(TOP)} SELECT question_id, chunk_id, score, rank FROM ranked")
+def bm25_topk(spark, sf_dir):
+    return retrieval.bm25(chunks(spark, sf_dir), question_rows(spark, sf_dir), TOP).select("question_id", "chunk_id", "score", "rank")
+
+
+@query(f"WITH {chunks_sql()}, {QUESTIONS_SQL}, {vectors_sql('questions', 'question_id', 'query', 'v')} SELECT id AS question_id, CAST(bucket AS INTEGER) AS bucket, round(weight, 6) AS weight FROM v")
+def hash_embed_sparse(spark, sf_dir):
+    return retrieval.hash_embed_sparse(question_rows(spark, sf_dir), "question_id", "query").withColumn("weight", r6("weight"))
+
+
+@query(f"WITH {chunks_sql()}, {QUESTIONS_SQL}, {dense_sql(TOP)} SELECT question_id, chunk_id, score, rank FROM dense")
+def dense_topk_hash(spark, sf_dir):
+    return retrieval.dense(chunks(spark, sf_dir), question_rows(spark, sf_dir), TOP).select("question_id", "chunk_id", "score", "rank")
+
+
+@query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_sum(list_transform(range(1, 65), lambda i: CAST(q.embedding[i] AS DOUBLE) * e.embedding[i])), 6) AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id)
+SELECT * FROM (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s) WHERE rank <= 5""")
+def dense_topk_embeddings(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return retrieval.nearest_vectors(rows, rows.where("vec_id % 50 = 0"), TOP)
+
+
+@query(f"WITH {chunks_sql()}, {QUESTIONS_SQL}, {bm25_sql(20)}, {dense_sql(20)}, {fuse_sql('ranked', 'dense', TOP)} SELECT question_id, chunk_id, score, rank FROM fused")
+def rrf_hybrid(spark, sf_dir):
+    return retrieval.hybrid(chunks(spark, sf_dir), question_rows(spark, sf_dir), TOP).select("question_id", "chunk_id", "score", "rank")
+
+
+# scoring ----------------------------------------------------------------------------------------------------------------
+
+
+def ranked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.retrieve(chunks(spark, sf_dir), question_rows(spark, sf_dir), ["bm25"], TOP)
+
+
+def result_rows(spark: SparkSession, sf_dir: str, fuzzy: float | None = None) -> DataFrame:
+    return scoring.per_question(ranked_rows(spark, sf_dir), chunks(spark, sf_dir), question_rows(spark, sf_dir), fuzzy)
+
+
+BASE_SQL = f"WITH {chunks_sql()}, {QUESTIONS_SQL}, {bm25_sql(TOP)}, "
+
+
+@query(BASE_SQL + HITS_SQL + " SELECT question_id, rank, chunk_id FROM hits")
+def gold_containment(spark, sf_dir):
+    ranked = ranked_rows(spark, sf_dir)
+    found = scoring.hits(ranked, chunks(spark, sf_dir), scoring.gold_rows(question_rows(spark, sf_dir)), None)
+    return found.join(ranked.select("question_id", "rank", "chunk_id"), ["question_id", "rank"]).select("question_id", "rank", "chunk_id")
+
+
+@query()
+def gold_fuzzy(spark, sf_dir):
+    return scoring.hits(ranked_rows(spark, sf_dir), chunks(spark, sf_dir), scoring.gold_rows(question_rows(spark, sf_dir)), 0.90)
+
+
+SPLIT_SQL = r"""r2 AS (SELECT r.question_id, r.rank, c.* FROM ranked r JOIN chunks c USING (chunk_id)),
+split_rows AS (SELECT DISTINCT a.question_id FROM r2 a JOIN r2 b ON a.question_id = b.question_id AND a.doc_id = b.doc_id AND (a.start < b.start OR (a.start = b.start AND a.rank < b.rank)) AND b.start <= a."end" + 1 JOIN questions q ON q.question_id = a.question_id
+  WHERE a.question_id NOT IN (SELECT question_id FROM hits) AND contains(trim(regexp_replace(lower(a.text || ' ' || b.text), '\s+', ' ', 'g')), q.norm))"""
+
+
+@query(BASE_SQL + HITS_SQL + ", " + SPLIT_SQL + " SELECT question_id FROM split_rows")
+def split_across(spark, sf_dir):
+    ranked, gold, c = ranked_rows(spark, sf_dir), scoring.gold_rows(question_rows(spark, sf_dir)), chunks(spark, sf_dir)
+    return scoring.splits(ranked, c, gold, scoring.hits(ranked, c, gold, None), None).select("question_id")
+
+
+@query(BASE_SQL + RESULTS_SQL + f" SELECT {METRICS} FROM results")
+def recall_mrr_precision(spark, sf_dir):
+    rows = scoring.metrics(result_rows(spark, sf_dir), TOP).drop("strategy", "retriever", "split_questions")
+    return rows.select("questions", *[r6(c).alias(c) for c in rows.columns[1:]])
+
+
+@query(BASE_SQL + RESULTS_SQL + " SELECT question_id, retrieved_tokens, CAST(found_tokens AS BIGINT) AS found_tokens, round(CASE WHEN retrieved_tokens > 0 THEN least(found_tokens * 1e0 / retrieved_tokens, 1e0) ELSE 0 END, 6) AS efficiency FROM results")
+def context_cost(spark, sf_dir):
+    return result_rows(spark, sf_dir).select("question_id", "retrieved_tokens", "found_tokens", r6(scoring.efficiency()).alias("efficiency"))
+
+
+PLANS = (("fixed", SIZE, OVERLAP), ("fixed_small", 96, 16), ("fixed_large", 256, 32))
+
+
+def plan_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = docs(spark, sf_dir)
+    return chunking.chunk_all(d, [(n, {"kind": "fixed", "chunk_size": s, "overlap": o}) for n, s, o in PLANS])
+
+
+def _matrix_sql() -> str:
+    parts, unions = [QUESTIONS_SQL], []
+    for k, (n, s, o) in enumerate(PLANS):
+        parts += [chunks_sql(s, o, n, f"c{k}"), bm25_sql(20, f"c{k}", f"b{k}"), dense_sql(20, f"c{k}", f"d{k}"), fuse_sql(f"b{k}", f"d{k}", TOP, f"h{k}")]
+        unions += [f"SELECT '{n}' AS strategy, '{m}' AS retriever, question_id, chunk_id, rank FROM {v}{k} WHERE rank <= {TOP}" for m, v in (("dense", "d"), ("bm25", "b"), ("hybrid", "h"))]
+    parts.append("all_ranked AS (" + " UNION ALL ".join(unions) + ")")
+    parts.append("all_chunks AS (" + " UNION ALL ".join(f"SELECT * FROM c{k}" for k in range(len(PLANS))) + ")")
+    parts.append(rf"""results AS MATERIALIZED (SELECT r.strategy, r.retriever, r.question_id, CAST(sum(c.token_count) AS BIGINT) AS retrieved_tokens, min(CASE WHEN hit THEN r.rank END) AS first_hit_rank, count(CASE WHEN hit THEN 1 END) AS hit_chunks, CAST(count(CASE WHEN hit THEN 1 END) > 0 AS BIGINT) AS gold_found, CASE WHEN count(CASE WHEN hit THEN 1 END) > 0 THEN any_value(r.gold_tokens) ELSE 0 END AS found_tokens
+  FROM (SELECT r.*, q.gold_tokens, contains({NORM.format('c.text')}, q.norm) AS hit FROM all_ranked r JOIN all_chunks c USING (strategy, chunk_id) JOIN questions q ON q.question_id = r.question_id) r JOIN all_chunks c USING (strategy, chunk_id) GROUP BY r.strategy, r.retriever, r.question_id)""")
+    return "WITH " + ", ".join(parts)
+
+
+MATRIX_SQL = _matrix_sql()
+
+
+def matrix_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, q = plan_chunks(spark, sf_dir), question_rows(spark, sf_dir)
+    return scoring.per_question(retrieval.retrieve(c, q, ["dense", "bm25", "hybrid"], TOP), c, q, None)
+
+
+@query(f"{MATRIX_SQL} SELECT strategy, retriever, {METRICS} FROM results GROUP BY ALL")
+def strategy_retriever_matrix(spark, sf_dir):
+    rows = scoring.metrics(matrix_results(spark, sf_dir), TOP).drop("split_questions")
+    return rows.select("strategy", "retriever", "questions", *[r6(c).alias(c) for c in rows.columns[3:]])
+
+
+def _ranking_sql() -> str:
+    parts = [QUESTIONS_SQL, *(x for k, (n, s, o) in enumerate(PLANS) for x in (chunks_sql(s, o, n, f"c{k}"), bm25_sql(TOP, f"c{k}", f"b{k}")))]
+    parts.append("all_ranked AS (" + " UNION ALL ".join(f"SELECT '{n}' AS strategy, question_id, chunk_id, rank FROM b{k}" for k, (n, _, _) in enumerate(PLANS)) + ")")
+    parts.append("all_chunks AS (" + " UNION ALL ".join(f"SELECT * FROM c{k}" for k in range(len(PLANS))) + ")")
+    parts.append(rf"""q AS (SELECT r.strategy, r.question_id, sum(c.token_count) AS t, min(CASE WHEN contains({NORM.format('c.text')}, q.norm) THEN r.rank END) AS f FROM all_ranked r JOIN all_chunks c USING (strategy, chunk_id) JOIN questions q ON q.question_id = r.question_id GROUP BY ALL),
+m AS (SELECT strategy, avg(CASE WHEN f IS NULL THEN 0e0 ELSE 1 END) AS recall, avg(coalesce(1e0 / f, 0)) AS mrr, avg(t * 1e0) AS tokens FROM q GROUP BY strategy),
+tiny AS (SELECT strategy, avg(CASE WHEN token_count < 50 THEN 1e0 ELSE 0 END) AS pct_tiny FROM all_chunks GROUP BY strategy),
+b AS (SELECT *, round(recall - 0.05e0 * (tokens / min(tokens) OVER () - 1), 6) AS balanced FROM m JOIN tiny USING (strategy))""")
+    return "WITH " + ", ".join(parts) + " SELECT strategy, round(recall, 6) AS recall_at_k, round(mrr, 6) AS mrr, round(tokens, 6) AS retrieved_tokens_at_k, balanced AS balanced_score, CAST(row_number() OVER (ORDER BY balanced DESC, round(mrr, 6) DESC, round(recall, 6) DESC, pct_tiny, strategy) AS INTEGER) AS position FROM b"
+
+
+@query(_ranking_sql())
+def strategy_ranking(spark, sf_dir):
+    """The flagship: three chunk sizes, BM25, metrics, balanced score, ranking."""
+    c, q = plan_chunks(spark, sf_dir), question_rows(spark, sf_dir)
+    cells = scoring.balanced(scoring.metrics(scoring.per_question(retrieval.retrieve(c, q, ["bm25"], TOP), c, q, None), TOP))
+    cells = cells.join(scoring.sizes(c, 50).select("strategy", "pct_tiny"), "strategy")
+    cells = cells.withColumns({k: r6(k) for k in ("balanced_score", "mrr", "recall_at_k", "hit_rate_at_k", "retrieved_tokens_at_k")})
+    return scoring.rank_cells(cells, order=("strategy",)).select("strategy", "recall_at_k", "mrr", "retrieved_tokens_at_k", "balanced_score", "position")
+
+
+def _grouping_sql() -> str:
+    return f"{MATRIX_SQL} SELECT strategy, retriever, round(avg(gold_found * 1e0), 6) AS recall_at_k, count(*) AS questions FROM results GROUP BY GROUPING SETS ((strategy, retriever), (strategy), (retriever))"
+
+
+@query(_grouping_sql())
+def recall_grouping_sets(spark, sf_dir):
+    rows = matrix_results(spark, sf_dir).select("strategy", "retriever", (F.col("gold_found") / F.col("gold_total")).alias("recall"))
+    cs = [[F.col("strategy"), F.col("retriever")], [F.col("strategy")], [F.col("retriever")]]
+    return rows.groupingSets(cs, "strategy", "retriever").agg(r6(F.avg("recall")).alias("recall_at_k"), F.count("*").alias("questions"))
+
+
+@query(f"{MATRIX_SQL}, x AS (SELECT strategy, retriever, count(*) AS n, avg(gold_found * 1e0) AS r FROM results GROUP BY ALL) SELECT a.strategy, a.retriever AS left_retriever, b.retriever AS right_retriever, round(a.r - b.r, 6) AS difference FROM x a JOIN x b ON a.strategy = b.strategy AND a.retriever < b.retriever")
+def retriever_pairs(spark, sf_dir):
+    rows = matrix_results(spark, sf_dir).select("strategy", "retriever", "question_id", (F.col("gold_found") / F.col("gold_total")).alias("recall"))
+    a, b = rows.withColumnsRenamed({"retriever": "left_retriever", "recall": "l"}), rows.withColumnsRenamed({"retriever": "right_retriever", "recall": "r"})
+    pairs = a.join(b, ["strategy", "question_id"]).where("left_retriever < right_retriever")
+    return pairs.groupBy("strategy", "left_retriever", "right_retriever").agg(r6(F.avg(F.col("l") - F.col("r"))).alias("difference"))
+
+
+# statistics -------------------------------------------------------------------------------------------------------------
+
+RESAMPLES = 200
+
+
+def _bootstrap_sql(values: str, name: str) -> str:
+    return rf"""{name}_v AS (SELECT list(v ORDER BY question_id) AS vs, count(*) AS n FROM {values}), {name}_r AS (SELECT vs, n, unnest(range(0, {RESAMPLES})) AS r FROM {name}_v),
+{name}_m AS (SELECT r, list_sum(list_transform(range(0, n), lambda s: vs[CAST(('0x' || substr(md5('0:' || r || ':' || s), 1, 8)) AS BIGINT) % n + 1])) / n AS mean FROM {name}_r),
+{name} AS (SELECT quantile_cont(mean, 0.025e0) AS ci_low, quantile_cont(mean, 0.975e0) AS ci_high FROM {name}_m)"""
+
+
+@query(BASE_SQL + RESULTS_SQL + ", v AS (SELECT question_id, gold_found * 1e0 AS v FROM results), " + _bootstrap_sql("v", "ci") + " SELECT round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM ci")
+def bootstrap_ci_hash(spark, sf_dir):
+    rows = result_rows(spark, sf_dir).select("strategy", "question_id", (F.col("gold_found") / F.col("gold_total")).alias("recall"))
+    return scoring.hash_interval(rows, ["strategy"], "question_id", "recall", RESAMPLES).select(r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"))
+
+
+def _two_runs_sql() -> str:
+    return (BASE_SQL + RESULTS_SQL + ", " + chunks_sql(96, 16, "fixed_small", "c1") + ", " + bm25_sql(TOP, "c1", "b1")
+            + rf""", other AS (SELECT r.question_id, CAST(max(contains({NORM.format('c.text')}, q.norm)) AS INTEGER) * 1e0 AS v FROM b1 r JOIN c1 c USING (chunk_id) JOIN questions q ON q.question_id = r.question_id GROUP BY ALL),
+diffs AS (SELECT r.question_id, r.gold_found * 1e0 - o.v AS v FROM results r JOIN other o ON o.question_id = r.question_id), """ + _bootstrap_sql("diffs", "ci"))
+
+
+def paired_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = question_rows(spark, sf_dir)
+    small = chunking.fixed(docs(spark, sf_dir), 96, 16, "fixed")
+    other = scoring.per_question(retrieval.retrieve(small, q, ["bm25"], TOP), small, q, None)
+    rows = comparison.paired(other, result_rows(spark, sf_dir), ["question_id"])
+    return rows.select(F.lit("fixed").alias("strategy"), "question_id", (F.col("now") - F.col("before")).alias("d"))
+
+
+@query(_two_runs_sql() + " SELECT round((SELECT avg(v) FROM diffs), 6) AS difference, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM ci")
+def paired_bootstrap_hash(spark, sf_dir):
+    rows = paired_rows(spark, sf_dir)
+    ci = scoring.hash_interval(rows, ["strategy"], "question_id", "d", RESAMPLES)
+    return ci.join(rows.groupBy("strategy").agg(F.avg("d").alias("d")), "strategy").select(r6("d").alias("difference"), r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"))
+
+
+@query(_two_runs_sql() + """, s AS (SELECT count(*) AS n, avg(v) AS d, any_value((ci_high - ci_low) / 2) AS h FROM diffs, ci)
+SELECT n, CASE WHEN abs(d) < 1e-9 OR h <= 0 THEN NULL WHEN greatest(n + 1, ceil(n * (h / d) * (h / d))) > 100000 THEN NULL ELSE CAST(greatest(n + 1, ceil(n * (h / d) * (h / d))) AS BIGINT) END AS needed FROM s""")
+def questions_to_separate(spark, sf_dir):
+    rows = paired_rows(spark, sf_dir)
+    s = scoring.hash_interval(rows, ["strategy"], "question_id", "d", RESAMPLES).join(rows.groupBy("strategy").agg(F.avg("d").alias("d"), F.count("*").alias("n")), "strategy")
+    half = (F.col("ci_high") - F.col("ci_low")) / 2
+    needed = F.greatest(F.col("n") + 1, F.ceil(F.col("n") * (half / F.col("d")) * (half / F.col("d"))))
+    return s.select("n", F.when((F.abs("d") >= 1e-9) & (half > 0), F.when(needed <= 100_000, needed)).cast("long").alias("needed"))
+
+
+@query(_two_runs_sql() + " SELECT 'fixed' AS strategy, round((SELECT avg(v) FROM other), 6) AS baseline_recall, round((SELECT avg(gold_found * 1e0) FROM results), 6) AS current_recall, ci_high < 0 AS failed FROM ci")
+def regression_check(spark, sf_dir):
+    rows = paired_rows(spark, sf_dir)
+    q = question_rows(spark, sf_dir)
+    small = chunking.fixed(docs(spark, sf_dir), 96, 16, "fixed")
+    before = scoring.metrics(scoring.per_question(retrieval.retrieve(small, q, ["bm25"], TOP), small, q, None), TOP).select("strategy", F.col("recall_at_k").alias("baseline_recall"))
+    now = scoring.metrics(result_rows(spark, sf_dir), TOP).select("strategy", F.col("recall_at_k").alias("current_recall"))
+    ci = scoring.hash_interval(rows, ["strategy"], "question_id", "d", RESAMPLES)
+    return before.join(now, "strategy").join(ci, "strategy").select("strategy", r6("baseline_recall").alias("baseline_recall"), r6("current_recall").alias("current_recall"), (F.col("ci_high") < 0).alias("failed"))
+
+
+@query()
+def recall_intervals(spark, sf_dir):
+    return scoring.recall_intervals(matrix_results(spark, sf_dir))
+
+
+@query(rf"""{MATRIX_SQL}, homes AS (SELECT q.question_id, min(d.source) AS source FROM questions q JOIN (SELECT source, {NORM.format('text')} AS t FROM documents) d ON contains(d.t, q.norm) GROUP BY ALL),
+m AS (SELECT source, strategy, round(avg(gold_found * 1e0), 6) AS recall FROM results JOIN homes USING (question_id) WHERE retriever = 'bm25' GROUP BY ALL)
+SELECT source, max(recall) AS best, min(recall) AS worst, round(max(recall) - min(recall), 6) AS swing, max_by(strategy, (recall, strategy)) AS winner FROM m GROUP BY source""")
+def per_source_swing(spark, sf_dir):
+    """The source of a question is the least one among the documents that hold its snippet."""
+    q = question_rows(spark, sf_dir)
+    homes = questions.containing(docs(spark, sf_dir), scoring.gold_rows(q)).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").groupBy("question_id").agg(F.min("source").alias("source"))
+    rows = matrix_results(spark, sf_dir).where("retriever = 'bm25'").join(homes, "question_id")
+    return comparison.swing(rows).withColumns({c: r6(c) for c in ("best", "worst", "swing")})
+
+
+@query(rf"""{MATRIX_SQL}, cases AS (SELECT strategy, retriever, question_id % 3 AS c, count(*) AS n, avg(gold_found * 1e0) AS r, avg(coalesce(1e0 / first_hit_rank, 0)) AS mrr, avg(retrieved_tokens * 1e0) AS t FROM results GROUP BY ALL)
+SELECT strategy, retriever, CAST(sum(n) AS BIGINT) AS questions, round(sum(r * n) / sum(n), 6) AS recall_at_k, round(sum(mrr * n) / sum(n), 6) AS mrr, round(sum(t * n) / sum(n), 6) AS retrieved_tokens_at_k FROM cases GROUP BY ALL""")
+def pooled_weighted(spark, sf_dir):
+    rows = matrix_results(spark, sf_dir).withColumn("c", F.col("question_id") % 3)
+    cells = scoring.metrics(rows, TOP, ("strategy", "retriever", "c"))
+    return comparison.pooled(cells).withColumns({c: r6(c) for c in ("recall_at_k", "mrr", "retrieved_tokens_at_k")})
+
+
+# question sets ------------------------------------------------------------------------------------------------------------
+
+#: Benchmark items as a question set with faults: every fifth takes the id of the one before it, every seventh is cut to three words.
+FAULTY_SQL = rf"""questions AS (SELECT item_id AS q_ord, CASE WHEN item_id % 5 = 4 THEN item_id - 1 ELSE item_id END AS question_id, CASE WHEN item_id % 7 = 6 THEN trim(array_to_string(({PIECES})[1:3], '')) ELSE text END AS gold FROM benchmark)"""
+
+
+def faulty_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "benchmark")
+    gold = F.when(F.col("item_id") % 7 == 6, F.trim(F.array_join(F.slice(T.token_pieces(F.col("text")), 1, 3), ""))).otherwise(F.col("text"))
+    return rows.select(F.col("item_id").alias("q_ord"), F.when(F.col("item_id") % 5 == 4, F.col("item_id") - 1).otherwise(F.col("item_id")).alias("question_id"), F.array(gold).alias("gold_snippets"))
+
+
+@query(f"WITH {FAULTY_SQL} SELECT question_id, count(*) AS n FROM questions GROUP BY question_id HAVING count(*) > 1")
+def validate_duplicates(spark, sf_dir):
+    return questions.validate(faulty_questions(spark, sf_dir), docs(spark, sf_dir), align=False).where("kind = 'duplicate_id'").select("question_id", "n")
+
+
+FOUND_SQL = rf"""norms AS MATERIALIZED (SELECT doc_id, {NORM.format('text')} AS t FROM documents), found AS MATERIALIZED (SELECT q.q_ord, any_value(q.question_id) AS question_id, any_value(q.gold) AS gold, count(n.doc_id) AS n FROM questions q LEFT JOIN norms n ON contains(n.t, {NORM.format('q.gold')}) GROUP BY q.q_ord)"""
+
+
+@query(f"WITH {FAULTY_SQL}, {FOUND_SQL} SELECT q_ord, question_id, n FROM found WHERE n > 1")
+def validate_ambiguous(spark, sf_dir):
+    return questions.validate(faulty_questions(spark, sf_dir), docs(spark, sf_dir), align=False).where("kind = 'ambiguous'").select("q_ord", "question_id", "n")
+
+
+@query(f"WITH {FAULTY_SQL}, {FOUND_SQL} SELECT q_ord, question_id, CAST({count_sql('gold')} AS BIGINT) AS n FROM found WHERE n > 0 AND {count_sql('gold')} < 5")
+def validate_short(spark, sf_dir):
+    return questions.validate(faulty_questions(spark, sf_dir), docs(spark, sf_dir), align=False).where("kind = 'too_short'").select("q_ord", "question_id", "n")
+
+
+@query(f"WITH {FAULTY_SQL}, {FOUND_SQL} SELECT q_ord, question_id, 'not_found' AS kind FROM found WHERE n = 0")
+def validate_missing(spark, sf_dir):
+    return questions.validate(faulty_questions(spark, sf_dir), docs(spark, sf_dir), align=False).where("kind = 'not_found'").select("q_ord", "question_id", "kind")
+
+
+@query(rf"WITH n AS (SELECT greatest(count(*), 1) AS n FROM documents), w AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z''-]+'))) AS word FROM documents) SELECT word, count(*) AS df, round(ln(any_value(n) * 1e0 / (1 + count(*))) + 1, 6) AS idf FROM w, n GROUP BY word")
+def draft_idf(spark, sf_dir):
+    return questions.word_weights(docs(spark, sf_dir)).withColumn("idf", r6("idf"))
+
+
+def fact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with plain facts in English between their own sentences, for drafting."""
+    fact = F.concat(F.lit(" The retention period for record "), F.col("doc_id").cast("string"), F.lit(" is limited to "), (F.col("doc_id") % 90 + 2).cast("string"), F.lit(" days after closing of the account in question. "))
+    return docs(spark, sf_dir).select("doc_id", F.concat("text", F.lit("\n\n"), F.trim(fact)).alias("text"))
+
+
+@query()
+def draft_questions(spark, sf_dir):
+    return questions.draft(fact_documents(spark, sf_dir), 20)
+
+
+@query(rf"""WITH {chunks_sql()}, {QUESTIONS_SQL}, {FOUND_SQL.split(', found')[0]}, pairs AS (SELECT q.question_id, q.gold, n.doc_id FROM questions q JOIN norms n ON contains(n.t, q.norm)),
+g AS (SELECT p.question_id, p.doc_id, strpos(d.text, p.gold) - 1 AS s, length(p.gold) AS n FROM pairs p JOIN documents d USING (doc_id) WHERE strpos(d.text, p.gold) > 0)
+SELECT g.question_id, g.doc_id, CAST(g.s AS INTEGER) AS start, CAST(g.s + g.n AS INTEGER) AS "end", CASE WHEN max(CAST(c.start <= g.s AND c."end" >= g.s + g.n AS INTEGER)) = 1 THEN 'clean' ELSE 'split' END AS status FROM g JOIN chunks c USING (doc_id) GROUP BY ALL""")
+def gold_markers(spark, sf_dir):
+    q = question_rows(spark, sf_dir)
+    gold, d = scoring.gold_rows(q), docs(spark, sf_dir)
+    return comparison.gold_markers(d, gold, chunks(spark, sf_dir), questions.containing(d, gold)).select("question_id", "doc_id", "start", "end", "status")
+
+
+@query(f"WITH {chunks_sql()}, {chunks_sql(96, 16, 'fixed_small', 'c1')} SELECT count(*) AS misses FROM (SELECT DISTINCT text FROM chunks) WHERE text NOT IN (SELECT text FROM c1)")
+def cache_misses(spark, sf_dir):
+    """Texts of the 128-token chunks whose vectors a cache filled with 96-token chunks lacks."""
+    wanted = comparison.cache_keys(chunks(spark, sf_dir), "hash-256")
+    have = comparison.cache_keys(chunking.fixed(docs(spark, sf_dir), 96, 16), "hash-256")
+    return comparison.cache_misses(wanted, have).agg(F.count("*").alias("misses"))
+
+
+@query(rf"""WITH {SENTENCES_SQL}, {vectors_sql("(SELECT doc_id || ':' || idx AS id, sentence FROM sentences)", 'id', 'sentence', 'v')},
+k AS (SELECT s.doc_id, s.idx, s.doc_id || ':' || s.idx AS a, s.doc_id || ':' || (s.idx + 1) AS b FROM sentences s JOIN sentences t ON t.doc_id = s.doc_id AND t.idx = s.idx + 1),
+dots AS (SELECT k.a AS id, sum(x.weight * y.weight) AS dot FROM k JOIN v x ON x.id = k.a JOIN v y ON y.id = k.b AND y.bucket = x.bucket GROUP BY k.a),
+dist AS (SELECT k.doc_id, k.idx, round(1 - coalesce(dot, 0), 6) AS d FROM k LEFT JOIN dots ON dots.id = k.a), th AS (SELECT doc_id, quantile_cont(d, 0.95e0) AS t FROM dist GROUP BY doc_id)
+SELECT doc_id, count(*) + 1 AS sentences, round(any_value(t), 6) AS threshold, CAST(sum(CASE WHEN d > t + 1e-9 THEN 1 ELSE 0 END) AS BIGINT) AS breaks FROM dist JOIN th USING (doc_id) GROUP BY doc_id""")
+def semantic_breakpoints(spark, sf_dir):
+    """Distances of neighbouring sentences, each document's 95th percentile, and how many lie above it."""
+    from pyspark.sql.window import Window as W
+
+    spans = docs(spark, sf_dir).select("doc_id", "text", F.posexplode(T.sentence_spans(F.col("text"))).alias("idx", "s"))
+    rows = spans.select("doc_id", "idx", F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("sentence"))
+
+    def counts(c: Column) -> Column:
+        b = F.transform(F.array_sort(T.hash_buckets(c)), lambda x: x)
+        return F.transform(F.array_distinct(b), lambda x: F.struct(x.alias("b"), F.size(F.filter(b, lambda y: y == x)).cast("double").alias("n")))
+
+    rows = rows.select("doc_id", "idx", counts(F.col("sentence")).alias("v"))
+    rows = rows.withColumn("w", F.lead("v").over(W.partitionBy("doc_id").orderBy("idx"))).where("w IS NOT NULL")
+
+    def norm(c: str) -> Column:
+        return F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x["n"] * x["n"]))
+
+    dot = F.aggregate("v", F.lit(0.0), lambda a, x: a + x["n"] * F.aggregate("w", F.lit(0.0), lambda s, y: s + F.when(y["b"] == x["b"], y["n"]).otherwise(0.0)))
+    d = rows.select("doc_id", r6(1 - F.coalesce(F.try_divide(dot, norm("v") * norm("w")), F.lit(0.0))).alias("d"))
+    limits = d.groupBy("doc_id").agg(F.percentile("d", 0.95).alias("t"), F.collect_list("d").alias("ds"))
+    return limits.select("doc_id", (F.size("ds") + 1).cast("long").alias("sentences"), r6("t").alias("threshold"), F.size(F.filter("ds", lambda x: x > F.col("t") + 1e-9)).cast("long").alias("breaks"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["strategy_ranking"](spark, sf_dir)
+    return strategy_ranking(spark, sf_dir)
