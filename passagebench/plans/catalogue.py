@@ -105,10 +105,10 @@ def fuse_sql(a: str, b: str, top: int, as_name: str = "fused") -> str:
 
 SENTENCES_SQL = r"""sentence_p AS (SELECT doc_id, unnest(ps) AS part, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?]["'')\]*_»”]*\s+|\n{2,})', '\1' || chr(1), 'g'), chr(1)) AS ps FROM documents)),
 sentence_g AS (SELECT *, coalesce(sum(CASE WHEN regexp_matches(part, '(?i)(^|[\s(])(mr|mrs|ms|dr|prof|sr|jr|st|vs|etc|e\.g|i\.e|fig|no|vol|inc|ltd|co|dept|approx)[.!?]*\s+$') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g,
-  coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM sentence_p),
-sentence_m AS (SELECT doc_id, g, min(at) AS at, string_agg(part, '' ORDER BY i) AS s FROM sentence_g GROUP BY doc_id, g),
-sentences AS MATERIALIZED (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS INTEGER) AS idx, CAST(at + length(s) - length(regexp_replace(s, '^\s+', '')) AS INTEGER) AS start,
-  CAST(at + length(regexp_replace(s, '\s+$', '')) AS INTEGER) AS "end", trim(regexp_replace(regexp_replace(s, '^\s+', ''), '\s+$', '')) AS sentence FROM sentence_m WHERE regexp_replace(s, '\s+', '', 'g') <> '')"""
+  coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM sentence_p),
+sentence_m AS (SELECT doc_id, g, min(off) AS off, string_agg(part, '' ORDER BY i) AS s FROM sentence_g GROUP BY doc_id, g),
+sentences AS MATERIALIZED (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS INTEGER) AS idx, CAST(off + length(s) - length(regexp_replace(s, '^\s+', '')) AS INTEGER) AS start,
+  CAST(off + length(regexp_replace(s, '\s+$', '')) AS INTEGER) AS "end", trim(regexp_replace(regexp_replace(s, '^\s+', ''), '\s+$', '')) AS sentence FROM sentence_m WHERE regexp_replace(s, '\s+', '', 'g') <> '')"""
 
 HITS_SQL = r"""hits AS MATERIALIZED (SELECT r.question_id, r.rank, r.chunk_id FROM ranked r JOIN chunks c USING (chunk_id) JOIN questions q ON q.question_id = r.question_id WHERE contains(trim(regexp_replace(lower(c.text), '\s+', ' ', 'g')), q.norm))"""
 RESULTS_SQL = rf"""{HITS_SQL},
@@ -245,13 +245,9 @@ def structure_chunks(spark, sf_dir):
 
 
 TABLES_SQL = r"""lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
-placed AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM lines),
+placed AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM lines),
 runs AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM placed WHERE regexp_matches(line, '^[ \t]*\|.*\|[ \t]*$')),
-tables AS MATERIALIZED (SELECT doc_id, CAST(min(at) AS INTEGER) AS start, CAST(least(max(at + length(line) + 1), any_value(n)) AS INTEGER) AS "end", CAST(count(*) AS INTEGER) AS n_rows FROM runs JOIN (SELECT doc_id, length(text) AS n FROM documents) USING (doc_id) GROUP BY doc_id, run HAVING count(*) >= 2)"""
-#: Documents here have no table rows of their own; cells between bars on a line are made into rows.
-TABLE_DOCS_SQL = r"documents AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(?m)^(.* \| .*)$', '| \1 |', 'g'), '(?m)^([A-Z]+)!! ', '## \1\n', 'g') AS text FROM memory.main.documents)"
-
-
+tables AS MATERIALIZED (SELECT doc_id, CAST(min(off) AS INTEGER) AS start, CAST(least(max(off + length(line) + 1), any_value(n)) AS INTEGER) AS "end", CAST(count(*) AS INTEGER) AS n_rows FROM runs JOIN (SELECT doc_id, length(text) AS n FROM documents) USING (doc_id) GROUP BY doc_id, run HAVING count(*) >= 2)"""
 def table_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as markdown: lines with bars become table rows."""
     return docs(spark, sf_dir).select("doc_id", F.regexp_replace("text", r"(?m)^([^\n]* \| [^\n]*)$", "| $1 |").alias("text"))
