@@ -2,7 +2,8 @@
 
 A sentence ends with `.`, `!` or `?` at the end of a word, or with a line. One of over 20 words is divided at its commas,
 semicolons and colons, and a part that is still longer after words chosen by their hash, so that a passage repeated inside
-a long sentence has whole parts. Spans are every run of two or three consecutive sentences with 12 words or more. Each span
+a long sentence has whole parts. Spans are every run of two or three consecutive sentences with 12 words or more; where
+three have fewer, five, and where these have fewer, twelve. Each span
 is hashed over its case-folded words; spans with equal hashes are joined over the whole corpus, and of each the first by
 (doc_id, sentence) stays. Sentences covered by any span that isn't the first are removed; what lies between two sentences
 goes with the one before.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from . import common, kernels as K
 from .ngram_join import _joined, _pieces
 
-SPANS = ((3, 12), (2, 12))
+SPANS = ((2, 12), (3, 12), (5, 12), (12, 12))
 LONG = 20
 ENDS = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 CLAUSE_ENDS = np.isin(np.arange(256), [ord(c) for c in ",;:"])
@@ -66,6 +67,9 @@ def spans(hashes: np.ndarray, n: np.ndarray, rows: np.ndarray) -> tuple[np.ndarr
     found = []
     for kind, (k, least) in enumerate(SPANS):
         i = np.arange(max(0, len(hashes) - k + 1))
+        if k > 3:  # only where a run of the shorter length has too few words
+            short = SPANS[kind - 1][0]
+            i = i[total[i + short] - total[i] < least]
         i = i[(i + k <= end[i]) & (total[i + k] - total[i] >= least)] if len(i) else i
         found.append((K.grams(hashes, k)[i] if len(i) else np.zeros(0, K.U), i, np.full(len(i), kind)))
     h, i, kind = (np.concatenate(x) for x in zip(*found))
