@@ -70,7 +70,7 @@ class CuckooFilter:
 
     @classmethod
     def sized(cls, keys: int) -> CuckooFilter:
-        return cls(np.zeros((max(2, 1 << int(np.ceil(np.log2(max(1, keys) / 3.2)))), 4), np.uint16))
+        return cls(np.zeros((1 << max(1, (int(keys / 3.2)).bit_length()), 4), np.uint16))
 
     @classmethod
     def load(cls, blob: bytes) -> CuckooFilter:
