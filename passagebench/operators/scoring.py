@@ -31,16 +31,21 @@ def _contained(pairs: DataFrame, keys: list[str], fuzzy: float | None) -> DataFr
     return exact.unionByName(rest.where(partial_ratio_column(F.col("norm"), F.col("haystack")) >= fuzzy))
 
 
+def held(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Ranked rows with their chunks' text, tokens and span: at most k rows a question and cell, whatever the corpus."""
+    return ranked if "text" in ranked.columns else ranked.join(chunks.select("strategy", "chunk_id", "text", "token_count", "start", "end"), ["strategy", "chunk_id"])
+
+
 def hits(ranked: DataFrame, chunks: DataFrame, gold: DataFrame, fuzzy: float | None = 0.90, cell: tuple[str, ...] = CELL) -> DataFrame:
     """cell.., question_id, gold_index, rank of every gold snippet that a retrieved chunk holds."""
-    texts = chunks.select("strategy", "chunk_id", T.normalize(F.col("text")).alias("haystack"))
-    pairs = ranked.join(texts, ["strategy", "chunk_id"]).join(gold.select("question_id", "gold_index", "norm"), "question_id")
+    texts = held(ranked, chunks).withColumn("haystack", T.normalize(F.col("text")))
+    pairs = texts.join(gold.select("question_id", "gold_index", "norm"), "question_id")
     return _contained(pairs.select(*cell, "question_id", "gold_index", "rank", "norm", "haystack"), [*cell], fuzzy).select(*cell, "question_id", "gold_index", "rank")
 
 
 def splits(ranked: DataFrame, chunks: DataFrame, gold: DataFrame, found: DataFrame, fuzzy: float | None = 0.90, cell: tuple[str, ...] = CELL) -> DataFrame:
     """cell.., question_id where a snippet that no chunk holds is in two retrieved chunks that touch or overlap."""
-    rows = ranked.join(chunks.select("strategy", "chunk_id", "text", "start", "end"), ["strategy", "chunk_id"])
+    rows = held(ranked, chunks)
     a = rows.select(*cell, "question_id", "doc_id", *[F.col(c).alias(f"a_{c}") for c in ("rank", "text", "start", "end")])
     b = rows.select(*cell, "question_id", "doc_id", *[F.col(c).alias(f"b_{c}") for c in ("rank", "text", "start", "end")])
     first = (F.col("a_start") < F.col("b_start")) | ((F.col("a_start") == F.col("b_start")) & (F.col("a_rank") < F.col("b_rank")))
@@ -53,9 +58,10 @@ def splits(ranked: DataFrame, chunks: DataFrame, gold: DataFrame, found: DataFra
 def per_question(ranked: DataFrame, chunks: DataFrame, questions: DataFrame, fuzzy: float | None = 0.90, cell: tuple[str, ...] = CELL) -> DataFrame:
     """One row per cell and scored question."""
     gold = gold_rows(questions)
-    found = hits(ranked, chunks, gold, fuzzy, cell)
+    ranked = held(ranked, chunks).persist()
+    found = hits(ranked, chunks, gold, fuzzy, cell).persist()
     total = gold.groupBy("question_id").agg(F.count("*").alias("gold_total"))
-    context = ranked.join(chunks.select("strategy", "chunk_id", "token_count"), ["strategy", "chunk_id"]).groupBy(*cell, "question_id").agg(F.sum("token_count").alias("retrieved_tokens"))
+    context = ranked.groupBy(*cell, "question_id").agg(F.sum("token_count").alias("retrieved_tokens"))
     counts = found.groupBy(*cell, "question_id").agg(F.min("rank").alias("first_hit_rank"), F.count_distinct("rank").alias("hit_chunks"), F.count_distinct("gold_index").alias("gold_found"), F.array_sort(F.collect_set("gold_index")).alias("found_gold"))
     tokens = found.select(*cell, "question_id", "gold_index").distinct().join(gold.select("question_id", "gold_index", "gold_tokens"), ["question_id", "gold_index"]).groupBy(*cell, "question_id").agg(F.sum("gold_tokens").alias("found_tokens"))
     split = splits(ranked, chunks, gold, found, fuzzy, cell).withColumn("split_across", F.lit(True))
