@@ -133,7 +133,7 @@ def _postings(batches: Iterator[pa.RecordBatch], parts: int, frequent: bytes, or
     size = 0
 
     def blobs() -> pa.RecordBatch:
-        t = np.concatenate([x for x, _, _ in held])
+        t = K.mix(np.concatenate([x for x, _, _ in held]))  # prefixes have the least values: mixed again, they fill all ranges alike
         lengths = [len(x) for x, _, _ in held]
         k = np.repeat(np.array([x for _, x, _ in held], np.int64), lengths)
         n = np.repeat(np.array([x for _, _, x in held], np.uint32), lengths)
