@@ -33,48 +33,46 @@ def ratio(a: str, b: str) -> float:
     return 2 * lcs(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
-def best_alignment(short: str, long: str) -> tuple[float, int, int]:
-    """Ratio, start and end of the best window; the first of equals."""
+def best_alignment(short: str, long: str, above: float = 0.0) -> tuple[float, int, int]:
+    """Ratio, start and end of the best window, the first of equals; zeros if no ratio exceeds `above`.
+
+    A window that is d places on shares at most d characters more, so after a ratio r the next that can beat the best so far
+    is (best - r) times the window's length on; no window is missed by going there at once.
+    """
     if not short or not long:
         return (1.0 if short == long else 0.0), 0, 0
     if len(short) > len(long):
-        r, _, _ = best_alignment(long, short)
+        r, _, _ = best_alignment(long, short, above)
         return r, 0, len(long)
     m = len(short)
     at = long.find(short)
     if at >= 0:
         return 1.0, at, at + m
-    have: dict[str, int] = {}
-    for c in short:
-        have[c] = have.get(c, 0) + 1
-    best = (0.0, 0, 0)
-    # letters that a window shares with the short string, kept up as it slides, bound its LCS
-    inside: dict[str, int] = {}
-    shared = 0
-    for end in range(1, len(long) + m):
-        if end <= len(long):
-            c = long[end - 1]
-            inside[c] = inside.get(c, 0) + 1
-            shared += inside[c] <= have.get(c, 0)
-        if (gone := end - m - 1) >= 0:
-            c = long[gone]
-            shared -= inside[c] <= have.get(c, 0)
-            inside[c] -= 1
+    best = (above, 0, 0)
+    end = 1
+    while end < len(long) + m:
         lo, hi = max(0, end - m), min(end, len(long))
-        if 2 * shared / (m + hi - lo) > best[0] and (r := ratio(short, long[lo:hi])) > best[0]:
+        if 2 * (hi - lo) / (m + hi - lo) <= best[0]:  # cut off at an end, and too short for any ratio above the best
+            end += 1
+            continue
+        r = ratio(short, long[lo:hi])
+        if r > best[0]:
             best = r, lo, hi
-    return best
+        whole = m <= end <= len(long)
+        step = int((best[0] - r) * m) if whole else 0
+        end = min(end + max(1, step), len(long) + 1) if whole else end + 1
+    return best if best[2] else (0.0, 0, 0)
 
 
-def partial_ratio(short: str, long: str) -> float:
-    return best_alignment(short, long)[0]
+def partial_ratio(short: str, long: str, above: float = 0.0) -> float:
+    return best_alignment(short, long, above)[0]
 
 
 @F.pandas_udf(DoubleType())
-def _partial_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in pairs:
-        yield pd.Series([None if x is None or y is None else partial_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+def _partial_ratio(pairs: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for a, b, least in pairs:
+        yield pd.Series([None if x is None or y is None else partial_ratio(x, y, t) for x, y, t in zip(a, b, least)], dtype="float64")
 
 
-def partial_ratio_column(short: Column, long: Column) -> Column:
-    return _partial_ratio(short, long)
+def partial_ratio_column(short: Column, long: Column, above: float = 0.0) -> Column:
+    return _partial_ratio(short, long, F.lit(float(above)))

@@ -28,7 +28,7 @@ def _contained(pairs: DataFrame, keys: list[str], fuzzy: float | None) -> DataFr
         return exact
     ship(pairs.sparkSession)
     rest = usable.where(~F.expr("contains(haystack, norm)"))
-    return exact.unionByName(rest.where(partial_ratio_column(F.col("norm"), F.col("haystack")) >= fuzzy))
+    return exact.unionByName(rest.where(partial_ratio_column(F.col("norm"), F.col("haystack"), fuzzy - 1e-9) >= fuzzy))
 
 
 def held(ranked: DataFrame, chunks: DataFrame) -> DataFrame:

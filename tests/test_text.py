@@ -68,3 +68,17 @@ def test_statistics():
         stats.paired_interval([1], [1, 2])
     assert stats.questions_to_separate(20, 0, (-1, 1)) is None and stats.questions_to_separate(889, 1.76e-5, (-0.022, 0.023)) is None
     assert 70 < stats.questions_to_separate(70, 0.034, (-0.048, 0.121)) < 100_000
+
+
+def test_alignment_against_all_windows():
+    import random
+
+    from passagebench.functions.similarity import ratio
+
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abcd ") for _ in range(rng.randint(1, n))) for n in (9, 40))
+        if len(a) > len(b):
+            a, b = b, a
+        windows = [(max(0, e - len(a)), min(e, len(b))) for e in range(1, len(b) + len(a))]
+        assert abs(partial_ratio(a, b) - max(ratio(a, b[x:y]) for x, y in windows)) < 1e-12
