@@ -199,7 +199,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     rows = common.stored(labelled(docs, labels), folder, "labelled")
     counts = rows.mapInArrow(_learn, "fold long, f long, toxic long, clean long, texts long").groupBy("f", "fold").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "texts")])
     counts = common.stored(counts, folder, "counts")
-    frequent = counts.groupBy("f").agg(F.sum("texts").alias("all_texts")).where((F.col("all_texts") >= LEAST_TEXTS) | (F.col("f") == 0)).select("f")
+    n1, n0 = counts.where("f = 0").agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("clean"), F.lit(0))).first()
+    # significant features are e times as frequent in toxic texts; those under 1.5 times can't be among them
+    sums = counts.groupBy("f").agg(*[F.sum(c).alias(f"all_{c}") for c in ("toxic", "clean", "texts")])
+    likely = (F.col("all_texts") >= LEAST_TEXTS) & (F.col("all_toxic") * float(n0) >= 1.5 * F.col("all_clean") * float(n1))
+    frequent = sums.where(likely | (F.col("f") == 0)).select("f")
     table = counts.join(frequent, "f", "left_semi").toPandas()
     f, at = np.unique(table.f.to_numpy(np.int64), return_inverse=True)
     cube = np.zeros((3, FOLDS, len(f)))
