@@ -11,7 +11,8 @@ evidence is the sum of -log P over its significant segments, and a logistic curv
 curve the labelled texts are scored fold by fold with words learned from the other folds.
 
 Labels come only from rows whose crc32(doc_id) mod 4 is not 2, at most TOXIC_ROWS and CLEAN_ROWS of them, chosen by a hash of
-doc_id. Text is the only input of a score.
+doc_id. All labels of each class are counted, and where one is sampled its rows weigh as many as they stand for, in the prior, the
+log-odds and the curve: the score is that of the classes' true shares, whatever the size. Text is the only input of a score.
 
 Defined cases: null and empty texts have no evidence and the lowest score; a doc_id labelled more than once is toxic if any of
 its labels is; labels without a document and documents without a label are fine; a null doc_id is not held out and has no
@@ -143,19 +144,23 @@ def _profile(batches: Iterator[pa.RecordBatch], models: list[Model]) -> Iterator
             yield pa.RecordBatch.from_arrays([part.column(1).cast(pa.int32()), pa.array([n for n, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.float64()))], names=["toxic", "n", "scores"])
 
 
-def _weigh(f: np.ndarray, y1: np.ndarray, y0: np.ndarray, texts: np.ndarray, n1: float, n0: float, bias: float) -> Model:
-    """Scores of the significant features, and lambda."""
+def _weigh(f: np.ndarray, y1: np.ndarray, y0: np.ndarray, texts: np.ndarray, n1: float, n0: float, bias: float, weights: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """Scores of the significant features, and lambda. weights: of a toxic and of a clean row."""
     model = Model(np.zeros(0, K.U), np.zeros(0), bias=bias)
     if min(n1, n0) <= 0:
         return model
+    rate0, (w1, w0) = y0 / n0, weights
+    with np.errstate(divide="ignore"):  # a weight makes a count larger, not surer
+        error = np.sqrt(1 / (y1 + PRIOR * (y1 + y0)) + 1 / (y0 + PRIOR * (y1 + y0)))
+    y1, y0, n1, n0 = w1 * y1, w0 * y0, w1 * n1, w0 * n0
     prior, both = PRIOR * (y1 + y0), PRIOR * (n1 + n0)
     with np.errstate(divide="ignore", invalid="ignore"):
         odds = np.log((y1 + prior) / (n1 + both - y1 - prior)) - np.log((y0 + prior) / (n0 + both - y0 - prior))
-        z = odds / np.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))
+        z = odds / error
     good = (texts >= LEAST_TEXTS) & (z >= SIGNIFICANT) & (odds >= 1.0)
     order = np.argsort(f[good])
     model.features, model.scores = f[good][order], np.minimum(odds[good], CAP)[order]
-    rate, low, high = (y0[good] / n0)[order], 1e-6, 20.0
+    rate, low, high = rate0[good][order], 1e-6, 20.0
     for _ in range(100):  # the root of sum rate exp(l s) + (1 - sum rate) exp(-l DRIFT) = 1
         mid = (low + high) / 2
         low, high = (mid, high) if (rate * np.exp(np.minimum(mid * model.scores, 600))).sum() + max(0.0, 1 - rate.sum()) * np.exp(-mid * DRIFT) < 1 else (low, mid)
@@ -163,18 +168,18 @@ def _weigh(f: np.ndarray, y1: np.ndarray, y0: np.ndarray, texts: np.ndarray, n1:
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and bias by Newton's method with a slight ridge; a step that doesn't lower the loss is halved."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0) -> tuple[float, float]:
+    """Slope and bias of weighted rows by Newton's method with a slight ridge; a step that doesn't lower the loss is halved."""
     unit = float(np.std(x)) or 1.0
     w, a = np.zeros(2), np.column_stack([x / unit, np.ones(len(x))])
 
     def loss(w: np.ndarray) -> float:
         z = a @ w
-        return float((np.logaddexp(0, z) - y * z).sum() + 0.5e-2 * w @ w)
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + 0.5e-2 * w @ w)
 
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(2), a.T @ (y - p) - 1e-2 * w)
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(2), a.T @ (weight * (y - p)) - 1e-2 * w)
         now = loss(w)
         while loss(w + step) > now and abs(step).max() > 1e-9:
             step /= 2
@@ -184,9 +189,23 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / unit), float(w[1])
 
 
+def _labels(labels: DataFrame) -> DataFrame:
+    """doc_id, label of all rows that may be learned from."""
+    return labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
+
+
+def class_weights(labels: DataFrame) -> tuple[float, float]:
+    """How many labels a sampled toxic and a sampled clean one stand for, scaled so that the sample keeps its size."""
+    count = {r.label: r["count"] for r in _labels(labels).groupBy("label").count().collect()}
+    all_rows = [count.get(1, 0), count.get(0, 0)]
+    sampled = [min(n, most) for n, most in zip(all_rows, (TOXIC_ROWS, CLEAN_ROWS))]
+    toxic, clean = (n / k * sum(sampled) / sum(all_rows) if k else 1.0 for n, k in zip(all_rows, sampled))
+    return toxic, clean
+
+
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """text, toxic, fold of the training rows."""
-    one = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    one = _labels(labels)
     order = F.xxhash64(F.col("doc_id"), F.lit("sample"))
     parts = [one.where(F.col("label") == y).orderBy(order, "doc_id").limit(n) for y, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
     chosen = parts[0].union(parts[1]).select(F.col("doc_id").alias("labelled_id"), "label", F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"))
@@ -196,6 +215,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     common.prepare(docs.sparkSession)
     folder = common.work_folder(docs.sparkSession)
+    weights = class_weights(labels)
     rows = common.stored(labelled(docs, labels), folder, "labelled")
     counts = rows.mapInArrow(_learn, "fold long, f long, toxic long, clean long, texts long").groupBy("f", "fold").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "texts")])
     counts = common.stored(counts, folder, "counts")
@@ -210,12 +230,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     for c, name in enumerate(("toxic", "clean", "texts")):
         cube[c, table.fold.to_numpy(), at] = table[name].to_numpy(float)
     share = rows.agg(F.avg("toxic")).first()[0] or 0.0
+    share = weights[0] * share / (weights[0] * share + weights[1] * (1 - share))
     bias = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
     total, words = f == 0, f != 0
 
     def made(folds: list[int]) -> Model:
         y1, y0, texts = cube[:, folds].sum(1)
-        return _weigh(f[words].view(K.U), y1[words], y0[words], texts[words], float(y1[total].sum()), float(y0[total].sum()), bias)
+        return _weigh(f[words].view(K.U), y1[words], y0[words], texts[words], float(y1[total].sum()), float(y0[total].sum()), bias, weights)
 
     models = [made([j for j in range(FOLDS) if j != k]) for k in range(FOLDS)]
     model = made(list(range(FOLDS)))
@@ -226,7 +247,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         model.scale = float(np.clip(some.sum() / clean.sum() / seen.n[clean].mean() / 2 / np.exp(-model.decay * np.median(best[some])), 1e-6, 1.0))
     if seen.toxic.nunique() == 2:
         x = np.log1p([model.evidence(n, [(0, 0, s) for s in scores]) for n, scores in zip(seen.n, seen.scores)])
-        model.slope, model.bias = _logistic(x, seen.toxic.to_numpy(float))
+        y = seen.toxic.to_numpy(float)
+        model.slope, model.bias = _logistic(x, y, np.where(y > 0, *weights))
     return model
 
 

@@ -161,6 +161,22 @@ def test_toxicity(docs, none, spark):
     assert toxicity.score(docs, flat).count() == docs.count() and toxicity.score(none, model).count() == 0
 
 
+def test_toxicity_sample_keeps_class_shares(spark, monkeypatch):
+    """A word of which one text in five is toxic stays below the cut when only some of the clean rows are sampled."""
+    words = "calm quiet plain early garden river stone paper".split()
+    word = lambda i: (" murky" * 3 if i % 5 < 3 else " vile rotten vile") if i < 40 else " murky" * 3 if i % 33 == 0 else ""
+    texts = spark.createDataFrame([(i, " ".join(words[(i * 7 + k) % 8] for k in range(20)) + word(i)) for i in range(3240)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(3240)], "doc_id long, toxic int")
+
+    def predicted():
+        return {r.doc_id for r in toxicity.score(texts, toxicity.train(texts, labels)).where("predicted = 1").collect()}
+
+    want = predicted()
+    assert want == {i for i in range(40) if i % 5 >= 3}
+    monkeypatch.setattr(toxicity, "CLEAN_ROWS", 300)
+    assert predicted() == want
+
+
 def test_segments():
     import numpy as np
 
