@@ -1,8 +1,8 @@
 """Substring deduplication over sliding sentence spans.
 
 A sentence ends with `.`, `!` or `?` at the end of a word, or with a line. One of over 20 words is divided at its commas,
-semicolons and colons, and a part that is still longer after words chosen by their hash, so that a passage repeated inside
-a long sentence has whole parts. Spans are every run of two or three consecutive sentences with 12 words or more; where
+semicolons and colons, and a part that is still longer after the word of least hash of every WINDOW consecutive ones, so that
+a passage repeated inside a long sentence is cut alike in both places, at most WINDOW words apart. Spans are every run of two or three consecutive sentences with 12 words or more; where
 three have fewer, five, and where these have fewer, twelve. Each span
 is hashed over its case-folded words; spans with equal hashes are joined over the whole corpus, and of each the first by
 (doc_id, sentence) stays. Sentences covered by any span that isn't the first are removed; what lies between two sentences
@@ -32,11 +32,24 @@ from .ngram_join import _joined, _pieces
 
 SPANS = ((2, 12), (3, 12), (5, 12), (12, 12))
 LONG = 20
+WINDOW = 8
 ENDS = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 CLAUSE_ENDS = np.isin(np.arange(256), [ord(c) for c in ",;:"])
 NULL_ID = -(2**63)
 
 
+def least_of_windows(h: np.ndarray, first: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """Marks the word of least hash, the last of equals, in every WINDOW words that lie within one part that is long."""
+    marks = np.zeros(len(h), bool)
+    part = np.cumsum(first)
+    i = np.flatnonzero(long[: max(0, len(h) - WINDOW + 1)] & (part[: max(0, len(h) - WINDOW + 1)] == part[WINDOW - 1 :])) if len(h) >= WINDOW else np.zeros(0, np.int64)
+    best = i.copy()
+    for k in range(1, WINDOW):
+        best = np.where(h[i + k] <= h[best], i + k, best)
+    marks[best] = True
+    return marks
+
+
 def sentences(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each sentence the hash, number of words and first byte; the n + 1 positions in these where each row begins."""
     h, start, end, rows = K.words(buf, offsets, K.SPACE)
@@ -49,8 +62,9 @@ def sentences(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     first[rows[:-1][rows[:-1] < len(h)]] = True
     at = np.flatnonzero(first)
     n = np.diff(np.append(at, len(h)))
-    for marks in (CLAUSE_ENDS[buf[end - 1]], h % K.U(8) == 0):
-        first[1:] |= marks[:-1] & (np.repeat(n, n) > LONG)[1:]
+    for marked in (lambda long: CLAUSE_ENDS[buf[end - 1]], lambda long: least_of_windows(h, first, long)):
+        long = np.repeat(n, n) > LONG
+        first[1:] |= marked(long)[:-1] & long[1:]
         at = np.flatnonzero(first)
         n = np.diff(np.append(at, len(h)))
     with np.errstate(over="ignore"):

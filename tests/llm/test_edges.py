@@ -52,6 +52,23 @@ def test_substring_dedup(docs, none):
     assert {r.text for r in again} == {"the same three words here"}
 
 
+def test_substring_dedup_inside_sentences(spark):
+    """Of passages of 51 to 60 words without marks, pasted into the middle of two sentences, the second copy loses most."""
+    import random
+
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    made = []
+    for i in range(0, 600, 2):
+        passage = words(rng.randint(51, 60))
+        made += [(i + k, " ".join([*words(rng.randint(5, 40)), *passage, *words(rng.randint(5, 40))]) + ".", len(passage)) for k in (0, 1)]
+    texts = spark.createDataFrame(made, "doc_id long, text string, n_passage int")
+    out = {r.doc_id: r.text for r in substring_dedup.without_repeats(texts).collect()}
+    lost = [(len(t.split()) - len(out[i].split())) / n for i, t, n in made]
+    assert not any(lost[::2])
+    assert min(lost[1::2]) >= 0.5 and max(lost) <= 1
+
+
 def test_line_dedup(docs, none):
     out = line_dedup.LineIndex(docs.sparkSession, 2).insert(docs).apply(docs)
     got = {r.doc_id: r.text for r in out.collect()}
