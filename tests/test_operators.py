@@ -183,3 +183,23 @@ def test_stream(spark, tmp_path):
     run = chunks.chunk_stream(chunks.documents_stream(spark, str(tmp_path / "in")), "fixed", chunk_size=40, overlap=8).writeStream.format("memory").queryName("chunked").start()
     run.processAllAvailable(), run.stop()
     assert spark.table("chunked").count() > 5
+
+
+def test_validate_missing_tells_near_matches(spark, tmp_path):
+    """Against all windows by brute force."""
+    from passagebench.functions.similarity import ratio
+    from passagebench.plans import catalogue
+
+    texts = ["The invoice must be paid within thirty days of receipt by the buyer.", "Quite another text about rivers and stones.", None]
+    items = ["the invoice must be paid within thirty days of reciept by a buyer.", "No document holds these words at all.", "Quite another text about rivers", "Quite another tale of livers"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def best(short, long):
+        m = len(short)
+        return max(ratio(short, long[max(0, e - m) : e]) for e in range(1, len(long) + m) if long[max(0, e - m) : e])
+
+    norms = [t.lower() for t in texts if t]
+    want = [(i, "fuzzy_only" if max(best(x.lower(), t) for t in norms) >= 0.9 else "not_found") for i, x in enumerate(items) if not any(x.lower() in t for t in norms)]
+    assert ("fuzzy_only" in dict(want).values()) and len(want) == 3
+    assert sorted((r.q_ord, r.kind) for r in catalogue.QUERIES["validate_missing"](spark, str(tmp_path)).collect()) == want
