@@ -6,6 +6,8 @@ sums give all words of a block at once; blocks are cut between words, so memory
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -126,3 +128,18 @@ def isin_sorted(x: np.ndarray, table: np.ndarray) -> np.ndarray:
     at = np.searchsorted(table, x)
     at[at == len(table)] = 0
     return table[at] == x
+
+
+def pieces(batch: pa.RecordBatch, at: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of about so many bytes of text."""
+    _, offsets = text_bytes(batch.column(at))
+    begin = 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + most, "right")) - 1)
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
+def joined(column: pa.ChunkedArray, kind) -> np.ndarray:
+    """The numbers in all blobs of a column, one after the other."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind)

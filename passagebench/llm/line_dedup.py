@@ -7,16 +7,20 @@ shard whose filter is full is rebuilt from the exact table. Applying the index t
 that no filter holds stays without any lookup; the others are looked up in the exact table, so no false positive drops a line.
 
 Per-document distinct keys are counted per batch before the shuffle, so a line in a third of all documents is few rows.
-The exact table of repeated keys is read by the tasks if it is within common.BROADCAST_BYTES; beyond that the lines that
-pass the filters are joined with it by key.
+While the exact table of repeated keys is within common.BROADCAST_BYTES, every task reads it and the filters, and nothing is
+shuffled. Beyond that, lines travel to their shard: a task reads one shard's filter and exact keys at a time and streams that
+shard's lines past them. Keys that more than one in so many of all lines has are kept out of that: there can't be more of
+them than the table within the bound holds, so tasks drop them on the spot, and no shard has a hot line.
 
 Defined cases: a null or empty text is one empty line, which is never dropped; a document counts once for a key however often
-it has the line; every row is a document, so repeated rows count as often as they occur; extra columns pass through `apply`.
+it has the line; every row is a document, so repeated rows count as often as they occur; deleting rows that weren't inserted
+leaves negative counts, which later insertions make good; extra columns, whatever their names, pass through `apply`.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -27,12 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, kernels as K
-from .ngram_join import _pieces
 
 VALUES = [np.random.default_rng(s).integers(1, 2**64, 256, dtype=K.U) for s in (101, 202)]
 for _v in VALUES:
     _v[65:91] = _v[97:123]
 SHARD_KEYS = 50_000
+#: Lines, by their bytes in the shuffle, that one stream of a shard is meant to have.
+LANE_BYTES = 256 << 20
 
 
 def lines(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,7 +126,7 @@ class CuckooFilter:
 @common.lean
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in _pieces(whole, 0):
+        for batch in K.pieces(whole, 0):
             buf, offsets = K.text_bytes(batch.column(0))
             start, end, rows = lines(buf, offsets)
             a, b, some = line_keys(buf, start, end)
@@ -158,6 +163,13 @@ def _build(key, table: pa.Table) -> pa.Table:
     return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([f.table.tobytes()], pa.binary())], names=["shard", "filter"])
 
 
+@common.lean
+def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys as blobs of one key each, beside their first half, by which they are sharded."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x.tobytes() for x in batch.column(i).to_numpy()], pa.binary()) for i in (0, 1))], names=["a", "x", "y"])
+
+
 def _revise(key, old: pa.Table, changes: pa.Table) -> pa.Table:
     """A shard's filter after its keys' crossings; null where it is full."""
     shard = key[0].as_py()
@@ -176,11 +188,17 @@ def _load_filters(path: str, shards: int) -> dict[int, CuckooFilter]:
 
 
 @lru_cache(maxsize=2)
-def _load_repeated(path: str) -> np.ndarray:
+def _load_keys(path: str) -> np.ndarray:
     t = pq.read_table(path, columns=["a", "b"], partitioning=None)
     return np.unique(np.rec.fromarrays([t["a"].to_numpy(), t["b"].to_numpy()]))
 
 
+def _among(a: np.ndarray, b: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    if not len(keys) or not len(a):
+        return np.zeros(len(a), bool)
+    return np.isin(np.rec.fromarrays([a.view(np.int64), b.view(np.int64)]), keys)
+
+
 def _suspects(a: np.ndarray, some: np.ndarray, filters: dict[int, CuckooFilter], shards: int) -> np.ndarray:
     """Indices of the lines that a filter holds."""
     at = np.flatnonzero(some)
@@ -221,43 +239,80 @@ def _result(batch: pa.RecordBatch, text_at: int, gone_of, digest: bool) -> pa.Re
 
 @common.lean
 def _apply_here(batches: Iterator[pa.RecordBatch], filters: str, repeated: str, shards: int, text_at: int, digest: bool) -> Iterator[pa.RecordBatch]:
-    table, exact = _load_filters(filters, shards), _load_repeated(repeated)
+    table, exact = _load_filters(filters, shards), _load_keys(repeated)
 
     def gone_of(buf, start, end, rows):
         a, b, some = line_keys(buf, start, end)
         at = _suspects(a, some, table, shards)
         gone = np.zeros(len(start), bool)
-        if len(exact) and len(at):
-            probe = np.rec.fromarrays([a[at].view(np.int64), b[at].view(np.int64)])
-            gone[at] = np.isin(probe, exact)
+        gone[at[_among(a[at], b[at], exact)]] = True
         return gone
 
     for whole in batches:
-        for batch in _pieces(whole, text_at):
+        for batch in K.pieces(whole, text_at):
             yield _result(batch, text_at, gone_of, digest)
 
 
 @common.lean
-def _emit_suspects(batches: Iterator[pa.RecordBatch], filters: str | None, shards: int) -> Iterator[pa.RecordBatch]:
-    table = _load_filters(filters, shards) if filters else None
+def _send(batches: Iterator[pa.RecordBatch], heavy: str, shards: int, lanes: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key of the row, text) to blobs of lines by shard: halves of the line's key, row key, number of the line."""
+    hot = _load_keys(heavy)
     for whole in batches:
-        for batch in _pieces(whole, 1):
+        for batch in K.pieces(whole, 1):
             buf, offsets = K.text_bytes(batch.column(1))
             start, end, rows = lines(buf, offsets)
             a, b, some = line_keys(buf, start, end)
-            at = np.flatnonzero(some) if table is None else _suspects(a, some, table, shards)
+            at = np.flatnonzero(some)
+            at = at[~_among(a[at], b[at], hot)]
             row = np.searchsorted(rows, at, "right") - 1
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(at - rows[row], pa.int64()), pa.array(a[at].view(np.int64)), pa.array(b[at].view(np.int64))], names=["row_key", "line", "a", "b"])
+            names = np.frombuffer(b"".join(batch.column(0).to_pylist()), "V16")
+            shard = (a[at] % K.U(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            at, row, shard = at[order], row[order], shard[order]
+            cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(at) else []
+            out = list(zip(cuts[:-1], cuts[1:]))
+            lane = (int(names[0].tobytes()[0]) if len(names) else 0) % lanes
+            blobs = [[x[i:j].tobytes() for i, j in out] for x in (a[at], b[at], names[row], (at - rows[row]).astype(np.uint32))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(shard[i]) for i, _ in out], pa.int64()), pa.array([lane] * len(out), pa.int32()), pa.array([2] * len(out), pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)],
+                names=["shard", "lane", "kind", "x", "y", "owner", "line"],
+            )
 
 
 @common.lean
-def _apply_lists(batches: Iterator[pa.RecordBatch], text_at: int, digest: bool) -> Iterator[pa.RecordBatch]:
-    """The last column lists the lines to drop."""
+def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by shard: its filter (kind 0), its exact keys (1), then lines (2). Out come the lines to drop."""
+    now, table, keys, exact = None, None, [], None
+    for batch in batches:
+        found: list[tuple[bytes, np.ndarray]] = []
+        for shard, kind, x, y, owner, line in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6))):
+            if shard != now:
+                now, table, keys, exact = shard, None, [], None
+            if kind == 0:
+                table = CuckooFilter.load(x)
+            elif kind == 1:
+                keys.append((x, y))
+            elif table is not None:
+                if exact is None:
+                    exact = np.unique(np.rec.fromarrays([np.frombuffer(b"".join(k[i] for k in keys), np.int64) for i in (0, 1)]))
+                a, b = np.frombuffer(x, K.U), np.frombuffer(y, K.U)
+                at = np.flatnonzero(table.holds(a))
+                at = at[_among(a[at], b[at], exact)]
+                own, number = np.frombuffer(owner, "V16"), np.frombuffer(line, np.uint32)
+                found += [(own[i].tobytes(), int(number[i])) for i in at.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], names=["owner", "line"])
+
+
+@common.lean
+def _apply_lists(batches: Iterator[pa.RecordBatch], heavy: str, text_at: int, digest: bool) -> Iterator[pa.RecordBatch]:
+    """The last column lists the lines to drop, besides those whose keys many lines have."""
+    hot = _load_keys(heavy)
     for batch in batches:
         dropped = batch.column(batch.num_columns - 1).to_pylist()
 
         def gone_of(buf, start, end, rows):
-            gone = np.zeros(len(start), bool)
+            a, b, some = line_keys(buf, start, end)
+            gone = some & _among(a, b, hot)
             for r, drop in enumerate(dropped):
                 gone[[rows[r] + x for x in drop or ()]] = True
             return gone
@@ -303,7 +358,7 @@ class LineIndex:
             return
         old_counts, old_filters = self.counts, self.filters
         change = self._stored_changes(old_counts, delta)
-        total = old_counts.select("a", "b", "n").union(delta).groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 0")
+        total = old_counts.select("a", "b", "n").union(delta).groupBy("a", "b").agg(F.sum("n").alias("n")).where("n <> 0")
         crossed = self._sharded(change.select("a", "b", "up"))
         revised = old_filters.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInArrow(common.cogrouped(_revise), "shard long, filter binary")
         self.version += 1
@@ -328,7 +383,10 @@ class LineIndex:
         return self
 
     def apply(self, docs: DataFrame, digest: bool = False, bound: int | None = None) -> DataFrame:
-        """The documents without their repeated lines, or for digest doc_id, n_lines, n_dropped and kept_sha256."""
+        """The documents without their repeated lines, or for digest doc_id, n_lines, n_dropped and kept_sha256.
+
+        bound: bytes of keys that a task may hold.
+        """
         bound = common.BROADCAST_BYTES if bound is None else bound
         if digest:
             docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -338,13 +396,31 @@ class LineIndex:
         text_at = docs.columns.index("text")
         if 16 * self.n_repeated <= bound:
             return docs.mapInArrow(partial(_apply_here, filters=self._path("filters"), repeated=self._path("repeated"), shards=self.shards, text_at=text_at, digest=digest), schema)
+        return self._routed(docs, bound // 16, text_at, digest, schema)
+
+    def _routed(self, docs: DataFrame, most: int, text_at: int, digest: bool, schema: object) -> DataFrame:
+        total = self.counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        name = f"heavy-{self.version}-{most}-{uuid.uuid4().hex[:8]}"
+        # more than total / most lines each: fewer than `most` keys
+        common.stored(self.counts.where((F.col("n") >= self.least) & (F.col("n") * F.lit(most) > F.lit(total))).select("a", "b"), self.folder, name)
+        heavy = f"{self.folder}/{name}"
+        # 36 bytes a line; each lane of a shard is one stream of lines and has its own copy of filter and keys
+        lanes = min(256, max(1, -(-36 * total // (self.shards * LANE_BYTES))))
+        columns = "shard long, lane int, kind int, x binary, y binary, owner binary, line binary"
+        every = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane")
+        none = [F.lit(None).cast("binary").alias(c) for c in ("owner", "line")]
+        filters = self.filters.select("shard", every, F.lit(0).alias("kind"), F.col("filter").alias("x"), F.lit(None).cast("binary").alias("y"), *none)
+        exact = self._sharded(self.repeated.mapInArrow(_blobs, "a long, x binary, y binary")).select("shard", every, F.lit(1).alias("kind"), "x", "y", *none)
         # rows are known by doc_id and text here; both copies of a repeated row get the same list
-        filters = self._path("filters") if 4 * self.n_repeated <= bound else None
-        keyed = docs.withColumn("row_key", F.sha2(F.concat_ws("\x00", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))), 256))
-        found = keyed.select("row_key", "text").mapInArrow(partial(_emit_suspects, filters=filters, shards=self.shards), "row_key string, line long, a long, b long")
-        drops = found.join(self.repeated, ["a", "b"], "left_semi").groupBy("row_key").agg(F.collect_set("line").alias("dropped_lines"))
-        joined = keyed.join(drops, "row_key", "left").select(*[keyed[c] for c in docs.columns], "dropped_lines")
-        return joined.mapInArrow(partial(_apply_lists, text_at=text_at, digest=digest), schema)
+        key, drop = common.free(docs.columns, "row_key"), common.free(docs.columns, "dropped_lines")
+        keyed = docs.withColumn(key, F.unhex(F.md5(F.concat_ws("\x00", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.col("text").cast("string"), F.lit(""))))))
+        sent = keyed.select(F.col(key).alias("owner"), F.col("text").cast("string")).mapInArrow(partial(_send, heavy=heavy, shards=self.shards, lanes=lanes), columns)
+        n = max(common.shards(self.spark), min(self.shards * lanes, 100_000))
+        streams = filters.union(exact).union(sent).repartition(n, "shard", "lane").sortWithinPartitions("shard", "lane", "kind")
+        found = streams.mapInArrow(_probe, "owner binary, line long")
+        drops = found.groupBy(F.col("owner").alias(f"{key}_of")).agg(F.collect_set("line").alias(drop))
+        joined = keyed.join(drops, F.col(key) == F.col(f"{key}_of"), "left").select(*[f"`{c}`" for c in docs.columns], drop)
+        return joined.mapInArrow(partial(_apply_lists, heavy=heavy, text_at=text_at, digest=digest), schema)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

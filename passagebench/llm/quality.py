@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, kernels as K
-from .ngram_join import _pieces
 from .toxicity import _logistic
 
 LABELLED, POOL = 8_000, 8_000
@@ -75,7 +74,7 @@ def hash_text(text: str) -> int:
 @common.lean
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in _pieces(whole, 0):
+        for batch in K.pieces(whole, 0):
             row, feature, value = content_entries(batch.column(0))
             meta = metadata(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist())
             cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
@@ -188,7 +187,7 @@ def _view_scores(model: dict, text: pa.Array, lang: list, source: list) -> tuple
 @common.lean
 def _score(batches: Iterator[pa.RecordBatch], model: dict, threshold: float) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in _pieces(whole, 1):
+        for batch in K.pieces(whole, 1):
             c, m, p = _view_scores(model, batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.float64()) for x in (c, m, p)), pa.array(p >= threshold)], names=["doc_id", "content_score", "metadata_score", "score", "keep"])
 
@@ -196,7 +195,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: dict, threshold: float) ->
 @common.lean
 def _filter(batches: Iterator[pa.RecordBatch], model: dict, threshold: float, at: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in _pieces(whole, at[0]):
+        for batch in K.pieces(whole, at[0]):
             p = _view_scores(model, batch.column(at[0]), batch.column(at[1]).to_pylist(), batch.column(at[2]).to_pylist())[2]
             yield batch.filter(pa.array(p >= threshold))
 

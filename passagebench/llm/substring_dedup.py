@@ -1,20 +1,23 @@
 """Substring deduplication over sliding sentence spans.
 
-A sentence ends with `.`, `!` or `?` at the end of a word, or with a line. One of over 20 words is divided at its commas,
+A sentence ends with `.`, `!` or `?` at the end of a word, or with a line. One of over LONG words is divided at its commas,
 semicolons and colons, and a part that is still longer after the word of least hash of every WINDOW consecutive ones, so that
-a passage repeated inside a long sentence is cut alike in both places, at most WINDOW words apart. Spans are every run of two or three consecutive sentences with 12 words or more; where
-three have fewer, five, and where these have fewer, twelve. Each span
-is hashed over its case-folded words; spans with equal hashes are joined over the whole corpus, and of each the first by
-(doc_id, sentence) stays. Sentences covered by any span that isn't the first are removed; what lies between two sentences
-goes with the one before.
+a passage repeated inside a long sentence is cut alike in both places, at most WINDOW words apart.
 
-Spans travel as sorted blobs by hash range. Within a batch only the first occurrence of a hash is compared with other
-batches': the others are known not to be first, and go to a part chosen by their document, so a span that a third of all
-documents share is a few rows in its hash range.
+Every run of two or more consecutive sentences with `least_words` words or more is a span. Spans are hashed over their
+case-folded words and spans with equal hashes joined over the whole corpus; of each the first by (document, sentence) stays,
+and sentences covered by any span that isn't the first are removed. What lies between two sentences goes with the one before.
+Only spans that begin or end with a sentence of which no sentence at the other end can be spared are sent: each sentence that
+some repeated span covers is covered by one of these too (shorten the span from either end as long as the sentence stays in it).
+
+Spans travel as sorted blobs by hash range, as many ranges as the bytes of the texts make. Within a batch only the first
+occurrence of a hash is compared with other batches': the others are known not to be first, and go to a part chosen by their
+document, so a span that a third of all documents share is a few rows in its hash range.
 
 Defined cases: null and empty texts have no sentence and stay as they are; rows that share a doc_id count as one document,
 in which a span at the same sentence number is one occurrence; a null doc_id counts as the smallest and such documents are
-one document; extra columns pass through.
+one document; documents are ordered by whole-numbered ids, ids of any other type by their 64-bit hash; extra columns,
+whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -28,9 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, kernels as K
-from .ngram_join import _joined, _pieces
 
-SPANS = ((2, 12), (3, 12), (5, 12), (12, 12))
+LEAST_WORDS, LEAST_SENTENCES = 12, 2
 LONG = 20
 WINDOW = 8
 ENDS = np.isin(np.arange(256), [ord(c) for c in ".!?"])
@@ -74,34 +76,42 @@ def sentences(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return hashes, n, start[at], np.searchsorted(at, rows)
 
 
-def spans(hashes: np.ndarray, n: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first sentence and kind (index in SPANS) of every span."""
-    end = np.repeat(rows[1:], np.diff(rows))
+def spans(hashes: np.ndarray, n: np.ndarray, rows: np.ndarray, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first sentence and number of sentences of every span of which either end's sentence can't be spared."""
+    none = np.zeros(0, np.int64)
+    if not len(hashes):
+        return np.zeros(0, K.U), none, none
     total = np.concatenate([[0], np.cumsum(n)])
-    found = []
-    for kind, (k, least) in enumerate(SPANS):
-        i = np.arange(max(0, len(hashes) - k + 1))
-        if k > 3:  # only where a run of the shorter length has too few words
-            short = SPANS[kind - 1][0]
-            i = i[total[i + short] - total[i] < least]
-        i = i[(i + k <= end[i]) & (total[i + k] - total[i] >= least)] if len(i) else i
-        found.append((K.grams(hashes, k)[i] if len(i) else np.zeros(0, K.U), i, np.full(len(i), kind)))
-    h, i, kind = (np.concatenate(x) for x in zip(*found))
-    return h, i, kind
+    low, high = (np.repeat(rows[x], np.diff(rows)) for x in (slice(0, -1), slice(1, None)))
+    i = np.arange(len(hashes))
+    # the shortest from each first sentence, and the shortest to each last one
+    end = np.maximum(i + LEAST_SENTENCES, np.searchsorted(total, total[i] + least_words))
+    begin = np.minimum(i + 1 - LEAST_SENTENCES, np.searchsorted(total, total[i + 1] - least_words, "right") - 1)
+    forward, backward = end <= high, begin >= low
+    first, last = np.concatenate([i[forward], begin[backward]]), np.concatenate([end[forward], i[backward] + 1])
+    if not len(first):
+        return np.zeros(0, K.U), none, none
+    code = np.unique(first * (len(hashes) + 1) + last)
+    first, last = code // (len(hashes) + 1), code % (len(hashes) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, K.U), np.cumsum(hashes * K.powers(K.BASE, len(hashes)), dtype=K.U)])
+        h = K.mix((sums[last] - sums[first]) * K.powers(K.INVERSE, len(hashes))[first] + (last - first).astype(K.U))
+    return h, first, last - first
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+def _width(least_words: int) -> int:
+    """More than the number of sentences that a sent span can have."""
+    return max(least_words, LEAST_SENTENCES) + 1
 
 
 @common.lean
-def _spread(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+def _spread(batches: Iterator[pa.RecordBatch], parts: int, least_words: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in _pieces(whole, 1):
+        for batch in K.pieces(whole, 1):
             hashes, n, _, rows = sentences(*K.text_bytes(batch.column(1)))
-            h, at, kind = spans(hashes, n, rows)
+            h, at, size = spans(hashes, n, rows, least_words)
             row = np.searchsorted(rows, at, "right") - 1
-            doc, code = _ids(batch.column(0))[row], ((at - rows[row]) * len(SPANS) + kind).astype(np.uint32)
+            doc, code = batch.column(0).to_numpy()[row], ((at - rows[row]) * _width(least_words) + size).astype(np.uint32)
             order = np.lexsort((code, doc, h))
             h, doc, code = h[order], doc[order], code[order]
             first = np.ones(len(h), bool)
@@ -121,27 +131,31 @@ def _spread(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
             )
 
 
-def _decide(key, table: pa.Table) -> pa.Table:
-    """Which occurrences aren't the first; by document."""
-    open_rows = table["open"].to_numpy(zero_copy_only=False)
+@common.lean
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one part, which occurrences aren't the first; by document."""
+    table = pa.Table.from_batches(batches, pa.schema([("part", pa.int32()), ("open", pa.bool_()), ("h", pa.binary()), ("doc", pa.binary()), ("code", pa.binary())]))
+    open_rows = table["open"].to_numpy()
     free, known = table.filter(pa.array(open_rows)), table.filter(pa.array(~open_rows))
-    h, doc, code = _joined(free["h"], K.U), _joined(free["doc"], np.int64), _joined(free["code"], np.uint32)
+    h, doc, code = K.joined(free["h"], K.U), K.joined(free["doc"], np.int64), K.joined(free["code"], np.uint32)
     order = np.lexsort((code, doc, h))
     h, doc, code = h[order], doc[order], code[order]
     later = np.zeros(len(h), bool)
     later[1:] = (h[1:] == h[:-1]) & ((doc[1:] != doc[:-1]) | (code[1:] != code[:-1]))
-    doc, code = np.concatenate([doc[later], _joined(known["doc"], np.int64)]), np.concatenate([code[later], _joined(known["code"], np.uint32)])
+    doc, code = np.concatenate([doc[later], K.joined(known["doc"], np.int64)]), np.concatenate([code[later], K.joined(known["code"], np.uint32)])
     order = np.argsort(doc, kind="stable")
     doc, code = doc[order], code[order]
-    cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(doc) else []
-    return pa.table([pa.array([int(doc[a]) for a in cuts[:-1]], pa.int64()), pa.array([code[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["span_doc", "codes"])
+    cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(doc) else np.zeros(0, np.int64)
+    for k in range(0, max(0, len(cuts) - 1), 10_000):
+        own = list(zip(cuts[k : k + 10_001][:-1].tolist(), cuts[k : k + 10_001][1:].tolist()))
+        yield pa.RecordBatch.from_arrays([pa.array([int(doc[a]) for a, _ in own], pa.int64()), pa.array([code[a:b].tobytes() for a, b in own], pa.binary())], names=["span_doc", "codes"])
 
 
 @common.lean
-def _remove(batches: Iterator[pa.RecordBatch], text_at: int, counts: bool) -> Iterator[pa.RecordBatch]:
+def _remove(batches: Iterator[pa.RecordBatch], text_at: int, counts: bool, width: int) -> Iterator[pa.RecordBatch]:
     """The last column has the blobs of codes."""
     for whole in batches:
-        for batch in _pieces(whole, text_at):
+        for batch in K.pieces(whole, text_at):
             buf, offsets = K.text_bytes(batch.column(text_at))
             _, _, start, rows = sentences(buf, offsets)
             blobs = batch.column(batch.num_columns - 1).to_pylist()
@@ -150,12 +164,11 @@ def _remove(batches: Iterator[pa.RecordBatch], text_at: int, counts: bool) -> It
                 n = int(rows[i + 1] - rows[i])
                 gone = np.zeros(n + 1, np.int64)
                 for b in blob or ():
-                    code = np.frombuffer(b, np.uint32)
-                    for kind, (k, _) in enumerate(SPANS):
-                        at = (code[code % len(SPANS) == kind] // len(SPANS)).astype(np.int64)
-                        at = at[at + k <= n]
-                        np.add.at(gone, at, 1)
-                        np.add.at(gone, at + k, -1)
+                    code = np.frombuffer(b, np.uint32).astype(np.int64)
+                    at, size = code // width, code % width
+                    own = at + size <= n
+                    np.add.at(gone, at[own], 1)
+                    np.add.at(gone, (at + size)[own], -1)
                 gone = np.cumsum(gone)[:n] > 0
                 removed.append(int(gone.sum()))
                 lo, hi = int(offsets[i]), int(offsets[i + 1])
@@ -170,22 +183,26 @@ def _remove(batches: Iterator[pa.RecordBatch], text_at: int, counts: bool) -> It
             names = batch.schema.names[:-1]
             if counts:
                 columns += [pa.array(np.diff(rows), pa.int64()), pa.array(removed, pa.int64())]
-                names = [*names, "n_sentences", "n_removed"]
+                names = [*names, "n_sentences", "n_removed"]  # Spark takes columns by place
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def without_repeats(docs: DataFrame, counts: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, counts: bool = False, least_words: int = LEAST_WORDS) -> DataFrame:
     """The documents without sentences in repeated spans; with counts also n_sentences and n_removed."""
     spark = docs.sparkSession
     common.prepare(spark)
     folder = common.work_folder(spark)
-    found = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(partial(_spread, parts=2 * common.shards(spark)), "part int, open boolean, h binary, doc binary, code binary")
-    later = found.groupBy("part").applyInArrow(common.grouped(_decide), "span_doc long, codes binary")
-    later = common.stored(later.groupBy("span_doc").agg(F.collect_list("codes").alias("span_codes")), folder, "later")
-    keyed = docs.withColumn("span_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    joined = keyed.join(later.hint("merge"), keyed["span_key"] == later["span_doc"], "left").select(*[keyed[c] for c in docs.columns], later["span_codes"])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + (", n_sentences long, n_removed long" if counts else "")
-    return joined.mapInArrow(partial(_remove, text_at=docs.columns.index("text"), counts=counts), schema)
+    parts = common.groups(spark, common.text_bytes_of(docs))
+    whole = docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    document = F.coalesce(F.col("doc_id").cast("long") if whole else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")), F.lit(NULL_ID))
+    found = docs.select(document.alias("document"), F.col("text").cast("string")).mapInArrow(partial(_spread, parts=parts, least_words=least_words), "part int, open boolean, h binary, doc binary, code binary")
+    later = found.repartitionById(parts, F.col("part")).mapInArrow(_decide, "span_doc long, codes binary")
+    own, codes = common.free(docs.columns, "span_doc"), common.free(docs.columns, "span_codes")
+    later = common.stored(later.groupBy(F.col("span_doc").alias(own)).agg(F.collect_list("codes").alias(codes)), folder, "later")
+    joined = docs.join(later.hint("merge"), document == F.col(own), "left").select(*[f"`{c}`" for c in docs.columns], codes)
+    names = [common.free(docs.columns, c) for c in ("n_sentences", "n_removed")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + (", {} long, {} long".format(*names) if counts else "")
+    return joined.mapInArrow(partial(_remove, text_at=docs.columns.index("text"), counts=counts, width=_width(least_words)), schema)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, kernels as K
-from .ngram_join import _pieces
 
 TOXIC_ROWS, CLEAN_ROWS = 20_000, 40_000
 PRIOR, CAP, DRIFT, SIGNIFICANT, LEAST_TEXTS, FOLDS = 0.1, 6.0, 1.0, 3.0, 3, 5
@@ -56,7 +55,7 @@ def held_out(doc_id: Column) -> Column:
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per batch, fold and feature: tokens and texts, toxic and clean; the feature 0 has all words."""
     for whole in batches:
-        for batch in _pieces(whole, 0):
+        for batch in K.pieces(whole, 0):
             h, p, rows = tokens(batch.column(0))
             n = np.diff(rows)
             toxic, fold = (np.array(batch.column(c).to_pylist(), np.int64) for c in (1, 2))
@@ -255,7 +254,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 @common.lean
 def _score(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in _pieces(whole, 1):
+        for batch in K.pieces(whole, 1):
             p = model.probability(np.array([model.evidence(n, found) for n, found in model.found(batch.column(1))], float))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32), pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
