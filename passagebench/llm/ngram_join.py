@@ -1,18 +1,22 @@
 """Exact Jaccard self-join of word-shingle sets with signature trees.
 
-1. profile   One narrow scan: each document's set size, set key and token bitmap, and shingles frequent within a task.
+1. profile   One narrow scan: each document's set size and set key, and how often shingles occur within a task.
 2. classes   Documents with equal sets are one class (partial aggregation; a hot group of copies is one row from then on).
-3. postings  One narrow scan: a set linked with another shares one of the first n - ceil(0.7 n) + 1 tokens of any total
-             order. The order puts the corpus's frequent shingles last, so shared passages bring few sets together. Postings
-             travel as sorted binary blobs, one per token range, and each class leaves a task once.
-4. candidates  In a token range, equal tokens and fitting size ranges give pairs of classes, each once.
-5. trees     Pairs are spread over a grid of class blocks. In a cell each block's classes form a signature tree: nodes hold
-             the OR of their token bitmaps, size ranges and the most tokens that share a bit. The two trees are descended
-             together, level by level; node pairs whose maximum possible overlap is too small are dropped with all below.
-6. verify    The sets of the surviving classes are made again from their texts and intersected exactly.
+3. order     A total order of shingles, from rare to common. How common a shingle is comes from a table of LEVELS bytes, each the
+             logarithm of the greatest count of all shingles that share it; ties go by hash. It only makes the join faster.
+4. postings  One narrow scan: two linked sets share one of the first n - ceil(0.7 n) + 1 shingles in that order. Each class sends
+             these with their places, as sorted binary blobs, one per token range; there are as many ranges as the bytes make.
+5. trees     A token range's postings form a signature tree, sorted by token and size. Nodes have the OR of their tokens' bits
+             (coarser from level to level), a size range, and the most shingles that any of their postings has left from its
+             place on. The tree is descended against itself from the root: node pairs whose maximum possible overlap is too small
+             for any of their sizes are dropped with all below. The overlap of a pair is counted from the first shingle that
+             both share, so it is at most what either has left there. What arrives at the leaves are the candidate pairs.
+6. verify    Candidates are spread over a grid of class blocks, sized by the bytes of the sets; the sets are made again from
+             their texts and intersected exactly.
 7. degrees and components  Cells emit link counts per class and a spanning forest, never all pairs of documents.
 
-Token hashes and class names have 64 bits, 48 when two sets are intersected. Nothing is approximate: bitmaps and bounds only drop pairs that can't be linked.
+Token hashes and class names have 64 bits, 48 when two sets are intersected. Bitmaps and bounds only drop pairs that can't be
+linked, and no list, candidate set or number of rounds is cut off.
 
 Defined cases: null and empty texts have the empty set, no link, and their own doc_id as component; a text of one or two
 words has its whole sequence as the one member; repeated rows are copies of one another and link; null doc_ids are ignored
@@ -21,6 +25,7 @@ when the smallest doc_id is taken; extra columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -32,35 +37,32 @@ from pyspark.sql import functions as F
 
 from . import common, kernels as K
 
-#: A shingle is called frequent from so many documents on, counted over tasks in which it occurs at least twice; the list of
-#: frequent shingles holds at most this many (8 bytes each), the most frequent ones. It only orders tokens.
-FREQUENT, FREQUENT_MOST = 16, 1 << 20
+#: A shingle counts as common from so many documents on, counted over tasks in which it occurs at least twice.
+FREQUENT, LEVELS = 16, 1 << 20
 FLUSH, PAIRS = 400_000, 2_000_000
+#: Bytes of sets that a block of the verification's grid holds; a cell has two blocks.
 CELL_BYTES = 8 << 20
 FANOUT = 8
 #: Edges of the link forest that one task may hold (16 bytes each); beyond it components are found by distributed rounds.
 FOREST_EDGES = 2_000_000
-
-
-def set_key(s: np.ndarray) -> int:
-    """A set's 64-bit name: 24 bits of its least token, so that like sets lie together, and 40 of all its tokens."""
-    if not len(s):
-        return 0
-    with np.errstate(over="ignore"):
-        x = K.mix(s ^ K.U(0xA24BAED4963EE407))
-        both = np.array([x.sum(dtype=K.U) + K.U(len(s)), np.bitwise_xor.reduce(K.mix(x + K.U(0x9FB21C651E98DF25)))], K.U)
-        return int((K.mix(both[:1] * K.U(0xD6E8FEB86659FD93) + both[1:]) >> K.U(24) | K.mix(x.min(keepdims=True)) >> K.U(40) << K.U(40))[0].view(np.int64))
-
-
-def bitmap_bits(n: int) -> int:
-    """A power of two of at least n bits, 64 at least."""
-    return max(64, 1 << (n - 1).bit_length()) if n else 64
-
-
-def bitmap(s: np.ndarray) -> bytes:
-    bits = np.zeros(bitmap_bits(len(s)), bool)
-    bits[(K.mix(s) & K.U(len(bits) - 1)).astype(np.int64)] = True
-    return np.packbits(bits, bitorder="little").tobytes()
+#: In these rounds, nodes with more edges than this take their least neighbour from a table sent to all tasks; there can be
+#: at most 1 / HUB as many of them as edges.
+HUB = 1_000_000
+
+
+def set_keys(sets: list[np.ndarray]) -> list[int]:
+    """Each set's 64-bit name: 24 bits of its least token, so that like sets lie together, and 40 of all its tokens. Empty: 0."""
+    n = np.array([len(s) for s in sets], np.int64)
+    out = np.zeros(len(sets), K.U)
+    some = np.flatnonzero(n)
+    if len(some):
+        at = (np.cumsum(n) - n)[some]
+        with np.errstate(over="ignore"):
+            x = K.mix(np.concatenate(sets) ^ K.U(0xA24BAED4963EE407))
+            total = np.add.reduceat(x, at) + n[some].astype(K.U)
+            name = K.mix(total * K.U(0xD6E8FEB86659FD93) + np.bitwise_xor.reduceat(K.mix(x + K.U(0x9FB21C651E98DF25)), at))
+            out[some] = name >> K.U(24) | K.mix(np.minimum.reduceat(x, at)) >> K.U(40) << K.U(40)
+    return out.view(np.int64).tolist()
 
 
 def _sets(text: pa.Array) -> list[np.ndarray]:
@@ -68,19 +70,9 @@ def _sets(text: pa.Array) -> list[np.ndarray]:
     return K.shingle_sets(h, rows)
 
 
-def _pieces(batch: pa.RecordBatch, at: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of about so many bytes of text."""
-    _, offsets = K.text_bytes(batch.column(at))
-    begin = 0
-    while begin < batch.num_rows:
-        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + most, "right")) - 1)
-        yield batch.slice(begin, end - begin)
-        begin = end
-
-
 @common.lean
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["kind", "doc_id", "n", "key", "bits"]
+    names = ["kind", "doc_id", "n", "key"]
     tokens, counts, held = np.zeros(0, K.U), np.zeros(0, np.int64), []
     id_type = pa.int64()
 
@@ -96,11 +88,11 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for whole in batches:
         id_type = whole.column(0).type
-        for batch in _pieces(whole, 1):
+        for batch in K.pieces(whole, 1):
             sets = _sets(batch.column(1))
             n = pa.array([len(s) for s in sets], pa.int64())
-            keys = pa.array([set_key(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), batch.column(0), n, keys, pa.array([bitmap(s) for s in sets], pa.binary())], names=names)
+            keys = pa.array(set_keys(sets), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), batch.column(0), n, keys], names=names)
             if sets:
                 t, c = np.unique(np.concatenate(sets), return_counts=True)
                 held.append((t, c))
@@ -109,58 +101,54 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     merge(2)
     for k in range(0, len(tokens), 100_000):
         t, c = tokens[k : k + 100_000], counts[k : k + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array([1] * len(t), pa.int32()), pa.nulls(len(t), id_type), pa.array(c), pa.array(t.view(np.int64)), pa.nulls(len(t), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([1] * len(t), pa.int32()), pa.nulls(len(t), id_type), pa.array(c), pa.array(t.view(np.int64))], names=names)
 
 
-def prefix(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
-    """The first tokens in the order: those not frequent by value, then frequent ones from rare to common."""
-    at = np.searchsorted(frequent, s)
-    at[at == len(frequent)] = 0
-    hot = frequent[at] == s if len(frequent) else np.zeros(len(s), bool)
-    p = len(s) + (-percent * len(s) // 100) + 1
-    calm = s[~hot]
-    if len(calm) >= p:
-        return calm[:p]
-    loud = s[hot]
-    return np.concatenate([calm, loud[np.argsort(rank[at[hot]], kind="stable")][: p - len(calm)]])
+def prefixes(sets: list[np.ndarray], levels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first tokens of each set in the order, by level of commonness and then by hash; the set of each, and its place."""
+    n = np.array([len(s) for s in sets], np.int64)
+    h = K.mix(np.concatenate([np.zeros(0, K.U), *sets]))
+    own = np.repeat(np.arange(len(sets)), n)
+    order = np.lexsort((h, levels[(h & K.U(len(levels) - 1)).astype(np.int64)], own))
+    place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+    keep = place < np.repeat(n + (-percent * n // 100) + 1, n)
+    return h[order[keep]], own[keep], place[keep]
 
 
 @common.lean
-def _postings(batches: Iterator[pa.RecordBatch], parts: int, frequent: bytes, order: bytes, percent: int) -> Iterator[pa.RecordBatch]:
-    common_tokens, rank = np.frombuffer(frequent, K.U), np.frombuffer(order, np.int32)
+def _postings(batches: Iterator[pa.RecordBatch], parts: int, levels: bytes, percent: int) -> Iterator[pa.RecordBatch]:
+    """Tokens (mixed hashes, even over all ranges), class keys, sizes and places, by token range."""
+    table = np.frombuffer(levels, np.uint8)
+    bounds = (np.arange(parts + 1).astype(object) * 2**64 // parts)[:-1].astype(K.U)
     seen: set[int] = set()
-    held: list[tuple[np.ndarray, int, int]] = []
+    held: list[tuple[np.ndarray, ...]] = []
     size = 0
 
     def blobs() -> pa.RecordBatch:
-        t = K.mix(np.concatenate([x for x, _, _ in held]))  # prefixes have the least values: mixed again, they fill all ranges alike
-        lengths = [len(x) for x, _, _ in held]
-        k = np.repeat(np.array([x for _, x, _ in held], np.int64), lengths)
-        n = np.repeat(np.array([x for _, _, x in held], np.uint32), lengths)
+        t, k, n, place = (np.concatenate(x) for x in zip(*held))
         o = np.argsort(t)
-        t, k, n = t[o], k[o], n[o]
-        edges = np.searchsorted(t, (np.arange(parts + 1).astype(object) * 2**64 // parts)[:-1].astype(K.U)).tolist() + [len(t)]
+        t, k, n, place = t[o], k[o], n[o], place[o]
+        edges = np.searchsorted(t, bounds).tolist() + [len(t)]
         rows = [(i, a, b) for i, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
-        return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in rows], pa.int32())] + [pa.array([x[a:b].tobytes() for _, a, b in rows], pa.binary()) for x in (t, k, n)], names=["part", "t", "k", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in rows], pa.int32())] + [pa.array([x[a:b].tobytes() for _, a, b in rows], pa.binary()) for x in (t, k, n, place)], names=["part", "t", "k", "n", "place"])
 
     for whole in batches:
-        for batch in _pieces(whole, 0):
-            for s in _sets(batch.column(0)):
-                if len(s) and (key := set_key(s)) not in seen:
+        for batch in K.pieces(whole, 0):
+            sets, fresh, keys = _sets(batch.column(0)), [], []
+            for s, key in zip(sets, set_keys(sets)):
+                if len(s) and key not in seen:
                     seen.add(key)
-                    held.append((prefix(s, common_tokens, rank, percent), key, len(s)))
-                    size += len(held[-1][0])
+                    fresh.append(s), keys.append(key)
+            t, own, place = prefixes(fresh, table, percent)
+            held.append((t, np.array(keys, np.int64)[own], np.array([len(s) for s in fresh], np.uint32)[own], place.astype(np.uint32)))
+            size += len(t)
             if size > FLUSH:
                 yield blobs()
                 held, size = [], 0
-    if held:
+    if size:
         yield blobs()
 
 
-def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
-
-
 def _blocks(keys: np.ndarray, blocks: int, splits: dict[int, int]) -> np.ndarray:
     """The block of each class: like sets share one, unless their group is so large that it has several."""
     k = keys.view(K.U)
@@ -200,35 +188,95 @@ def _unpacked(k: bytes, n: bytes, code: bytes) -> tuple[np.ndarray, np.ndarray,
     return keys, np.frombuffer(n, np.uint32).astype(np.int64), c // max(1, len(keys)), c % max(1, len(keys))
 
 
-def _candidates(key: tuple, table: pa.Table, blocks: int, splits: dict[int, int], percent: int) -> pa.Table:
-    t, k, n = _joined(table["t"], K.U), _joined(table["k"], np.int64), _joined(table["n"], np.uint32)
-    o = np.argsort(t, kind="stable")
+def _least(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """The overlap that sets of these sizes need: the least x with 100 x >= percent (a + b - x)."""
+    return -(-percent * (a + b) // (100 + percent))
+
+
+class Tree:
+    """A signature tree over postings sorted by token (as a rank), then size.
+
+    Nodes of one level span FANOUT**level neighbours. A node's bitmap has a bit per run of 2**shift ranks, modulo 64; the
+    runs are about as long as a node, so that nodes of one parent, or of neighbouring ones, that share no token seldom
+    share a bit.
+    """
+
+    def __init__(self, rank: np.ndarray, size: np.ndarray, left: np.ndarray):
+        self.rank, self.levels = rank, []
+        span = 1
+        while True:
+            at = np.arange(0, len(rank), span)
+            per_node = (int(rank[-1]) + 1) * span // len(rank) if len(rank) else 0
+            bits = K.U(1) << ((rank >> max(0, per_node.bit_length() - 1)) & 63).astype(K.U)
+            self.levels.append((np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(size, at), np.maximum.reduceat(size, at), np.maximum.reduceat(left, at)))
+            if len(at) <= 1:
+                break
+            span *= FANOUT
+
+    def fits(self, level: int, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+        """Which node pairs may have a linked pair below: their maximum possible overlap reaches the least that any needs."""
+        bits, low, high, left = self.levels[level]
+        most = np.where(bits[a] & bits[b] != 0, np.minimum(np.minimum(left[a], left[b]), np.minimum(high[a], high[b])), 0)
+        return most >= np.maximum(_least(low[a], low[b], percent), 1)
+
+    def pairs(self, percent: int, prune: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (i < j) of postings with one token, by descent of the tree against itself; without prune, of all that share one."""
+        top = len(self.levels) - 1
+        todo = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        while todo:
+            level, a, b = todo.pop()
+            if len(a) > PAIRS // FANOUT**2 and len(a) > 1:  # a part at a time, depth first, so memory stays within bounds
+                half = len(a) // 2
+                todo += [(level, a[half:], b[half:]), (level, a[:half], b[:half])]
+                continue
+            if prune:
+                keep = self.fits(level, a, b, percent)
+                a, b = a[keep], b[keep]
+            if not level:
+                keep = (a < b) & (self.rank[a] == self.rank[b])
+                yield a[keep], b[keep]
+                continue
+            n = len(self.levels[level - 1][0])
+            i = (a[:, None] * FANOUT + np.arange(FANOUT))[:, :, None]
+            j = (b[:, None] * FANOUT + np.arange(FANOUT))[:, None, :]
+            ok = ((i < n) & (j < n) & (i <= j)).ravel()
+            i, j = np.broadcast_to(i, (len(a), FANOUT, FANOUT)).ravel()[ok], np.broadcast_to(j, (len(a), FANOUT, FANOUT)).ravel()[ok]
+            if len(i):
+                todo.append((level - 1, i, j))
+
+
+def candidates(t: np.ndarray, k: np.ndarray, n: np.ndarray, place: np.ndarray, percent: int, prune: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one token range's postings: class keys and sizes, and the distinct candidate pairs as indices into these."""
+    order = np.argsort(t, kind="stable")
     same = np.zeros(len(t) + 1, bool)
-    same[1:-1] = t[o][1:] == t[o][:-1]
-    o = o[same[:-1] | same[1:]]
-    o = o[np.lexsort((k[o], n[o], t[o]))]
-    t, k, n = t[o], k[o], n[o].astype(np.int64)
-    fresh = np.ones(len(t), bool)
+    same[1:-1] = t[order][1:] == t[order][:-1]
+    order = order[same[:-1] | same[1:]]  # a token of one posting has no pair
+    order = order[np.lexsort((k[order], n[order], t[order]))]
+    t, k, n, place = t[order], k[order], n[order].astype(np.int64), place[order].astype(np.int64)
+    fresh = np.ones(len(t), bool)  # several tasks send the same class
     fresh[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1]) | (n[1:] != n[:-1])
-    t, k, n = t[fresh], k[fresh], n[fresh]
-    group = np.cumsum(np.concatenate([[0], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
+    t, k, n, place = t[fresh], k[fresh], n[fresh], place[fresh]
     keys, some, index = np.unique(k, return_index=True, return_inverse=True)
-    sizes = n[some]
-    place = (group << 32) | n
-    most = np.searchsorted(place, (group << 32) | np.minimum(n * 100 // percent, 2**32 - 1), "right") - np.arange(len(t)) - 1
-    sums, found, begin = np.cumsum(most), [], 0
-    while begin < len(t):
-        end = max(begin + 1, int(np.searchsorted(sums, (sums[begin - 1] if begin else 0) + PAIRS, "right")))
-        m = most[begin:end]
-        i = np.repeat(np.arange(begin, end), m)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
-        x, y = index[i].astype(np.int64), index[j].astype(np.int64)
-        found.append(np.unique(np.minimum(x, y) * len(keys) + np.maximum(x, y)))
-        if sum(map(len, found)) > 4 * PAIRS:
-            found = [np.unique(np.concatenate(found))]
-        begin = end
-    code = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    return pa.Table.from_batches([_pair_rows(code // max(1, len(keys)), code % max(1, len(keys)), keys, sizes, blocks, splits)])
+    found, pending = [np.zeros(0, np.int64)], 0
+    if len(t):
+        rank = np.cumsum(np.concatenate([[0], t[1:] != t[:-1]]))
+        for i, j in Tree(rank, n, n - place).pairs(percent, prune):
+            x, y = index[i].astype(np.int64), index[j].astype(np.int64)
+            found.append(np.minimum(x, y) * len(keys) + np.maximum(x, y))
+            pending += len(i)
+            if pending > 4 * PAIRS:
+                found, pending = [np.unique(np.concatenate(found))], 0
+    code = np.unique(np.concatenate(found))
+    return keys, n[some], code // max(1, len(keys)), code % max(1, len(keys))
+
+
+@common.lean
+def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    table = pa.Table.from_batches(batches, pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("t", "k", "n", "place"))]))
+    keys, sizes, a, b = candidates(K.joined(table["t"], K.U), K.joined(table["k"], np.int64), K.joined(table["n"], np.uint32), K.joined(table["place"], np.uint32), percent)
+    del table
+    for k in range(0, len(a), PAIRS):
+        yield _pair_rows(a[k : k + PAIRS], b[k : k + PAIRS], keys, sizes, 1, {})
 
 
 @common.lean
@@ -269,71 +317,6 @@ def _cell_pairs(pairs: pa.Table, classes: pa.Table) -> tuple[np.ndarray, np.ndar
     return code // len(key), code % len(key), key[order], size[order], row[order]
 
 
-def _fold(maps: list[np.ndarray], words: int) -> np.ndarray:
-    """Bitmaps of any power-of-two width as rows of so many 64-bit words: wide ones are ORed together, narrow ones repeated."""
-    out = np.empty((len(maps), words), K.U)
-    for i, m in enumerate(maps):
-        out[i] = np.bitwise_or.reduce(m.reshape(-1, words), 0) if len(m) >= words else np.tile(m, words // len(m))
-    return out
-
-
-def _least(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """The overlap that sets of these sizes need: the least x with 100 x >= percent (a + b - x)."""
-    return -(-percent * (a + b) // (100 + percent))
-
-
-def prune(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which candidate pairs survive the dual descent of the signature tree. Classes are ordered by size.
-
-    Nodes of one level span FANOUT**level neighbours. A pair of sets shares at most as many tokens as bits are common to
-    both bitmaps, plus the tokens beyond one to a bit in the set that has fewer of these; for nodes the bitmaps are ORed
-    and the numbers of such tokens maximised, so the bound holds for all below.
-    """
-    keep = np.ones(len(a), bool)
-    if not len(a):
-        return keep
-    top = 1
-    while FANOUT**top < len(sizes):
-        top += 1
-    for level in range(top, -1, -1):
-        span = FANOUT**level
-        node_a, node_b = a[keep] // span, b[keep] // span
-        if not len(node_a):
-            break
-        nodes = -(-len(sizes) // span)
-        code, back = np.unique(node_a * nodes + node_b, return_inverse=True)
-        na, nb = code // nodes, code % nodes
-        low, high = sizes[np.arange(nodes) * span], sizes[np.minimum(np.arange(1, nodes + 1) * span, len(sizes)) - 1]
-        fits = (100 * high[na] >= percent * low[nb]) & (100 * high[nb] >= percent * low[na])
-        width = np.maximum(np.array([len(m) for m in maps]), 1)
-        if level <= 1:  # wider nodes are full: their bitmaps can't prune
-            for w in np.unique(width[np.minimum(na * span, len(sizes) - 1)]):
-                at = np.flatnonzero(fits & (width[np.minimum(na * span, len(sizes) - 1)] == w))
-                for c in range(0, len(at), max(1, (1 << 21) // int(w))):
-                    part = at[c : c + max(1, (1 << 21) // int(w))]
-                    used = np.unique(np.concatenate([na[part], nb[part]]))
-                    bits, spare = [], []
-                    for node in used.tolist():
-                        own = _fold(maps[node * span : (node + 1) * span], int(w))
-                        spare.append(int((sizes[node * span : (node + 1) * span] - np.bitwise_count(own).sum(1)).clip(0).max()))
-                        bits.append(np.bitwise_or.reduce(own, 0))
-                    bits, spare = np.array(bits), np.array(spare)
-                    x, y = np.searchsorted(used, na[part]), np.searchsorted(used, nb[part])
-                    overlap = np.bitwise_count(bits[x] & bits[y]).sum(1) + np.minimum(spare[x], spare[y])
-                    fits[part] = np.minimum(overlap, np.minimum(high[na[part]], high[nb[part]])) >= _least(low[na[part]], low[nb[part]], percent)
-        keep[np.flatnonzero(keep)[~fits[back]]] = False
-    return keep
-
-
-def _trees(key: tuple, pairs: pa.Table, classes: pa.Table, percent: int) -> pa.Table:
-    none = pa.table([pa.array([], pa.int64())] + [pa.array([], pa.binary())] * 3, names=["cell", "k", "n", "code"])
-    if not pairs.num_rows or not classes.num_rows:
-        return none
-    a, b, keys, sizes, row = _cell_pairs(pairs, classes)
-    keep = prune(a, b, sizes, [np.frombuffer(x, K.U) for x in classes["bits"].take(pa.array(row)).to_pylist()], percent)
-    return pa.Table.from_batches([_pair_rows(a[keep], b[keep], keys, sizes, 1, {})]) if keep.any() else none
-
-
 @common.lean
 def _regrid(batches: Iterator[pa.RecordBatch], blocks: int, splits: dict[int, int]) -> Iterator[pa.RecordBatch]:
     """Pairs by the cells of another grid."""
@@ -356,10 +339,11 @@ def unpacked(x: bytes) -> np.ndarray:
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From text, key, copies and cells: the set of each class for each cell that needs it."""
     for whole in batches:
-        for batch in _pieces(whole, 0, 1 << 20):
+        for batch in K.pieces(whole, 0, 1 << 20):
             cells, keys, copies, n, blobs = [], [], [], [], []
-            for s, key, many, to in zip(_sets(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if set_key(s) == key:  # else another text under the same doc_id
+            sets = _sets(batch.column(0))
+            for s, own, key, many, to in zip(sets, set_keys(sets), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if own == key:  # else another text under the same doc_id
                     for c in to:
                         cells.append(c), keys.append(key), copies.append(many), n.append(len(s)), blobs.append(packed(s))
             yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(keys, pa.int64()), pa.array(copies, pa.int64()), pa.array(n, pa.int64()), pa.array(blobs, pa.binary())], names=["cell", "key", "copies", "n", "tokens"])
@@ -408,29 +392,36 @@ def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "label"])
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """a, b, m of edges (a, b): m is the least of a and its neighbours. Hubs take it from a table that is sent to all tasks."""
+    least = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("k"))
+    hubs = least.where(F.col("k") > HUB).select(F.col("a").alias("hub"), F.col("m").alias("hub_m"))
+    marked = edges.join(F.broadcast(hubs), F.col("a") == F.col("hub"), "left")
+    rest = marked.where("hub IS NULL").select("a", "b").join(least.where(F.col("k") <= HUB).select("a", "m"), "a")
+    return marked.where("hub IS NOT NULL").select("a", "b", F.col("hub_m").alias("m")).union(rest.select("a", "b", "m"))
+
+
 def components(edges: DataFrame, folder: str, bound: int = FOREST_EDGES) -> DataFrame:
     """node, label of every node of the edges (a, b): the smallest node that it reaches.
 
-    Up to `bound` edges one task finds them; beyond, large-star and small-star rounds, each written to the shared folder.
+    Up to `bound` edges one task finds them; beyond, large-star and small-star rounds until nothing changes, each written to
+    the shared folder.
     """
     spark = edges.sparkSession
     edges = common.stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), folder, "edges-0")
     if edges.count() <= bound:
         return edges.coalesce(1).mapInArrow(_label, "node long, label long")
     before = None
-    for k in range(1, 100):
-        both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        edges = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        small = edges.join(least, "a")
-        edges = small.select("b", "m").union(least.select("a", "m")).toDF("a", "b").where("a <> b").distinct()
-        edges = common.stored(edges, folder, f"edges-{k}")
+    for k in itertools.count(1):
+        large = _with_least(edges.union(edges.select("b", "a"))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = common.stored(large, folder, f"large-{k}")
+        small = _with_least(large)
+        edges = common.stored(small.select("b", "m").union(small.select("a", "m")).toDF("a", "b").where("a <> b").distinct(), folder, f"edges-{k}")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    return spark.read.parquet(f"{folder}/edges-{k}").select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select("b", "b").distinct()).groupBy("node").agg(F.min("label").alias("label"))
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select("b", "b").distinct()).groupBy("node").agg(F.min("label").alias("label"))
 
 
 def _grid(sizes: DataFrame) -> tuple[int, dict[int, int]]:
@@ -441,41 +432,51 @@ def _grid(sizes: DataFrame) -> tuple[int, dict[int, int]]:
     return max(1, -(-total // CELL_BYTES)), {r[0]: -(-r[1] // CELL_BYTES) for r in large}
 
 
+def _levels(profile: DataFrame) -> bytes:
+    """For each of LEVELS buckets of shingles the logarithm of the greatest count in it; 0 where none is common."""
+    common_ones = profile.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    of = common_ones.mapInArrow(_buckets, "bucket int, level int").groupBy("bucket").agg(F.max("level").alias("level")).toArrow()
+    levels = np.zeros(LEVELS, np.uint8)
+    levels[of["bucket"].to_numpy()] = of["level"].to_numpy()
+    return levels.tobytes()
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        h = K.mix(batch.column(0).to_numpy().view(K.U))
+        level = np.log2(batch.column(1).to_numpy().astype(float)) * 4
+        yield pa.RecordBatch.from_arrays([pa.array((h & K.U(LEVELS - 1)).astype(np.int32)), pa.array(np.minimum(level, 255).astype(np.int32))], names=["bucket", "level"])
+
+
 def similar(docs: DataFrame, percent: int = 70) -> DataFrame:
     """Per document: doc_id, n_shingles, n_similar, component_id."""
     spark = docs.sparkSession
     common.prepare(spark)
-    folder, parts = common.work_folder(spark), common.shards(spark)
+    folder = common.work_folder(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    profile = common.stored(texts.mapInArrow(_profile, f"kind int, doc_id {kind}, n long, key long, bits binary"), folder, "profile")
+    profile = common.stored(texts.mapInArrow(_profile, f"kind int, doc_id {kind}, n long, key long"), folder, "profile")
     sets = profile.where("kind = 0").select("doc_id", "n", "key")
-    classes = common.stored(
-        profile.where("kind = 0 AND n > 0").groupBy("key").agg(F.first("n").alias("n"), F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("bits").alias("bits")), folder, "classes"
-    )
-    hot = profile.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "key").limit(FREQUENT_MOST).collect()
-    token, count = np.array([r[0] for r in hot], np.int64).view(K.U), np.array([r[1] for r in hot], np.int64)
-    order = np.argsort(token)
-    rank = np.empty(len(count), np.int32)
-    rank[np.lexsort((token, count))] = np.arange(len(count))
-    blocks, splits = _grid(classes.select("key", F.length("bits").alias("size")))
-    postings = texts.select("text").mapInArrow(partial(_postings, parts=2 * parts, frequent=token[order].tobytes(), order=rank[order].tobytes(), percent=percent), "part int, t binary, k binary, n binary")
-    pairs = common.stored(postings.groupBy("part").applyInArrow(common.grouped(_candidates, blocks=blocks, splits=splits, percent=percent), PAIR_TYPE), folder, "pairs")
-
-    needs = pairs.mapInArrow(_needs, "cell long, key long").distinct()
-    with_bits = needs.join(classes.select("key", "n", "bits"), "key")
-    alive = common.stored(pairs.groupBy("cell").cogroup(with_bits.groupBy("cell")).applyInArrow(common.cogrouped(_trees, percent=percent), PAIR_TYPE), folder, "alive")
-
-    wanted = alive.mapInArrow(_needs, "cell long, key long").select("key").distinct().join(classes.select("key", "n", "copies", "first"), "key")
+    classes = sets.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    classes = common.stored(classes, folder, "classes")
+    # a posting has 24 bytes
+    parts = common.groups(spark, classes.agg(F.coalesce(F.sum(24 * (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)), F.lit(0))).first()[0], 12 << 20)
+    postings = texts.select("text").mapInArrow(partial(_postings, parts=parts, levels=_levels(profile), percent=percent), "part int, t binary, k binary, n binary, place binary")
+    pairs = common.stored(postings.repartitionById(parts, F.col("part")).mapInArrow(partial(_candidates, percent=percent), PAIR_TYPE), folder, "pairs")
+
+    wanted = pairs.mapInArrow(_needs, "cell long, key long").select("key").distinct().join(classes.select("key", "n", "copies", "first"), "key")
     wanted = common.stored(wanted, folder, "wanted")
     blocks, splits = _grid(wanted.select("key", (F.col("n") * 6).alias("size")))
-    linked = common.stored(alive.mapInArrow(partial(_regrid, blocks=blocks, splits=splits), PAIR_TYPE), folder, "linked")
+    linked = common.stored(pairs.mapInArrow(partial(_regrid, blocks=blocks, splits=splits), PAIR_TYPE), folder, "linked")
     cells = linked.mapInArrow(_needs, "cell long, key long").groupBy("key").agg(F.collect_set("cell").alias("cells"))
-    wanted = common.stored(wanted.join(cells, "key").select("first", "key", "copies", "cells"), folder, "wanted-cells")
-    many, places = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("cells")), F.lit(0))).first()
-    side = F.broadcast(wanted) if places * 8 + many * 64 <= common.BROADCAST_BYTES else wanted
+    wanted = common.stored(wanted.join(cells, "key").select("first", "key", "copies", "n", "cells"), folder, "wanted-cells")
+    many, places, size = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("cells")), F.lit(0)), F.coalesce(F.sum(F.size("cells") * F.col("n") * 6), F.lit(0))).first()
+    side = wanted.drop("n")
+    side = F.broadcast(side) if places * 8 + many * 64 <= common.BROADCAST_BYTES else side
     members = texts.join(side, texts["doc_id"].eqNullSafe(side["first"])).select("text", "key", "copies", "cells").mapInArrow(_members, "cell long, key long, copies long, n long, tokens binary")
-    links = common.stored(linked.groupBy("cell").cogroup(members.groupBy("cell")).applyInArrow(common.cogrouped(_verify, percent=percent), "key long, links long, root long"), folder, "links")
+    n = common.groups(spark, size)
+    both = linked.repartition(n, "cell").groupBy("cell").cogroup(members.repartition(n, "cell").groupBy("cell"))
+    links = common.stored(both.applyInArrow(common.cogrouped(_verify, percent=percent), "key long, links long, root long"), folder, "links")
 
     labels = components(links.select(F.col("key").alias("a"), F.col("root").alias("b")), folder)
     grouped = links.groupBy("key").agg(F.sum("links").alias("links")).join(labels.withColumnRenamed("node", "key"), "key", "left")
