@@ -11,9 +11,11 @@
              place on. The tree is descended against itself from the root: node pairs whose maximum possible overlap is too small
              for any of their sizes are dropped with all below. The overlap of a pair is counted from the first shingle that
              both share, so it is at most what either has left there. What arrives at the leaves are the candidate pairs.
-6. verify    Candidates are spread over a grid of class blocks, sized by the bytes of the sets; the sets are made again from
-             their texts and intersected exactly.
-7. degrees and components  Cells emit link counts per class and a spanning forest, never all pairs of documents.
+6. bitmaps   Candidates are spread over a grid of class blocks, sized by the bytes of the bitmaps of whole sets; a second descent
+             bounds the overlap of nodes and pairs by these.
+7. verify    The sets of the classes that are left are made again from their texts, sent to a grid sized by their bytes and
+             intersected exactly.
+8. degrees and components  Cells emit link counts per class and a spanning forest, never all pairs of documents.
 
 Token hashes and class names have 64 bits, 48 when two sets are intersected. Bitmaps and bounds only drop pairs that can't be
 linked, and no list, candidate set or number of rounds is cut off.
@@ -65,6 +67,17 @@ def set_keys(sets: list[np.ndarray]) -> list[int]:
     return out.view(np.int64).tolist()
 
 
+def bitmap_bits(n: int) -> int:
+    """A power of two of at least n bits, 64 at least."""
+    return max(64, 1 << (n - 1).bit_length()) if n else 64
+
+
+def bitmap(s: np.ndarray) -> bytes:
+    bits = np.zeros(bitmap_bits(len(s)), bool)
+    bits[(K.mix(s) & K.U(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
 def _sets(text: pa.Array) -> list[np.ndarray]:
     h, _, _, rows = K.words(*K.text_bytes(text), K.SPACE)
     return K.shingle_sets(h, rows)
@@ -72,7 +85,7 @@ def _sets(text: pa.Array) -> list[np.ndarray]:
 
 @common.lean
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["kind", "doc_id", "n", "key"]
+    names = ["kind", "doc_id", "n", "key", "bits"]
     tokens, counts, held = np.zeros(0, K.U), np.zeros(0, np.int64), []
     id_type = pa.int64()
 
@@ -92,7 +105,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = _sets(batch.column(1))
             n = pa.array([len(s) for s in sets], pa.int64())
             keys = pa.array(set_keys(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), batch.column(0), n, keys], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), batch.column(0), n, keys, pa.array([bitmap(s) for s in sets], pa.binary())], names=names)
             if sets:
                 t, c = np.unique(np.concatenate(sets), return_counts=True)
                 held.append((t, c))
@@ -101,7 +114,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     merge(2)
     for k in range(0, len(tokens), 100_000):
         t, c = tokens[k : k + 100_000], counts[k : k + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array([1] * len(t), pa.int32()), pa.nulls(len(t), id_type), pa.array(c), pa.array(t.view(np.int64))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([1] * len(t), pa.int32()), pa.nulls(len(t), id_type), pa.array(c), pa.array(t.view(np.int64)), pa.nulls(len(t), pa.binary())], names=names)
 
 
 def prefixes(sets: list[np.ndarray], levels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -271,12 +284,12 @@ def candidates(t: np.ndarray, k: np.ndarray, n: np.ndarray, place: np.ndarray, p
 
 
 @common.lean
-def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch], blocks: int, splits: dict[int, int], percent: int) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(batches, pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("t", "k", "n", "place"))]))
     keys, sizes, a, b = candidates(K.joined(table["t"], K.U), K.joined(table["k"], np.int64), K.joined(table["n"], np.uint32), K.joined(table["place"], np.uint32), percent)
     del table
     for k in range(0, len(a), PAIRS):
-        yield _pair_rows(a[k : k + PAIRS], b[k : k + PAIRS], keys, sizes, 1, {})
+        yield _pair_rows(a[k : k + PAIRS], b[k : k + PAIRS], keys, sizes, blocks, splits)
 
 
 @common.lean
@@ -317,6 +330,66 @@ def _cell_pairs(pairs: pa.Table, classes: pa.Table) -> tuple[np.ndarray, np.ndar
     return code // len(key), code % len(key), key[order], size[order], row[order]
 
 
+def _fold(maps: list[np.ndarray], words: int) -> np.ndarray:
+    """Bitmaps of any power-of-two width as rows of so many 64-bit words: wide ones are ORed together, narrow ones repeated."""
+    out = np.empty((len(maps), words), K.U)
+    for i, m in enumerate(maps):
+        out[i] = np.bitwise_or.reduce(m.reshape(-1, words), 0) if len(m) >= words else np.tile(m, words // len(m))
+    return out
+
+
+def prune(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which candidate pairs survive a second descent, with bitmaps of whole sets. Classes are ordered by size.
+
+    A pair of sets shares at most as many tokens as bits are common to both bitmaps, plus the tokens beyond one to a bit in the
+    set that has fewer of these; for nodes the bitmaps are ORed and the numbers of such tokens maximised, so the bound holds
+    for all below. Nodes of two levels and more are full in these bitmaps, and have size ranges only.
+    """
+    keep = np.ones(len(a), bool)
+    if not len(a):
+        return keep
+    top = 1
+    while FANOUT**top < len(sizes):
+        top += 1
+    for level in range(top, -1, -1):
+        span = FANOUT**level
+        node_a, node_b = a[keep] // span, b[keep] // span
+        if not len(node_a):
+            break
+        nodes = -(-len(sizes) // span)
+        code, back = np.unique(node_a * nodes + node_b, return_inverse=True)
+        na, nb = code // nodes, code % nodes
+        low, high = sizes[np.arange(nodes) * span], sizes[np.minimum(np.arange(1, nodes + 1) * span, len(sizes)) - 1]
+        fits = (100 * high[na] >= percent * low[nb]) & (100 * high[nb] >= percent * low[na])
+        width = np.maximum(np.array([len(m) for m in maps]), 1)
+        if level <= 1:  # wider nodes are full: their bitmaps can't prune
+            for w in np.unique(width[np.minimum(na * span, len(sizes) - 1)]):
+                at = np.flatnonzero(fits & (width[np.minimum(na * span, len(sizes) - 1)] == w))
+                for c in range(0, len(at), max(1, (1 << 21) // int(w))):
+                    part = at[c : c + max(1, (1 << 21) // int(w))]
+                    used = np.unique(np.concatenate([na[part], nb[part]]))
+                    bits, spare = [], []
+                    for node in used.tolist():
+                        own = _fold(maps[node * span : (node + 1) * span], int(w))
+                        spare.append(int((sizes[node * span : (node + 1) * span] - np.bitwise_count(own).sum(1)).clip(0).max()))
+                        bits.append(np.bitwise_or.reduce(own, 0))
+                    bits, spare = np.array(bits), np.array(spare)
+                    x, y = np.searchsorted(used, na[part]), np.searchsorted(used, nb[part])
+                    overlap = np.bitwise_count(bits[x] & bits[y]).sum(1) + np.minimum(spare[x], spare[y])
+                    fits[part] = np.minimum(overlap, np.minimum(high[na[part]], high[nb[part]])) >= _least(low[na[part]], low[nb[part]], percent)
+        keep[np.flatnonzero(keep)[~fits[back]]] = False
+    return keep
+
+
+def _trees(key: tuple, pairs: pa.Table, classes: pa.Table, percent: int) -> pa.Table:
+    none = pa.table([pa.array([], pa.int64())] + [pa.array([], pa.binary())] * 3, names=["cell", "k", "n", "code"])
+    if not pairs.num_rows or not classes.num_rows:
+        return none
+    a, b, keys, sizes, row = _cell_pairs(pairs, classes)
+    keep = prune(a, b, sizes, [np.frombuffer(x, K.U) for x in classes["bits"].take(pa.array(row)).to_pylist()], percent)
+    return pa.Table.from_batches([_pair_rows(a[keep], b[keep], keys, sizes, 1, {})]) if keep.any() else none
+
+
 @common.lean
 def _regrid(batches: Iterator[pa.RecordBatch], blocks: int, splits: dict[int, int]) -> Iterator[pa.RecordBatch]:
     """Pairs by the cells of another grid."""
@@ -448,21 +521,41 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array((h & K.U(LEVELS - 1)).astype(np.int32)), pa.array(np.minimum(level, 255).astype(np.int32))], names=["bucket", "level"])
 
 
-def similar(docs: DataFrame, percent: int = 70) -> DataFrame:
-    """Per document: doc_id, n_shingles, n_similar, component_id."""
+def _by_class(rows: DataFrame, table: DataFrame, how: str = "left") -> DataFrame:
+    """Rows joined with a table of one row per class by key. Classes of more than HUB copies, at most 1 / HUB as many as rows,
+    are sent to all tasks, so that no task gets all rows of a hot class."""
+    small = table.where(F.col("copies") > HUB).drop("copies")
+    names = [c for c in small.columns if c != "key"]
+    hot = small.select(F.col("key").alias("hot_key"), *[F.col(c).alias(f"hot_{c}") for c in names])
+    marked = rows.join(F.broadcast(hot), F.col("key") == F.col("hot_key"), "left")
+    cold = F.when(F.col("hot_key").isNull(), F.col("key"))
+    joined = marked.withColumn("cold_key", cold).join(table.where(F.col("copies") <= HUB).drop("copies").withColumnRenamed("key", "of_key"), F.col("cold_key") == F.col("of_key"), how)
+    return joined.select(*rows.columns, *[F.coalesce(c, f"hot_{c}").alias(c) for c in names])
+
+
+def classified(docs: DataFrame, percent: int = 70) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n, key of each row, and of each class with links or copies: key, copies, n_similar, component_id, first (its
+    smallest doc_id) and stays (whether it has its component's smallest doc_id, or of several such the smallest key)."""
     spark = docs.sparkSession
     common.prepare(spark)
     folder = common.work_folder(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    profile = common.stored(texts.mapInArrow(_profile, f"kind int, doc_id {kind}, n long, key long"), folder, "profile")
+    profile = common.stored(texts.mapInArrow(_profile, f"kind int, doc_id {kind}, n long, key long, bits binary"), folder, "profile")
     sets = profile.where("kind = 0").select("doc_id", "n", "key")
-    classes = sets.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    classes = profile.where("kind = 0 AND n > 0").groupBy("key").agg(F.first("n").alias("n"), F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("bits").alias("bits"))
     classes = common.stored(classes, folder, "classes")
     # a posting has 24 bytes
     parts = common.groups(spark, classes.agg(F.coalesce(F.sum(24 * (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)), F.lit(0))).first()[0], 12 << 20)
     postings = texts.select("text").mapInArrow(partial(_postings, parts=parts, levels=_levels(profile), percent=percent), "part int, t binary, k binary, n binary, place binary")
-    pairs = common.stored(postings.repartitionById(parts, F.col("part")).mapInArrow(partial(_candidates, percent=percent), PAIR_TYPE), folder, "pairs")
+    blocks, splits = _grid(classes.select("key", F.length("bits").alias("size")))
+    found = postings.repartitionById(parts, F.col("part")).mapInArrow(partial(_candidates, blocks=blocks, splits=splits, percent=percent), PAIR_TYPE)
+    pairs = common.stored(found, folder, "pairs")
+
+    needs = common.stored(pairs.mapInArrow(_needs, "cell long, key long").distinct().join(classes.select("key", "n", "bits"), "key"), folder, "needs")
+    n = common.groups(spark, needs.agg(F.coalesce(F.sum(F.length("bits") + 24), F.lit(0))).first()[0])
+    both = pairs.repartition(n, "cell").groupBy("cell").cogroup(needs.repartition(n, "cell").groupBy("cell"))
+    pairs = common.stored(both.applyInArrow(common.cogrouped(_trees, percent=percent), PAIR_TYPE), folder, "alive")
 
     wanted = pairs.mapInArrow(_needs, "cell long, key long").select("key").distinct().join(classes.select("key", "n", "copies", "first"), "key")
     wanted = common.stored(wanted, folder, "wanted")
@@ -480,16 +573,55 @@ def similar(docs: DataFrame, percent: int = 70) -> DataFrame:
 
     labels = components(links.select(F.col("key").alias("a"), F.col("root").alias("b")), folder)
     grouped = links.groupBy("key").agg(F.sum("links").alias("links")).join(labels.withColumnRenamed("node", "key"), "key", "left")
-    known = classes.select("key", "n", "first", "copies").join(grouped, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    least = known.where("links IS NOT NULL").groupBy("label").agg(F.min("first").alias("least"))
+    known = classes.select("key", "first", "copies").join(grouped, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    least = known.where("links IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key")).alias("least"))
     known = known.join(least, "label", "left")
-    result = known.select("key", "n", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"), F.least("least", "first").alias("component_id"))
-    result = common.stored(result.where("n_similar > 0"), folder, "result")
-    return sets.join(result.drop("n"), "key", "left").select(
+    result = known.select(
+        "key", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"), F.coalesce("least.first", "first").alias("component_id"), "first", F.coalesce(F.col("least.key") == F.col("key"), F.lit(True)).alias("stays")
+    )
+    return sets, common.stored(result.where("n_similar > 0"), folder, "result")
+
+
+def similar(docs: DataFrame, percent: int = 70) -> DataFrame:
+    """Per document: doc_id, n_shingles, n_similar, component_id."""
+    sets, result = classified(docs, percent)
+    return _by_class(sets, result.select("key", "copies", "n_similar", "component_id")).select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0).cast("long")).alias("n_similar"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
+@common.lean
+def _keyed(batches: Iterator[pa.RecordBatch], text_at: int, key: str) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in K.pieces(whole, text_at):
+            yield batch.append_column(key, pa.array(set_keys(_sets(batch.column(text_at))), pa.int64()))
+
+
+def one_of_each(docs: DataFrame, percent: int = 70) -> DataFrame:
+    """The documents, with all their columns, without those that are linked, however indirectly, with one that stays.
+
+    Of each component the row with the smallest doc_id stays, nulls last; of rows that share it, the one with the smallest set
+    key, and of equal sets one. Texts without words aren't linked and stay.
+    """
+    common.prepare(docs.sparkSession)
+    sets, result = classified(docs, percent)
+    twice = sets.where("n > 0").groupBy("key", "doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
+    first = result.select("key", "first", "stays", "copies")
+    again = twice.join(first.where("stays"), "key").where(F.col("doc_id").eqNullSafe(F.col("first"))).select("key").distinct().withColumn("again", F.lit(True))
+    first = common.stored(first.join(again, "key", "left").withColumn("again", F.coalesce("again", F.lit(False))), common.work_folder(docs.sparkSession), "first")
+    many, doubled = first.agg(F.count("*"), F.count_if(F.col("again"))).first()
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # no name of a column can clash with these
+    rows = docs.toDF(*names.values())
+    at, text, kinds = names["doc_id"], names["text"], rows.schema
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds) + ", key long"
+    rows = rows.withColumn(text, F.col(text).cast("string")).mapInArrow(partial(_keyed, text_at=docs.columns.index("text"), key="key"), schema)
+    found = rows.join(F.broadcast(first.drop("copies")), "key", "left") if many * 64 <= common.BROADCAST_BYTES else _by_class(rows, first)
+    kept = found.where(F.col("stays").isNull() | (F.col("stays") & F.col(at).eqNullSafe(F.col("first"))))
+    if doubled:
+        kept = kept.where(~F.coalesce("again", F.lit(False))).unionByName(kept.where("again").dropDuplicates(["key"]))
+    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(common.documents(spark, sf_dir))
 
