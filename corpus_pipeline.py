@@ -2,6 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `documents`, and what
 they drop is gone for the stages after them. The last returns one row per document that is left.
+
+In every stage an empty table gives an empty result, rows of null text count as empty texts, repeated rows are rows of their own
+where nothing else is said, and other columns, whatever their names and values, are passed on as they are.
 """
 
 from __future__ import annotations
@@ -13,32 +16,37 @@ from passagebench.llm import bpe, common, decontamination, line_dedup, ngram_joi
 
 
 def accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the co-trained quality classifier keeps."""
+    """The documents that the co-trained quality classifier keeps, those with a score of just the threshold included.
+
+    A null or empty text is scored by its metadata. Without labels every document stays.
+    """
     return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the lines that ten or more documents have; n_chars follows the text."""
+    """Every document without the lines that ten or more documents have; n_chars follows the text.
+
+    A null text becomes the empty one. A repeated row counts as a document each time. A line that exactly ten have goes.
+    """
     kept = line_dedup.LineIndex(spark, 10).insert(docs).apply(docs)
-    return kept.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    return kept.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(*[f"`{c}`" for c in docs.columns])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links of similarity connect, the one with the smallest doc_id."""
-    groups = common.stored(ngram_join.similar(docs), common.work_folder(spark), "groups")
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    # 16 bytes a row, with the table's own overhead
-    side = F.broadcast(gone) if gone.count() * 32 <= common.BROADCAST_BYTES else gone
-    return docs.join(side, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    """Of each group of documents that links of similarity connect, the one with the smallest doc_id.
+
+    Texts without words are in no group and all stay. Of repeated rows one stays; ties are described at `one_of_each`.
+    """
+    return ngram_join.one_of_each(docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in which no window of the benchmark occurs."""
+    """The documents in which no window of the benchmark occurs. Texts without words stay, and all do if the benchmark is empty."""
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document that is left."""
+    """Token counts and digests of every document that is left; a null text has no tokens."""
     import public_tokenizers
 
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
