@@ -9,18 +9,21 @@ fingerprints is the harmonic mean of both containments.
 All texts of a batch are cut in step: one round finds the next boundary of every text that isn't at its end.
 
 Defined cases: a null text is empty; an empty text has the empty fingerprint, which is like itself (1) and no other (0);
-rows with equal doc_ids are ordered by text; a null doc_id comes first; extra columns are not read.
+rows with equal doc_ids are ordered by the 64-bit hash of their text; a null doc_id comes first; ids that aren't whole numbers
+are ordered as strings; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from . import common, kernels as K
 
@@ -158,38 +161,62 @@ def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _placed(cuts: list[tuple], whole: bool) -> Callable[[Column, Column], Column]:
+    """The range of (doc_id, hash) among those that begin at the cuts, which are (doc_id, hash) in order, null ids first."""
+    nulls = sum(c[0] is None for c in cuts)
+    null_hashes = np.array([h for _, h in cuts[:nulls]], np.int64)
+    ids, hashes = np.array([i for i, _ in cuts[nulls:]], np.int64 if whole else object), np.array([h for _, h in cuts[nulls:]], np.int64)
+
+    def place(doc: pd.Series, null: pd.Series, h: pd.Series) -> pd.Series:
+        doc, null, h = doc.to_numpy(), null.to_numpy(bool), h.to_numpy(np.int64)
+        low, high = np.searchsorted(ids, doc, "left"), np.searchsorted(ids, doc, "right")
+        part = nulls + low - 1
+        for cut in np.unique(low[(high > low) & ~null]).tolist():  # ids at which ranges begin
+            own = (low == cut) & (high > low) & ~null
+            to = int(high[own][0])
+            part[own] = nulls + cut + np.searchsorted(hashes[cut:to], h[own], "right") - 1
+        part[null] = np.searchsorted(null_hashes, h[null], "right") - 1
+        return pd.Series(np.maximum(part, 0).astype(np.int32))
+
+    return F.pandas_udf(place, "int")
+
+
+def _whole(docs: DataFrame) -> bool:
+    return docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+
+
 def with_following(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, text, tail) in runs of ascending doc_id, one to a partition, each ended by the row that follows it.
+    """Rows (doc_id, text, tail) in runs of ascending (doc_id, hash of text), one to a partition, each ended by the row that
+    follows it.
 
-    Ranges come from quantiles of doc_id; the first row of every range, as many rows as there are ranges, goes to the range
-    before it too. So texts are shuffled once, and no partition holds more than its range.
+    The ranges are those that Spark finds for the keys alone; each begins at its first key, and one row with that key is sent to
+    the range before too. So texts are shuffled once, a doc_id that many rows share is spread over several ranges, and there
+    are as many ranges as the bytes of the texts make.
     """
     spark = docs.sparkSession
-    n = common.shards(spark)
-    ids = docs.select("doc_id")
-    cuts = sorted(set(ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] or [])) if n > 1 else []
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)).cast(f"array<{kind}>"), lambda b: b < F.col("doc_id")))) if cuts else F.lit(0)
-    firsts = {p: (low, nulls) for p, low, nulls in ids.groupBy(part.alias("p")).agg(F.min("doc_id"), F.max(F.col("doc_id").isNull())).collect()}
-    used = sorted(firsts)
-    before = {p: used[i - 1] for i, p in enumerate(used)}
-    low = F.lit(None).cast(kind)
-    first = F.lit(False)
-    to = F.lit(0)
-    if used:
-        lows = F.array(*[F.lit(None if p not in firsts or firsts[p][1] else firsts[p][0]).cast(kind) for p in range(used[-1] + 1)])
-        first = F.col("doc_id").eqNullSafe(F.get(lows, F.col("part")))
-        to = F.get(F.array(*[F.lit(before.get(p, 0)) for p in range(used[-1] + 1)]), F.col("part"))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), part.cast("int").alias("part"))
-    none = F.struct(F.lit(None).cast("int").alias("part"), F.lit(True).alias("tail"))
-    places = F.array(F.struct(F.col("part"), F.lit(False).alias("tail")), F.when(first, F.struct(to.cast("int").alias("part"), F.lit(True).alias("tail"))).otherwise(none))
-    rows = rows.select("doc_id", "text", F.explode(F.filter(places, lambda x: x["part"].isNotNull())).alias("at")).select("doc_id", "text", "at.tail", "at.part")
-    return rows.repartitionById(n, F.col("part")).sortWithinPartitions("tail", F.asc_nulls_first("doc_id"), "text").select("doc_id", "text", "tail")
+    type_ = docs.schema["doc_id"].dataType
+    whole = _whole(docs)
+    type_ = type_ if whole else StringType()
+    texts = docs.select(F.col("doc_id").cast(type_).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    keys = common.stored(texts.select("doc_id", "h", F.octet_length("text").alias("size")), common.work_folder(spark), "keys")
+    n = common.groups(spark, keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], 64 << 20)
+    low = F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "h"))
+    ranges = keys.select("doc_id", "h").repartitionByRange(n, F.asc_nulls_first("doc_id"), "h").groupBy(F.spark_partition_id().alias("p")).agg(low.alias("low"))
+    cuts = [(r["low"]["doc_id"], r["low"]["h"]) for r in ranges.orderBy("low").collect()]  # n rows at most
+    if not cuts:
+        return texts.select("doc_id", "text", F.lit(False).alias("tail"))
+    schema = StructType([StructField("first_id", type_), StructField("first_h", LongType()), StructField("to", IntegerType())])
+    firsts = spark.createDataFrame([(i, h, (k - 1) % len(cuts)) for k, (i, h) in enumerate(cuts)], schema)
+    tails = texts.join(F.broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))).groupBy("to").agg(*[F.first(c).alias(c) for c in ("doc_id", "text", "h")])
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) if whole else F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    own = texts.select("doc_id", "text", "h", F.lit(False).alias("tail"), _placed(cuts, whole)(id_, F.col("doc_id").isNull(), F.col("h")).alias("part"))
+    rows = own.unionByName(tails.select("doc_id", "text", "h", F.lit(True).alias("tail"), F.col("to").alias("part")))
+    return rows.repartitionById(len(cuts), F.col("part")).sortWithinPartitions("tail", F.asc_nulls_first("doc_id"), "h", "text").select("doc_id", "text", "tail")
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
     common.prepare(docs.sparkSession, 500)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = docs.schema["doc_id"].dataType.simpleString() if _whole(docs) else "string"
     return with_following(docs).mapInArrow(_edits, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
