@@ -21,6 +21,7 @@ label; without both kinds of labels every score is the share of toxic ones; extr
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -35,6 +36,7 @@ from . import common, kernels as K
 TOXIC_ROWS, CLEAN_ROWS = 20_000, 40_000
 PRIOR, CAP, DRIFT, SIGNIFICANT, LEAST_TEXTS, FOLDS = 0.1, 6.0, 1.0, 3.0, 3, 5
 ALPHA = 0.05
+KINDS = ("toxic", "clean", "texts")
 PREFIX = 6
 
 
@@ -134,13 +136,26 @@ class Model:
 
 
 @common.lean
-def _profile(batches: Iterator[pa.RecordBatch], models: list[Model]) -> Iterator[pa.RecordBatch]:
-    """For calibration: label, words and segment scores, by the model of the row's fold."""
+def _best(batches: Iterator[pa.RecordBatch], models: list[Model]) -> Iterator[pa.RecordBatch]:
+    """For the scale: label, words and best segment of each text, by the model of the row's fold."""
+    for batch, model in _by_fold(batches, models):
+        found = [(n, max((s for _, _, s in own), default=0.0)) for n, own in model.found(batch.column(0))]
+        yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array([n for n, _ in found], pa.int64()), pa.array([round(100 * s) for _, s in found], pa.int64())], names=["toxic", "n", "best"])
+
+
+@common.lean
+def _evidences(batches: Iterator[pa.RecordBatch], models: list[Model]) -> Iterator[pa.RecordBatch]:
+    """For the curve: label and evidence of each text, by the model of the row's fold."""
+    for batch, model in _by_fold(batches, models):
+        x = [round(1000 * float(np.log1p(model.evidence(n, own)))) for n, own in model.found(batch.column(0))]
+        yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(x, pa.int64())], names=["toxic", "x"])
+
+
+def _by_fold(batches: Iterator[pa.RecordBatch], models: list[Model]) -> Iterator[tuple[pa.RecordBatch, Model]]:
     for batch in batches:
-        for k in range(FOLDS):
-            part = batch.filter(pa.array([x == k for x in batch.column(2).to_pylist()], pa.bool_()))
-            found = [(words, [s for _, _, s in own]) for words, own in models[k].found(part.column(0))] if part.num_rows else []
-            yield pa.RecordBatch.from_arrays([part.column(1).cast(pa.int32()), pa.array([n for n, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.float64()))], names=["toxic", "n", "scores"])
+        fold = batch.column(2).to_numpy()
+        for k in np.unique(fold).tolist():
+            yield batch.filter(pa.array(fold == k)), models[k]
 
 
 def _weigh(f: np.ndarray, y1: np.ndarray, y0: np.ndarray, texts: np.ndarray, n1: float, n0: float, bias: float, weights: tuple[float, float] = (1.0, 1.0)) -> Model:
@@ -167,6 +182,20 @@ def _weigh(f: np.ndarray, y1: np.ndarray, y0: np.ndarray, texts: np.ndarray, n1:
     return model
 
 
+def _significant(folds: list[int], totals: np.ndarray, weights: tuple[float, float]) -> Column:
+    """The same test as a condition on the sums by fold, so that only words that pass it come to the driver."""
+    n1, n0 = (float(w * t[folds].sum()) for w, t in zip(weights, totals))
+    if min(n1, n0) <= 0:
+        return F.lit(False)
+    y1, y0, texts = (functools.reduce(lambda a, b: a + b, [F.col(f"{c}{k}") for k in folds]) for c in KINDS)
+    error = F.sqrt(1 / (y1 + PRIOR * (y1 + y0)) + 1 / (y0 + PRIOR * (y1 + y0)))
+    y1, y0 = y1 * weights[0], y0 * weights[1]
+    prior, both = PRIOR * (y1 + y0), PRIOR * (n1 + n0)
+    odds = F.log((y1 + prior) / (n1 + both - y1 - prior)) - F.log((y0 + prior) / (n0 + both - y0 - prior))
+    # a hair's breadth below the limits: the driver decides
+    return F.coalesce((texts >= LEAST_TEXTS) & (odds / error >= SIGNIFICANT - 1e-6) & (odds >= 1 - 1e-6), F.lit(False))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0) -> tuple[float, float]:
     """Slope and bias of weighted rows by Newton's method with a slight ridge; a step that doesn't lower the loss is halved."""
     unit = float(np.std(x)) or 1.0
@@ -218,36 +247,39 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     rows = common.stored(labelled(docs, labels), folder, "labelled")
     counts = rows.mapInArrow(_learn, "fold long, f long, toxic long, clean long, texts long").groupBy("f", "fold").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "texts")])
     counts = common.stored(counts, folder, "counts")
-    n1, n0 = counts.where("f = 0").agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("clean"), F.lit(0))).first()
-    # significant features are e times as frequent in toxic texts; those under 1.5 times can't be among them
-    sums = counts.groupBy("f").agg(*[F.sum(c).alias(f"all_{c}") for c in ("toxic", "clean", "texts")])
-    likely = (F.col("all_texts") >= LEAST_TEXTS) & (F.col("all_toxic") * float(n0) >= 1.5 * F.col("all_clean") * float(n1))
-    frequent = sums.where(likely | (F.col("f") == 0)).select("f")
-    table = counts.join(frequent, "f", "left_semi").toPandas()
-    f, at = np.unique(table.f.to_numpy(np.int64), return_inverse=True)
-    cube = np.zeros((3, FOLDS, len(f)))
-    for c, name in enumerate(("toxic", "clean", "texts")):
-        cube[c, table.fold.to_numpy(), at] = table[name].to_numpy(float)
+    sums = counts.groupBy("f").agg(*[F.coalesce(F.sum(F.when(F.col("fold") == k, F.col(c))), F.lit(0)).cast("double").alias(f"{c}{k}") for c in KINDS for k in range(FOLDS)])
+    total = sums.where("f = 0").first()
+    kept = [[j for j in range(FOLDS) if j != k] for k in range(FOLDS)] + [list(range(FOLDS))]
+    if total is None:
+        found, cube, totals = np.zeros(0, np.int64), np.zeros((3, FOLDS, 0)), np.zeros((2, FOLDS))
+    else:
+        totals = np.array([[total[f"{c}{k}"] for k in range(FOLDS)] for c in KINDS[:2]])
+        good = [_significant(folds, totals, weights) for folds in kept]
+        table = sums.where("f <> 0").where(functools.reduce(lambda a, b: a | b, good)).toArrow()  # words significant to a model
+        found = table["f"].to_numpy()
+        cube = np.array([[table[f"{c}{k}"].to_numpy() for k in range(FOLDS)] for c in KINDS]).reshape(3, FOLDS, len(found))
     share = rows.agg(F.avg("toxic")).first()[0] or 0.0
     share = weights[0] * share / (weights[0] * share + weights[1] * (1 - share))
     bias = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
-    total, words = f == 0, f != 0
 
     def made(folds: list[int]) -> Model:
         y1, y0, texts = cube[:, folds].sum(1)
-        return _weigh(f[words].view(K.U), y1[words], y0[words], texts[words], float(y1[total].sum()), float(y0[total].sum()), bias, weights)
-
-    models = [made([j for j in range(FOLDS) if j != k]) for k in range(FOLDS)]
-    model = made(list(range(FOLDS)))
-    seen = rows.select("text", "toxic", "fold").mapInArrow(partial(_profile, models=models), "toxic int, n long, scores array<double>").toPandas()
-    best = np.array([max(s, default=0.0) for s in seen.scores])
-    clean = (seen.toxic.to_numpy() == 0) & (seen.n.to_numpy() > 0)
-    if (some := clean & (best > 0)).any():  # half of the clean texts with a segment have a better one than the median
-        model.scale = float(np.clip(some.sum() / clean.sum() / seen.n[clean].mean() / 2 / np.exp(-model.decay * np.median(best[some])), 1e-6, 1.0))
-    if seen.toxic.nunique() == 2:
-        x = np.log1p([model.evidence(n, [(0, 0, s) for s in scores]) for n, scores in zip(seen.n, seen.scores)])
-        y = seen.toxic.to_numpy(float)
-        model.slope, model.bias = _logistic(x, y, np.where(y > 0, *weights))
+        return _weigh(found.view(K.U), y1, y0, texts, float(totals[0, folds].sum()), float(totals[1, folds].sum()), bias, weights)
+
+    *models, model = map(made, kept)
+    # what comes to the driver are counts by hundredths of a score and thousandths of a logarithm
+    seen = rows.select("text", "toxic", "fold").mapInArrow(partial(_best, models=models), "toxic int, n long, best long").where("toxic = 0 AND n > 0").groupBy("best").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).orderBy("best").toArrow()
+    best, n, words = (seen[c].to_numpy().astype(float) for c in ("best", "rows", "n"))
+    some = best > 0
+    if some.any():  # half of the clean texts with a segment have a better one than the median
+        middle = best[some][np.searchsorted(np.cumsum(n[some]), n[some].sum() / 2)] / 100
+        scale = float(np.clip(n[some].sum() / n.sum() / (words.sum() / n.sum()) / 2 / np.exp(-model.decay * middle), 1e-6, 1.0))
+        for m in (*models, model):
+            m.scale = scale
+    curve = rows.select("text", "toxic", "fold").mapInArrow(partial(_evidences, models=models), "toxic int, x long").groupBy("toxic", "x").agg(F.count("*").alias("n")).orderBy("x", "toxic").toArrow()
+    y = curve["toxic"].to_numpy().astype(float)
+    if len(set(y)) == 2:
+        model.slope, model.bias = _logistic(curve["x"].to_numpy() / 1000, y, curve["n"].to_numpy() * np.where(y > 0, *weights))
     return model
 
 
