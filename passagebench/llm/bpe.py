@@ -6,7 +6,8 @@ earlier merge). Words come from the tokenizer's pattern; texts are first cut at
 pieces of a batch are encoded once, and pieces and words are kept between batches in caches of bounded size.
 
 Defined cases: null and empty texts have no ids; special tokens inside a text get their own ids, as the library does by
-default; very long words are merged with a heap in n log n.
+default; very long words are merged with a heap in n log n; a tokenizer file of another kind (another pattern, a normaliser,
+flags on added tokens) is refused.
 """
 
 from __future__ import annotations
@@ -38,9 +39,25 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+def supported(spec: dict) -> None:
+    """Raises unless the tokenizer is of the kind that is encoded here: plain byte-level BPE with the usual pattern."""
+    before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    wrong = [f"normalizer {spec['normalizer']}"] if spec.get("normalizer") else []
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        wrong.append(f"pre-tokenizer {before}")
+    if model.get("type", "BPE") != "BPE":
+        wrong.append(f"model {model['type']}")
+    wrong += [f"{k} {model[k]}" for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    wrong += [f"{k} of {t['content']}" for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized") if t.get(k)]
+    if wrong:
+        raise ValueError("this tokenizer isn't supported: " + ", ".join(wrong))
+
+
 class Bpe:
     def __init__(self, path: str):
-        spec = json.load(open(path, encoding="utf-8"))
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        supported(spec)
         model, letters = spec["model"], byte_letters()
         vocab = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -51,7 +68,12 @@ class Bpe:
             self.bytes[i] = t
         for t, i in self.special.items():
             self.bytes[i] = t.encode()
-        self.longest = max(map(len, vocab))
+        #: By first three bytes, the lengths of the tokens that begin so, longest first; a single byte is always a token.
+        longer: dict[bytes, set[int]] = {}
+        for t in vocab:
+            if len(t) > 2:
+                longer.setdefault(t[:3], set()).add(len(t))
+        self.longer = {k: sorted(v, reverse=True) for k, v in longer.items()}
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.rank: dict[tuple[int, int], int] = {}
         self.merged: list[int] = []
@@ -113,13 +135,17 @@ class Bpe:
         return tuple(x for x, ok in zip(t, alive) if ok)
 
     def propose(self, word: bytes) -> list[int]:
-        out, i, n, ids, longest = [], 0, len(word), self.ids, self.longest
+        out, i, n, get, longer = [], 0, len(word), self.ids.get, self.longer.get
         while i < n:
-            for j in range(min(n, i + longest), i, -1):
-                if (t := ids.get(word[i:j])) is not None:
-                    out.append(t)
-                    i = j
+            for k in longer(word[i : i + 3], ()):
+                if i + k <= n and (t := get(word[i : i + k])) is not None:
                     break
+            else:
+                k = 2 if i + 1 < n and (t := get(word[i : i + 2])) is not None else 1
+                if k == 1:
+                    t = get(word[i : i + 1])
+            out.append(t)
+            i += k
         return out
 
     def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
