@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 
 import numpy as np
 
-from .text import ABBREVIATIONS, CJK_CLOSERS, CJK_ENDS, CLOSERS, INDIC_ENDS, OTHER_ENDS
+from .text import ABBREVIATIONS, SENTENCE_END
 
+HASHED = re.compile("[a-z0-9]+")
 WORD = re.compile(r"[^\W_]+")
-ENDS = re.compile(rf"(?<=[.!?])[{CLOSERS}]*\s+|(?<=[{CJK_ENDS}{INDIC_ENDS}{OTHER_ENDS}])(?![{CJK_CLOSERS}])[{CLOSERS}]*\s*|\n{{2,}}")
+ENDS = re.compile(SENTENCE_END)
 TAKEN_BACK = re.compile(rf"(?:^|[\s(])(?:{'|'.join(map(re.escape, ABBREVIATIONS))})[.!?]*\s*\Z", re.IGNORECASE)
 
 
@@ -33,12 +35,17 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
     return out
 
 
+@lru_cache(maxsize=1 << 16)
+def _hash(word: str) -> int:
+    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+
+
 def hash_vectors(texts: list[str], dims: int = 256) -> np.ndarray:
     """Unit rows of word counts by hash bucket; a text without words is the zero row."""
-    out = np.zeros((len(texts), dims))
-    for row, text in zip(out, texts):
-        for w in re.findall(r"[a-z0-9]+", text.lower()):
-            row[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dims] += 1
+    found = [HASHED.findall(t.lower()) for t in texts]
+    n = np.array([len(f) for f in found], np.int64)
+    at = np.fromiter((_hash(w) % dims for f in found for w in f), np.int64, int(n.sum()))
+    out = np.bincount(np.repeat(np.arange(len(texts)), n) * dims + at, minlength=len(texts) * dims).reshape(len(texts), dims).astype(float)
     norms = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norms > 0, norms, 1)
 

@@ -18,6 +18,8 @@ from ..functions import plain
 from ..functions import text as T
 from ..functions.shipping import ship
 
+#: Sentences that are embedded at once.
+EMBED_BLOCK = 8192
 ELEMENTS = "array<struct<type:string,text:string,start:int,end:int,level:int>>"
 
 
@@ -60,8 +62,11 @@ def whole_document(docs: DataFrame, strategy: str = "whole_document") -> DataFra
     return _finish(rows, strategy)
 
 
-def _by_document(docs: DataFrame, strategy: str, spans: Callable[[str, list], list[tuple[int, int]]], elements: bool = False) -> DataFrame:
-    """Chunks from a function of text and elements to spans, over Arrow batches."""
+def _by_document(docs: DataFrame, strategy: str, spans: Callable[[str, list], list[tuple[int, int]]], prepare: Callable[[list[str]], list] | None = None) -> DataFrame:
+    """Chunks from a function of text and elements to spans, over Arrow batches.
+
+    prepare makes of the texts of a batch what `spans` gets instead of the elements, so that models see many texts at once.
+    """
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     has = "elements" in docs.columns
@@ -69,10 +74,10 @@ def _by_document(docs: DataFrame, strategy: str, spans: Callable[[str, list], li
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, text, own in zip(batch.doc_id, batch.text, batch.elements if has else [[]] * len(batch)):
-                if text is None:
-                    continue
-                own = [] if own is None else [e if isinstance(e, dict) else e.asDict() for e in own]
+            batch = batch[batch.text.notna()]
+            for doc, text, own in zip(batch.doc_id, batch.text, prepare(batch.text.tolist()) if prepare else batch.elements if has else [[]] * len(batch)):
+                if not prepare:
+                    own = [] if own is None else [e if isinstance(e, dict) else e.asDict() for e in own]
                 rows += [(doc, i, text[a:b], a, b) for i, (a, b) in enumerate(spans(text, own))]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "text", "start", "end"])
 
@@ -131,22 +136,31 @@ def semantic(docs: DataFrame, breakpoint_percentile: float = 95, min_tokens: int
 
     embed = embed or plain.hash_vectors
 
-    def spans(text: str, _) -> list[tuple[int, int]]:
-        own = plain.sentence_spans(text)
+    def distances_of(texts: list[str]) -> list[tuple]:
+        """Sentence spans of each text, and the distances of neighbours; sentences are embedded in blocks over all texts."""
+        found = [plain.sentence_spans(t) for t in texts]
+        flat = [t[a:b] for t, own in zip(texts, found) for a, b in own]
+        distances, last = [], None
+        for k in range(0, len(flat), EMBED_BLOCK):
+            v = np.asarray(embed(flat[k : k + EMBED_BLOCK]))
+            v = v if last is None else np.vstack([last, v])
+            distances.append(1 - (v[:-1] * v[1:]).sum(1))
+            last = v[-1:]
+        distances = np.concatenate([np.zeros(0), *distances])
+        at = np.cumsum([0, *map(len, found)])
+        return [(own, distances[a : max(a, b - 1)]) for own, a, b in zip(found, at, at[1:])]
+
+    def spans(text: str, prepared: tuple) -> list[tuple[int, int]]:
+        own, distances = prepared
         if not own:
             return []
-        parts = [text[a:b] for a, b in own]
-        tokens = [plain.count_tokens(p) for p in parts]
-        groups = [(0, 0)]
-        if len(own) > 1:
-            v = embed(parts)
-            distances = 1 - (v[:-1] * v[1:]).sum(1)
-            groups = break_groups(distances, float(np.percentile(distances, breakpoint_percentile)))
+        tokens = [plain.count_tokens(text[a:b]) for a, b in own]
+        groups = break_groups(distances, float(np.percentile(distances, breakpoint_percentile))) if len(own) > 1 else [(0, 0)]
         groups = merge_small(groups, tokens, min_tokens)
         groups = split_large(groups, tokens, lambda a, b: plain.count_tokens(text[own[a][0] : own[b][1]]), max_tokens)
         return [(own[a][0], own[b][1]) for a, b in groups]
 
-    return _by_document(docs, strategy, spans)
+    return _by_document(docs, strategy, spans, distances_of)
 
 
 def semantic_no_floor(docs: DataFrame, strategy: str = "semantic_no_floor", **options) -> DataFrame:
@@ -220,7 +234,9 @@ def markdown_elements(text: Column) -> Column:
             F.when(row, acc["rows"] + 1).otherwise(F.lit(0)).alias("rows"), out.alias("out"),
         )
 
-    return F.aggregate(lines, state, step, lambda acc: closed(acc))
+    # the end of the text closes a table that it ends with; its offset is one beyond, as if another line began
+    folded = T.blocked_fold(lines, state, step, "out")
+    return F.element_at(F.transform(F.array(folded), lambda f: F.concat(F.flatten(f["blocks"]), closed(f["state"].withField("out", F.array().cast(ELEMENTS))))), 1)
 
 
 def heading_trails(elements: Column) -> Column:
@@ -279,12 +295,24 @@ def discover(group: str = "passagebench.chunkers") -> None:
 
     for point in entry_points(group=group):
         try:
-            register_chunker(point.name, point.load(), replace=True)
+            if point.name not in _plugins:  # what was registered by hand stays
+                register_chunker(point.name, point.load())
         except Exception as error:  # a plugin may fail in any way
             warnings.warn(f"chunker {point.name!r} is skipped: {error}", RuntimeWarning, stacklevel=2)
 
 
+_discovered = False
+
+
+def _discover_once() -> None:
+    global _discovered
+    if not _discovered:
+        _discovered = True
+        discover()
+
+
 def strategies() -> list[str]:
+    _discover_once()
     return [*BUILT_IN, *_plugins]
 
 
@@ -296,6 +324,8 @@ def chunk(docs: DataFrame, name: str, kind: str | None = None, embed=None, **par
         if embed is not None and "embed" in inspect.signature(maker).parameters:
             params["embed"] = embed
         return maker(docs, strategy=name, **params)
+    if kind not in _plugins:
+        _discover_once()
     if kind not in _plugins:
         raise ValueError(f"unknown chunker {kind!r}; known: {', '.join(strategies())}")
     factory = _plugins[kind][0]

@@ -6,11 +6,13 @@ Order among equal scores is (doc_id, chunk_index), for fusion the best rank and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -18,11 +20,19 @@ from pyspark.sql.window import Window as W
 from ..functions import plain
 from ..functions import text as T
 from ..functions.shipping import ship
+from ..storage import work_folder
 
 K1, B, RRF = 1.5, 0.75, 60
 DIGITS = 6
 #: Queries whose vectors one block holds; a larger set goes through the chunks in several blocks.
 QUERY_BLOCK = 2048
+#: Blocks of query vectors that a task keeps.
+BLOCKS_KEPT = 16
+
+
+def with_length(chunks: DataFrame) -> DataFrame:
+    """The chunks with `length`, their number of terms, unless they have it."""
+    return chunks if "length" in chunks.columns else chunks.withColumn("length", F.size(T.bm25_terms(F.col("text"))))
 
 
 def postings(chunks: DataFrame, keys: tuple[str, ...] = ("strategy",)) -> DataFrame:
@@ -33,10 +43,12 @@ def postings(chunks: DataFrame, keys: tuple[str, ...] = ("strategy",)) -> DataFr
 
 
 def term_statistics(chunks: DataFrame, keys: tuple[str, ...] = ("strategy",)) -> DataFrame:
-    """keys.., term, df, idf = ln(1 + (N - df + 0.5) / (df + 0.5))."""
+    """keys.., term, df, idf = ln(1 + (N - df + 0.5) / (df + 0.5)); a chunk's terms are made distinct before any shuffle."""
     n = chunks.groupBy(*keys).agg(F.count("*").alias("n"))
-    df = postings(chunks, keys).groupBy(*keys, "term").agg(F.count("*").alias("df"))
-    return df.join(n, list(keys)).select(*keys, "term", "df", _idf().alias("idf"))
+    terms = chunks.select(*keys, F.explode(F.array_distinct(T.bm25_terms(F.col("text")))).alias("term"))
+    df = terms.groupBy(*keys, "term").agg(F.count("*").alias("df"))
+    joined = df.join(n, list(keys)) if keys else df.join(F.broadcast(n), how="cross")  # one row
+    return joined.select(*keys, "term", "df", _idf().alias("idf"))
 
 
 def _idf():
@@ -53,16 +65,20 @@ def bm25(chunks: DataFrame, queries: DataFrame, top_k: int = 5, keys: tuple[str,
     keys = tuple(keys)
     query_terms = queries.select("question_id", F.explode(T.bm25_terms(F.col("query"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("qtf"))
     vocabulary = query_terms.select("term").distinct()
-    sizes = chunks.select(*keys, F.size(T.bm25_terms(F.col("text"))).alias("length")).groupBy(*keys).agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
+    sizes = with_length(chunks).groupBy(*keys).agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
     rows = postings(chunks, keys).join(vocabulary, "term", "left_semi")
     df = rows.groupBy(*keys, "term").agg(F.count("*").alias("df"))
-    weights = df.join(sizes, list(keys)).select(*keys, "term", "avg_length", _idf().alias("idf"))
+    weights = (df.join(sizes, list(keys)) if keys else df.join(F.broadcast(sizes), how="cross")).select(*keys, "term", "avg_length", _idf().alias("idf"))
     norm = F.when(F.col("avg_length") > 0, K1 * (1 - B + B * F.col("length") / F.col("avg_length"))).otherwise(F.lit(K1))
     scored = rows.join(weights, [*keys, "term"]).join(query_terms, "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
     scored = scored.groupBy(*keys, "question_id", "chunk_id", "doc_id", "chunk_index").agg(F.round(F.sum(part), DIGITS).alias("score"))
     # only the first top_k chunks of a corpus can fill a list
-    first = chunks.select(*keys, "chunk_id", "doc_id", "chunk_index").withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy("doc_id", "chunk_index")) if keys else F.lit(0)).where(F.col("place") <= top_k).drop("place")
+    first = chunks.select(*keys, "chunk_id", "doc_id", "chunk_index")
+    if keys:
+        first = first.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy("doc_id", "chunk_index"))).where(F.col("place") <= top_k).drop("place")
+    else:
+        first = first.orderBy("doc_id", "chunk_index").limit(top_k)
     fill = queries.select("question_id").join(first, how="cross").join(scored.select(*keys, "question_id", "chunk_id"), [*keys, "question_id", "chunk_id"], "left_anti")
     both = scored.unionByName(fill.withColumn("score", F.lit(0.0)).select(*scored.columns))
     return _top(both, keys, top_k).select(*keys, "question_id", "chunk_id", "doc_id", "chunk_index", "score", "rank")
@@ -74,6 +90,22 @@ def hash_embed_sparse(rows: DataFrame, id_column: str, text_column: str = "text"
     return buckets.select(id_column, "bucket", (F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(W.partitionBy(id_column)))).alias("weight"))
 
 
+def _query_blocks(queries: DataFrame) -> tuple[str, int]:
+    """Stores (id, value) in blocks of about QUERY_BLOCK rows in the shared folder: its path and the number of blocks."""
+    n = max(1, -(-queries.count() // QUERY_BLOCK))
+    folder = work_folder(queries.sparkSession)
+    blocks = queries.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"), "id", "value")
+    blocks.repartition(n, "block").sortWithinPartitions("block", "id").write.parquet(f"{folder}/queries")
+    return f"{folder}/queries", n
+
+
+def _block(path: str, block: int, vectors: Callable[[list], np.ndarray]) -> tuple[pa.Array, np.ndarray]:
+    """Ids and vectors of one block, read by the task that needs it."""
+    table = pq.read_table(path, filters=[("block", "=", block)], partitioning=None)
+    ids = table["id"].combine_chunks()
+    return ids if isinstance(ids, pa.Array) else pa.concat_arrays(ids.chunks), vectors(table["value"].to_pylist()) if table.num_rows else np.zeros((0, 0))
+
+
 def _best_per_batch(scores: np.ndarray, top_k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and query of every score among a query's top_k of the batch, ties at the edge included."""
     if len(scores) <= top_k:
@@ -88,25 +120,26 @@ def dense(chunks: DataFrame, queries: DataFrame, top_k: int = 5, keys: tuple[str
     spark = chunks.sparkSession
     ship(spark)
     keys, embed = tuple(keys), embed or plain.hash_vectors
-    table = queries.select(F.col("question_id").cast("string"), "query").toPandas()
-    ids, texts = table.question_id.tolist(), [prefixes[0] + q for q in table["query"]]
+    path, blocks = _query_blocks(queries.select(F.col("question_id").cast("string").alias("id"), F.concat(F.lit(prefixes[0]), "query").alias("value")))
     kinds = {f.name: f.dataType.simpleString() for f in chunks.schema}
-    out_ids = pa.array(ids, pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [(k, embed(texts[k : k + QUERY_BLOCK])) for k in range(0, len(texts), QUERY_BLOCK)]
+        vectors_of = lru_cache(maxsize=BLOCKS_KEPT)(lambda b: _block(path, b, embed))
         for batch in batches:
             if not batch.num_rows:
                 continue
             vectors = embed([prefixes[1] + (t or "") for t in batch.column(len(keys) + 3).to_pylist()])
             group = pd.DataFrame({k: batch.column(i).to_pylist() for i, k in enumerate(keys)}).groupby(list(keys)).indices if keys else {(): np.arange(batch.num_rows)}
-            for offset, q in blocks:
+            for b in range(blocks):
+                ids, q = vectors_of(b)
+                if not len(ids):
+                    continue
                 scores = np.round(vectors @ q.T, DIGITS)
                 for rows in group.values():
                     r, c = _best_per_batch(scores[rows], top_k)
                     at = pa.array(rows[r])
                     columns = [batch.column(i).take(at) for i in range(len(keys) + 3)]
-                    yield pa.RecordBatch.from_arrays([*columns, out_ids.take(pa.array(c + offset)), pa.array(scores[rows][r, c] + 0.0)], names=[*keys, "chunk_id", "doc_id", "chunk_index", "question_id", "score"])
+                    yield pa.RecordBatch.from_arrays([*columns, ids.take(pa.array(c)), pa.array(scores[rows][r, c] + 0.0)], names=[*keys, "chunk_id", "doc_id", "chunk_index", "question_id", "score"])
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in (*keys, "chunk_id", "doc_id", "chunk_index")) + ", question_id string, score double"
     scored = chunks.select(*keys, "chunk_id", "doc_id", "chunk_index", "text").mapInArrow(run, schema)
@@ -116,24 +149,26 @@ def dense(chunks: DataFrame, queries: DataFrame, top_k: int = 5, keys: tuple[str
 
 def nearest_vectors(vectors: DataFrame, queries: DataFrame, top_k: int = 5, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
     """query_id, id, score, rank over stored vectors, themselves excluded."""
-    table = queries.select(id_column, column).toPandas()
-    q, ids = np.array(table[column].tolist(), float).reshape(len(table), -1), table[id_column].to_numpy()
+    path, blocks = _query_blocks(queries.select(F.col(id_column).cast("long").alias("id"), F.col(column).alias("value")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors_of = lru_cache(maxsize=BLOCKS_KEPT)(lambda b: _block(path, b, lambda values: np.array(values, float)))
         for batch in batches:
-            if not batch.num_rows or not len(q):
+            if not batch.num_rows:
                 continue
             own = batch.column(0).to_numpy()
-            # sums from left to right in double, as a plain fold gives them
             v = np.array(batch.column(1).to_pylist(), float)
-            for k in range(0, len(q), QUERY_BLOCK):
-                part = q[k : k + QUERY_BLOCK]
-                scores = np.round(v @ part.T, DIGITS)
-                scores[own[:, None] == ids[None, k : k + QUERY_BLOCK]] = -np.inf
+            for b in range(blocks):
+                ids, q = vectors_of(b)
+                if not len(ids):
+                    continue
+                ids = ids.to_numpy()
+                scores = np.round(v @ q.T, DIGITS)
+                scores[own[:, None] == ids[None, :]] = -np.inf
                 r, c = _best_per_batch(scores, top_k)
                 keep = np.isfinite(scores[r, c])
                 r, c = r[keep], c[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[k + c]), pa.array(own[r]), pa.array(scores[r, c])], names=["query_id", "id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[c]), pa.array(own[r]), pa.array(scores[r, c])], names=["query_id", "id", "score"])
 
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     found = vectors.select(id_column, column).mapInArrow(run, "query_id long, id long, score double")

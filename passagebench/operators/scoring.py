@@ -10,6 +10,7 @@ from ..functions import stats
 from ..functions import text as T
 from ..functions.shipping import ship
 from ..functions.similarity import partial_ratio_column
+from ..storage import stored
 
 CELL = ("strategy", "retriever")
 
@@ -58,8 +59,9 @@ def splits(ranked: DataFrame, chunks: DataFrame, gold: DataFrame, found: DataFra
 def per_question(ranked: DataFrame, chunks: DataFrame, questions: DataFrame, fuzzy: float | None = 0.90, cell: tuple[str, ...] = CELL) -> DataFrame:
     """One row per cell and scored question."""
     gold = gold_rows(questions)
-    ranked = held(ranked, chunks).persist()
-    found = hits(ranked, chunks, gold, fuzzy, cell).persist()
+    # at most k rows a question and cell, which several steps read
+    ranked = stored(held(ranked, chunks))
+    found = stored(hits(ranked, chunks, gold, fuzzy, cell))
     total = gold.groupBy("question_id").agg(F.count("*").alias("gold_total"))
     context = ranked.groupBy(*cell, "question_id").agg(F.sum("token_count").alias("retrieved_tokens"))
     counts = found.groupBy(*cell, "question_id").agg(F.min("rank").alias("first_hit_rank"), F.count_distinct("rank").alias("hit_chunks"), F.count_distinct("gold_index").alias("gold_found"), F.array_sort(F.collect_set("gold_index")).alias("found_gold"))
@@ -113,14 +115,19 @@ def histogram(chunks: DataFrame, bucket: int = 100) -> DataFrame:
 
 
 def boundary_health(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """strategy, boundary_health: the share of chunks neither of whose ends falls inside a sentence. One equi-join on doc_id."""
-    sentences = docs.select("doc_id", T.sentence_spans(F.col("text")).alias("spans"))
-    rows = chunks.select("strategy", "doc_id", "start", "end").join(sentences, "doc_id", "left")
-
-    def inside(at: str) -> Column:
-        return F.coalesce(F.exists("spans", lambda s: (s["start"] < F.col(at)) & (F.col(at) < s["end"])), F.lit(False))
-
-    return rows.groupBy("strategy").agg(F.avg((~inside("start") & ~inside("end")).cast("int")).alias("boundary_health"))
+    """strategy, boundary_health: the share of chunks neither of whose ends falls inside a sentence.
+
+    Ends of chunks and sentences are narrow rows that meet in the order of their places within a document: an end falls inside
+    the last sentence that begins before it, or in none, as sentences don't overlap. One shuffle by doc_id serves all steps.
+    """
+    spans = docs.select("doc_id", F.explode(T.sentence_spans(F.col("text"))).alias("s"))
+    blank = [F.lit(None).cast(t).alias(c) for c, t in (("strategy", "string"), ("chunk_index", "int"))]
+    sentences = spans.select("doc_id", F.col("s.start").alias("at"), F.lit(1).alias("kind"), F.col("s.end").alias("stop"), *blank)
+    ends = chunks.select("doc_id", F.explode(F.array("start", "end")).alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("int").alias("stop"), "strategy", F.col("chunk_index").cast("int").alias("chunk_index"))
+    before = W.partitionBy("doc_id").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = sentences.unionByName(ends).withColumn("stop", F.last("stop", ignorenulls=True).over(before)).where("kind = 0")
+    cut = placed.groupBy("doc_id", "strategy", "chunk_index").agg(F.max(F.coalesce(F.col("at") < F.col("stop"), F.lit(False))).alias("cut"))
+    return cut.groupBy("strategy").agg(F.avg((~F.col("cut")).cast("int")).alias("boundary_health"))
 
 
 def table_integrity(chunks: DataFrame, elements: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, comparison, questions, retrieval, scoring
+from ..storage import spread, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,13 +35,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.fixed(docs(spark, sf_dir), SIZE, OVERLAP)
 
 
+def kept_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, written once with their numbers of terms, for queries that read chunks several times."""
+    return stored(retrieval.with_length(chunks(spark, sf_dir)))
+
+
 def question_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """question_id, query, gold_snippets."""
     words = F.slice(T.token_pieces(F.col("text")), 1, 12)
@@ -103,8 +109,10 @@ def fuse_sql(a: str, b: str, top: int, as_name: str = "fused") -> str:
 {as_name} AS MATERIALIZED (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, best, chunk_id) AS INTEGER) AS rank FROM {as_name}_u) WHERE rank <= {top})"""
 
 
-SENTENCES_SQL = r"""sentence_p AS (SELECT doc_id, unnest(ps) AS part, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?]["'')\]*_»”]*\s+|\n{2,})', '\1' || chr(1), 'g'), chr(1)) AS ps FROM documents)),
-sentence_g AS (SELECT *, coalesce(sum(CASE WHEN regexp_matches(part, '(?i)(^|[\s(])(mr|mrs|ms|dr|prof|sr|jr|st|vs|etc|e\.g|i\.e|fig|no|vol|inc|ltd|co|dept|approx)[.!?]*\s+$') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g,
+CLOSERS_SQL = T.CLOSERS.replace("'", "''")
+NAMES_SQL = "|".join(a.replace(".", r"\.") for a in T.ABBREVIATIONS)
+SENTENCES_SQL = rf"""sentence_p AS (SELECT doc_id, unnest(ps) AS part, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '(\n{{2,}}|[.!?][{CLOSERS_SQL}]*\s+)', '\1' || chr(1), 'g'), chr(1)) AS ps FROM documents)),
+sentence_g AS (SELECT *, coalesce(sum(CASE WHEN regexp_matches(part, '(?i)(^|[\s(])({NAMES_SQL})[.!?]*\s+$') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g,
   coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM sentence_p),
 sentence_m AS (SELECT doc_id, g, min(off) AS off, string_agg(part, '' ORDER BY i) AS s FROM sentence_g GROUP BY doc_id, g),
 sentences AS MATERIALIZED (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS INTEGER) AS idx, CAST(off + length(s) - length(regexp_replace(s, '^\s+', '')) AS INTEGER) AS start,
@@ -298,7 +306,7 @@ BOUNDARY_SQL = """boundary AS (SELECT strategy, round(avg(CASE WHEN EXISTS (SELE
 
 @query(f"WITH {chunks_sql()}, {SENTENCES_SQL}, {HEALTH_SQL}, {BOUNDARY_SQL} SELECT * FROM sizes JOIN boundary USING (strategy)")
 def chunk_health(spark, sf_dir):
-    c = chunks(spark, sf_dir)
+    c = stored(chunks(spark, sf_dir).drop("text"))
     rows = scoring.sizes(c, 50, 120).join(scoring.boundary_health(c, docs(spark, sf_dir)), "strategy")
     return rows.withColumns({k: r6(k) for k in ("tokens_mean", "pct_tiny", "pct_oversized", "boundary_health")})
 
@@ -334,7 +342,7 @@ def bm25_idf(spark, sf_dir):
 
 @query(f"WITH {chunks_sql()}, {QUESTIONS_SQL}, {bm25_sql(TOP)} SELECT question_id, chunk_id, score, rank FROM ranked")
 def bm25_topk(spark, sf_dir):
-    return retrieval.bm25(chunks(spark, sf_dir), question_rows(spark, sf_dir), TOP).select("question_id", "chunk_id", "score", "rank")
+    return retrieval.bm25(kept_chunks(spark, sf_dir), question_rows(spark, sf_dir), TOP).select("question_id", "chunk_id", "score", "rank")
 
 
 @query(f"WITH {chunks_sql()}, {QUESTIONS_SQL}, {vectors_sql('questions', 'question_id', 'query', 'v')} SELECT id AS question_id, CAST(bucket AS INTEGER) AS bucket, round(weight, 6) AS weight FROM v")
@@ -356,18 +364,19 @@ def dense_topk_embeddings(spark, sf_dir):
 
 @query(f"WITH {chunks_sql()}, {QUESTIONS_SQL}, {bm25_sql(20)}, {dense_sql(20)}, {fuse_sql('ranked', 'dense', TOP)} SELECT question_id, chunk_id, score, rank FROM fused")
 def rrf_hybrid(spark, sf_dir):
-    return retrieval.hybrid(chunks(spark, sf_dir), question_rows(spark, sf_dir), TOP).select("question_id", "chunk_id", "score", "rank")
+    return retrieval.hybrid(kept_chunks(spark, sf_dir), question_rows(spark, sf_dir), TOP).select("question_id", "chunk_id", "score", "rank")
 
 
 # scoring ----------------------------------------------------------------------------------------------------------------
 
 
-def ranked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.retrieve(chunks(spark, sf_dir), question_rows(spark, sf_dir), ["bm25"], TOP)
+def ranked_rows(spark: SparkSession, sf_dir: str, c: DataFrame) -> DataFrame:
+    return retrieval.retrieve(c, question_rows(spark, sf_dir), ["bm25"], TOP)
 
 
 def result_rows(spark: SparkSession, sf_dir: str, fuzzy: float | None = None) -> DataFrame:
-    return scoring.per_question(ranked_rows(spark, sf_dir), chunks(spark, sf_dir), question_rows(spark, sf_dir), fuzzy)
+    c = kept_chunks(spark, sf_dir)
+    return scoring.per_question(ranked_rows(spark, sf_dir, c), c, question_rows(spark, sf_dir), fuzzy)
 
 
 BASE_SQL = f"WITH {chunks_sql()}, {QUESTIONS_SQL}, {bm25_sql(TOP)}, "
@@ -375,14 +384,16 @@ BASE_SQL = f"WITH {chunks_sql()}, {QUESTIONS_SQL}, {bm25_sql(TOP)}, "
 
 @query(BASE_SQL + HITS_SQL + " SELECT question_id, rank, chunk_id FROM hits")
 def gold_containment(spark, sf_dir):
-    ranked = ranked_rows(spark, sf_dir)
-    found = scoring.hits(ranked, chunks(spark, sf_dir), scoring.gold_rows(question_rows(spark, sf_dir)), None)
+    c = kept_chunks(spark, sf_dir)
+    ranked = stored(ranked_rows(spark, sf_dir, c))
+    found = scoring.hits(ranked, c, scoring.gold_rows(question_rows(spark, sf_dir)), None)
     return found.join(ranked.select("question_id", "rank", "chunk_id"), ["question_id", "rank"]).select("question_id", "rank", "chunk_id")
 
 
 @query()
 def gold_fuzzy(spark, sf_dir):
-    return scoring.hits(ranked_rows(spark, sf_dir), chunks(spark, sf_dir), scoring.gold_rows(question_rows(spark, sf_dir)), 0.90)
+    c = kept_chunks(spark, sf_dir)
+    return scoring.hits(ranked_rows(spark, sf_dir, c), c, scoring.gold_rows(question_rows(spark, sf_dir)), 0.90)
 
 
 SPLIT_SQL = r"""r2 AS (SELECT r.question_id, r.rank, c.* FROM ranked r JOIN chunks c USING (chunk_id)),
@@ -392,7 +403,8 @@ split_rows AS (SELECT DISTINCT a.question_id FROM r2 a JOIN r2 b ON a.question_i
 
 @query(BASE_SQL + HITS_SQL + ", " + SPLIT_SQL + " SELECT question_id FROM split_rows")
 def split_across(spark, sf_dir):
-    ranked, gold, c = ranked_rows(spark, sf_dir), scoring.gold_rows(question_rows(spark, sf_dir)), chunks(spark, sf_dir)
+    c, gold = kept_chunks(spark, sf_dir), scoring.gold_rows(question_rows(spark, sf_dir))
+    ranked = stored(scoring.held(ranked_rows(spark, sf_dir, c), c))
     return scoring.splits(ranked, c, gold, scoring.hits(ranked, c, gold, None), None).select("question_id")
 
 
@@ -412,7 +424,8 @@ PLANS = (("fixed", SIZE, OVERLAP), ("fixed_small", 96, 16), ("fixed_large", 256,
 
 def plan_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir)
-    return chunking.chunk_all(d, [(n, {"kind": "fixed", "chunk_size": s, "overlap": o}) for n, s, o in PLANS])
+    rows = chunking.chunk_all(d, [(n, {"kind": "fixed", "chunk_size": s, "overlap": o}) for n, s, o in PLANS])
+    return stored(retrieval.with_length(rows))
 
 
 def _matrix_sql() -> str:
@@ -506,7 +519,7 @@ diffs AS (SELECT r.question_id, r.gold_found * 1e0 - o.v AS v FROM results r JOI
 
 def paired_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = question_rows(spark, sf_dir)
-    small = chunking.fixed(docs(spark, sf_dir), 96, 16, "fixed")
+    small = stored(retrieval.with_length(chunking.fixed(docs(spark, sf_dir), 96, 16, "fixed")))
     other = scoring.per_question(retrieval.retrieve(small, q, ["bm25"], TOP), small, q, None)
     rows = comparison.paired(other, result_rows(spark, sf_dir), ["question_id"])
     return rows.select(F.lit("fixed").alias("strategy"), "question_id", (F.col("now") - F.col("before")).alias("d"))
@@ -533,7 +546,7 @@ def questions_to_separate(spark, sf_dir):
 def regression_check(spark, sf_dir):
     rows = paired_rows(spark, sf_dir)
     q = question_rows(spark, sf_dir)
-    small = chunking.fixed(docs(spark, sf_dir), 96, 16, "fixed")
+    small = stored(retrieval.with_length(chunking.fixed(docs(spark, sf_dir), 96, 16, "fixed")))
     before = scoring.metrics(scoring.per_question(retrieval.retrieve(small, q, ["bm25"], TOP), small, q, None), TOP).select("strategy", F.col("recall_at_k").alias("baseline_recall"))
     now = scoring.metrics(result_rows(spark, sf_dir), TOP).select("strategy", F.col("recall_at_k").alias("current_recall"))
     ci = scoring.hash_interval(rows, ["strategy"], "question_id", "d", RESAMPLES)
