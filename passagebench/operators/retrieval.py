@@ -20,7 +20,7 @@ from pyspark.sql.window import Window as W
 from ..functions import plain
 from ..functions import text as T
 from ..functions.shipping import ship
-from ..storage import work_folder
+from ..storage import stored, work_folder
 
 K1, B, RRF = 1.5, 0.75, 60
 DIGITS = 6
@@ -116,10 +116,11 @@ def _best_per_batch(scores: np.ndarray, top_k: int) -> tuple[np.ndarray, np.ndar
 
 def dense(chunks: DataFrame, queries: DataFrame, top_k: int = 5, keys: tuple[str, ...] = ("strategy",), embed=None, prefixes: tuple[str, str] = ("", "")) -> DataFrame:
     """Cosine of unit vectors. Batches of chunks are multiplied with blocks of query vectors; each batch passes on only its best,
-    and one window per query over these makes the ranks. embed: texts to unit rows; a hash embedder where none is given."""
+    and one window per query over these makes the ranks. embed: texts to unit rows; a hash embedder where none is given. Chunks
+    with a column `vector` have been embedded before."""
     spark = chunks.sparkSession
     ship(spark)
-    keys, embed = tuple(keys), embed or plain.hash_vectors
+    keys, embed, ready = tuple(keys), embed or plain.hash_vectors, "vector" in chunks.columns
     path, blocks = _query_blocks(queries.select(F.col("question_id").cast("string").alias("id"), F.concat(F.lit(prefixes[0]), "query").alias("value")))
     kinds = {f.name: f.dataType.simpleString() for f in chunks.schema}
 
@@ -128,7 +129,8 @@ def dense(chunks: DataFrame, queries: DataFrame, top_k: int = 5, keys: tuple[str
         for batch in batches:
             if not batch.num_rows:
                 continue
-            vectors = embed([prefixes[1] + (t or "") for t in batch.column(len(keys) + 3).to_pylist()])
+            given = batch.column(len(keys) + 3).to_pylist()
+            vectors = np.array(given, float) if ready else embed([prefixes[1] + (t or "") for t in given])
             group = pd.DataFrame({k: batch.column(i).to_pylist() for i, k in enumerate(keys)}).groupby(list(keys)).indices if keys else {(): np.arange(batch.num_rows)}
             for b in range(blocks):
                 ids, q = vectors_of(b)
@@ -142,7 +144,7 @@ def dense(chunks: DataFrame, queries: DataFrame, top_k: int = 5, keys: tuple[str
                     yield pa.RecordBatch.from_arrays([*columns, ids.take(pa.array(c)), pa.array(scores[rows][r, c] + 0.0)], names=[*keys, "chunk_id", "doc_id", "chunk_index", "question_id", "score"])
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in (*keys, "chunk_id", "doc_id", "chunk_index")) + ", question_id string, score double"
-    scored = chunks.select(*keys, "chunk_id", "doc_id", "chunk_index", "text").mapInArrow(run, schema)
+    scored = chunks.select(*keys, "chunk_id", "doc_id", "chunk_index", "vector" if ready else "text").mapInArrow(run, schema)
     scored = scored.withColumn("question_id", F.col("question_id").cast(queries.schema["question_id"].dataType))
     return _top(scored, keys, top_k).select(*keys, "question_id", "chunk_id", "doc_id", "chunk_index", "score", "rank")
 
@@ -189,13 +191,14 @@ def hybrid(chunks: DataFrame, queries: DataFrame, top_k: int = 5, keys: tuple[st
     return fuse(dense(chunks, queries, depth, keys, embed).unionByName(bm25(chunks, queries, depth, keys)), top_k, keys)
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, modes: list[str], top_k: int = 5, keys: tuple[str, ...] = ("strategy",), embed=None) -> DataFrame:
+def retrieve(chunks: DataFrame, queries: DataFrame, modes: list[str], top_k: int = 5, keys: tuple[str, ...] = ("strategy",), embed=None, prefixes: tuple[str, str] = ("", "")) -> DataFrame:
     """All cells of the strategy x retriever matrix, with a retriever column; fused ranks reuse both deep rankings."""
     unknown = set(modes) - {"dense", "bm25", "hybrid"}
     if unknown:
         raise ValueError(f"unknown retrievers: {', '.join(sorted(unknown))}")
     depth = max(20, 4 * top_k) if "hybrid" in modes else top_k
-    deep = {m: f(chunks, queries, depth, keys) for m, f in (("dense", lambda *a: dense(*a, embed=embed)), ("bm25", bm25)) if m in modes or "hybrid" in modes}
+    # each deep ranking is read by fusion and by itself
+    deep = {m: stored(f(chunks, queries, depth, keys)) if "hybrid" in modes else f(chunks, queries, depth, keys) for m, f in (("dense", lambda *a: dense(*a, embed=embed, prefixes=prefixes)), ("bm25", bm25)) if m in modes or "hybrid" in modes}
     out = []
     for mode in modes:
         rows = fuse(deep["dense"].unionByName(deep["bm25"]), top_k, keys) if mode == "hybrid" else deep[mode].where(F.col("rank") <= top_k)

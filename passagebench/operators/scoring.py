@@ -73,6 +73,12 @@ def per_question(ranked: DataFrame, chunks: DataFrame, questions: DataFrame, fuz
     return rows.withColumns({**zero, "found_gold": F.coalesce("found_gold", F.array().cast("array<int>")), "split_across": F.coalesce("split_across", F.lit(False))})
 
 
+def retrieved_texts(ranked: DataFrame, chunks: DataFrame, most: int = 3, cell: tuple[str, ...] = CELL) -> DataFrame:
+    """cell.., question_id, retrieved: the texts of the first chunks, in order."""
+    rows = held(ranked, chunks).where(F.col("rank") <= most)
+    return rows.groupBy(*cell, "question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("retrieved"))
+
+
 def efficiency() -> Column:
     return F.when(F.col("retrieved_tokens") > 0, F.least(F.col("found_tokens") / F.col("retrieved_tokens"), F.lit(1.0))).otherwise(0.0)
 

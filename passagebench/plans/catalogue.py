@@ -171,7 +171,8 @@ def language_audit(spark, sf_dir):
     return found.groupBy("lang", "label").agg(F.count("*").alias("documents"))
 
 
-@query("SELECT sha256(string_agg(d, '' ORDER BY p)) AS sha256 FROM (SELECT substr(h, 1, 2) AS p, sha256(string_agg(h, '' ORDER BY h)) AS d FROM (SELECT sha256(doc_id || chr(0) || text || chr(0)) AS h FROM documents) GROUP BY 1)")
+@query("""WITH rows AS (SELECT sha256(doc_id || chr(0) || text || chr(0)) AS h FROM documents), fours AS (SELECT substr(h, 1, 4) AS p, sha256(string_agg(h, '' ORDER BY h)) AS d FROM rows GROUP BY 1),
+twos AS (SELECT substr(p, 1, 2) AS q, sha256(string_agg(d, '' ORDER BY p)) AS d FROM fours GROUP BY 1) SELECT sha256(string_agg(d, '' ORDER BY q)) AS sha256 FROM twos""")
 def corpus_fingerprint(spark, sf_dir):
     return comparison.fingerprint(docs(spark, sf_dir), "doc_id", "text")
 

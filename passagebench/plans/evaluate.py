@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..functions import text as T
 from ..operators import chunking, comparison, retrieval, scoring
+from ..operators.questions import containing
+from ..storage import stored
 
 DEFAULTS = [
     ("fixed", {"chunk_size": 512, "overlap": 64}), ("recursive", {"chunk_size": 512, "overlap": 64}), ("semantic", {"breakpoint_percentile": 95, "min_tokens": 200, "max_tokens": 1000}),
@@ -19,6 +21,10 @@ DEFAULTS = [
 METRICS = {"balanced": "balanced_score", "recall_at_k": "recall_at_k", "mrr": "mrr", "hit_rate_at_k": "hit_rate_at_k"}
 
 
+#: Rows of questions and cells that a report shows, and tracks of boundaries.
+SHOWN, TRACKS = 20_000, 200
+
+
 @dataclass
 class Config:
     strategies: list[tuple[str, dict]] = field(default_factory=lambda: [(n, dict(p)) for n, p in DEFAULTS])
@@ -33,8 +39,19 @@ class Config:
     seed: int = 0
     model: str = "BAAI/bge-small-en-v1.5"
     max_sequence: int | None = None
+    cache: str | None = None
+    query_prefix: str | None = None
+    passage_prefix: str | None = None
+    json_path: str | None = None
+    html_path: str | None = None
 
     def __post_init__(self) -> None:
+        known = {*chunking.strategies(), *chunking.HIDDEN}
+        unknown = [n for n, p in self.strategies if p.get("kind", n) not in known]
+        if unknown:
+            raise ValueError(f"unknown strategies: {', '.join(unknown)}; known: {', '.join(sorted(known))}")
+        if len({n for n, _ in self.strategies}) != len(self.strategies):
+            raise ValueError("a strategy is named twice")
         if self.top_k < 1 or self.resamples < 100:
             raise ValueError("top_k must be 1 and resamples 100 at least")
         if self.metric not in METRICS:
@@ -43,6 +60,12 @@ class Config:
             raise ValueError("a retriever is named twice")
         self.strategies = self.strategies or [(n, dict(p)) for n, p in DEFAULTS]
 
+    @property
+    def prefixes(self) -> tuple[str, str]:
+        """What stands before queries and passages: as given, else as the model was trained with."""
+        own = T.prefix_scheme(self.model)
+        return own[0] if self.query_prefix is None else self.query_prefix, own[1] if self.passage_prefix is None else self.passage_prefix
+
     @property
     def modes(self) -> list[str]:
         return [self.mode, *self.compare]
@@ -56,10 +79,11 @@ def load_config(path: str | None) -> Config:
     import yaml
 
     data = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
-    r, e, m = data.get("retrieval") or {}, data.get("eval") or {}, data.get("embedding") or {}
+    r, e, m, o = (data.get(k) or {} for k in ("retrieval", "eval", "embedding", "output"))
     given = {
         "strategies": [(s["name"], s.get("params") or {}) for s in data.get("strategies") or []], "mode": r.get("mode"), "compare": r.get("compare"), "top_k": r.get("top_k"), "fuzzy": e.get("fuzzy_threshold"),
         "metric": e.get("ranking_metric"), "floor": e.get("min_floor_tokens"), "weight": e.get("lambda"), "resamples": e.get("bootstrap_resamples"), "seed": e.get("seed"), "model": m.get("model"),
+        "cache": m.get("cache"), "query_prefix": m.get("query_prefix"), "passage_prefix": m.get("passage_prefix"), "json_path": o.get("json"), "html_path": o.get("html"),
     }
     return Config(**{k: v for k, v in given.items() if v is not None})
 
@@ -88,7 +112,7 @@ def warnings_for(docs: DataFrame, questions: DataFrame, config: Config) -> tuple
         if odd:
             out.append(f"{odd} documents weren't valid UTF-8")
     if T.model_scope(config.model) == "english":
-        foreign = comparison.languages(docs).where("label IS NOT NULL AND label <> 'en'").groupBy("label").count().orderBy(F.desc("count"), "label").limit(5).collect()
+        foreign = comparison.languages(docs).where("label IS NOT NULL AND label <> 'en'").groupBy("label").count().orderBy(F.desc("count"), "label").collect()  # as many as there are languages
         if foreign:
             out.append(f"{config.model} is for English, but there are documents in {', '.join(f'{r.label} ({r["count"]})' for r in foreign)}")
     return out, {"documents": n, "questions": total, "scored": scored, "tokenizer": "lexical"}
@@ -143,10 +167,15 @@ def evaluate(docs: DataFrame, questions: DataFrame, config: Config | None = None
     say = progress or (lambda _: None)
     warnings, summary = warnings_for(docs, questions, config)
     say("chunk")
-    chunks = chunking.chunk_all(docs, config.strategies, embed)
+    docs = stored(docs) if docs.isStreaming is False and "elements" in docs.columns else docs
+    chunks = stored(retrieval.with_length(chunking.chunk_all(docs, config.strategies, embed)))
+    prefixes = config.prefixes if embed else ("", "")  # words of a prefix would only blur hashed words
+    if config.cache and embed and {"dense", "hybrid"} & set(config.modes):
+        chunks = stored(comparison.with_vectors(chunks, config.cache, embed, config.model, prefix=prefixes[1]))
     scored = questions.where(F.size("gold_snippets") > 0)
     say("retrieve")
-    results = scoring.per_question(retrieval.retrieve(chunks, scored, config.modes, config.top_k, embed=embed), chunks, scored, config.fuzzy).persist()
+    ranked_chunks = stored(scoring.held(retrieval.retrieve(chunks, scored, config.modes, config.top_k, embed=embed, prefixes=prefixes), chunks))
+    results = stored(scoring.per_question(ranked_chunks, chunks, scored, config.fuzzy))
     ceiling = min([config.max_sequence or 10_000, *([p["max_tokens"] for _, p in config.strategies if "max_tokens" in p] or [10_000])])
     elements = docs.select("doc_id", F.explode("elements").alias("e")).select("doc_id", "e.*") if "elements" in docs.columns else None
     health = scoring.chunk_health(chunks, docs, elements, config.floor, ceiling)
@@ -165,8 +194,19 @@ def evaluate(docs: DataFrame, questions: DataFrame, config: Config | None = None
     for s, m in first_two:
         for r in results.where((F.col("strategy") == s) & (F.col("retriever") == m) & (F.col("gold_total") > 0)).select("question_id", (F.col("gold_found") / F.col("gold_total")).alias("r")).toLocalIterator():
             recalls[s, m][r.question_id] = r.r
+    per_question, tracks = [], []
+    if results.count() <= SHOWN:
+        texts = scoring.retrieved_texts(ranked_chunks, chunks)
+        per_question = [r.asDict(True) for r in results.join(texts, ["strategy", "retriever", "question_id"]).orderBy("strategy", "retriever", "question_id").collect()]
+        gold = scoring.gold_rows(scored)
+        marks = comparison.gold_markers(docs, gold, chunks, containing(docs, gold))
+        ends = comparison.boundaries(chunks.join(marks.select("doc_id").distinct(), "doc_id", "left_semi"))
+        rows = ends.join(marks.groupBy("strategy", "doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "status", "question_id"))).alias("gold")), ["strategy", "doc_id"])
+        tracks = [r.asDict(True) for r in rows.orderBy("doc_id", "strategy").limit(TRACKS).collect()]
+    else:
+        warnings.append(f"the report leaves per-question rows out, as there are more than {SHOWN}; `results` has them")
     splits = {(c["strategy"], c["retriever"]): c["split_questions"] for c in ranked}
     return {
-        "schema_version": "1.0", "metric": METRICS[config.metric], "summary": summary | {"questions_sha256": comparison.fingerprint(scored.withColumn("gold", F.to_json("gold_snippets")), "question_id", "query", "gold").first()[0], "corpus_sha256": comparison.fingerprint(docs, "doc_id", "text").first()[0]},
-        "cells": ranked, "recommendation": recommend(ranked, recalls, splits, config, summary["scored"]), "warnings": warnings, "generated_at": datetime.now(UTC).isoformat(timespec="seconds"), "results": results,
+        "schema_version": comparison.SCHEMA, "metric": METRICS[config.metric], "summary": summary | {"questions_sha256": comparison.fingerprint(scored.withColumn("gold", F.to_json("gold_snippets")), "question_id", "query", "gold").first()[0], "corpus_sha256": comparison.fingerprint(docs, "doc_id", "text").first()[0]},
+        "cells": ranked, "recommendation": recommend(ranked, recalls, splits, config, summary["scored"]), "warnings": warnings, "per_question": per_question, "tracks": tracks, "model": config.model if embed else "hash-256", "generated_at": datetime.now(UTC).isoformat(timespec="seconds"), "results": results,
     }

@@ -16,6 +16,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions.shipping import ship
 from ..operators.chunking import ELEMENTS, markdown_elements
@@ -117,8 +118,9 @@ def load_documents(spark: SparkSession, path: str) -> DataFrame:
     rows = files.mapInPandas(_parse, f"source_path string, text string, metadata map<string,string>, found {ELEMENTS}")
     marked = F.lower("source_path").rlike(r"\.(md|pdf)$")
     elements = F.when(marked, markdown_elements(F.col("text"))).otherwise(F.coalesce("found", F.array().cast(ELEMENTS)))
-    # ordinals in path order come from the driver's list of names, one per file
-    return rows.select("source_path", "text", "metadata", elements.alias("elements"), F.regexp_extract("source_path", r"([^/]+)\.[^./]+$", 1).alias("doc_id"))
+    # ordinals follow the order of paths: a window over names alone, then an equi-join
+    order = names.select(F.col("path").alias("source_path"), (F.row_number().over(W.partitionBy().orderBy("path")) - 1).cast("long").alias("doc_ord"))
+    return rows.join(order, "source_path").select("doc_ord", "source_path", "text", "metadata", elements.alias("elements"), F.regexp_extract("source_path", r"([^/]+)\.[^./]+$", 1).alias("doc_id"))
 
 
 def from_table(spark: SparkSession, path: str, fmt: str = "parquet", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

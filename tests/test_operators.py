@@ -162,7 +162,8 @@ def test_sources_and_evaluation(spark, tmp_path):
     q = documents.questions_from(spark, [{"id": "q1", "query": "fees euros", "gold_snippets": ["Fees are 5 euros."]}, {"id": "q2", "query": "visit", "gold_snippets": ["7 euros per visit"]}])
     report = evaluate(d, q, Config(strategies=[("fixed", {"chunk_size": 20, "overlap": 4}), ("structure", {"max_tokens": 40})], mode="bm25", compare=["hybrid"], resamples=200, fuzzy=None))
     assert len(report["cells"]) == 4 and report["recommendation"] and any("scored questions" in w for w in report["warnings"])
-    report.pop("results")
+    assert len(report["per_question"]) == 8 and all(q["retrieved"] for q in report["per_question"])
+    assert {g["status"] for t in report["tracks"] for g in t["gold"]} <= {"clean", "split"} and report["tracks"]
     assert "retriever" in reports.to_console(report)
     reports.to_json(report, str(tmp_path / "r.json")), reports.to_html(report, str(tmp_path / "r.html"))
 
@@ -203,3 +204,88 @@ def test_validate_missing_tells_near_matches(spark, tmp_path):
     want = [(i, "fuzzy_only" if max(best(x.lower(), t) for t in norms) >= 0.9 else "not_found") for i, x in enumerate(items) if not any(x.lower() in t for t in norms)]
     assert ("fuzzy_only" in dict(want).values()) and len(want) == 3
     assert sorted((r.q_ord, r.kind) for r in catalogue.QUERIES["validate_missing"](spark, str(tmp_path)).collect()) == want
+
+
+def report_of(hits, n=40, digest="x", version="1.0", strategy="s"):
+    rows = [{"strategy": strategy, "retriever": "bm25", "question_id": f"q{i:02d}", "gold_found": int(i < hits), "gold_total": 1} for i in range(n)]
+    return {"schema_version": version, "summary": {"questions_sha256": digest}, "cells": [{"strategy": strategy, "retriever": "bm25"}], "per_question": rows}
+
+
+def test_check_of_reports():
+    check = comparison.check_reports
+    assert check(report_of(30), report_of(29)).ok and check(report_of(30), report_of(30)).interval == (0, 0)
+    assert not check(report_of(36), report_of(12)).ok and not check(report_of(30), report_of(29), max_drop=0.01).ok
+    other = check(report_of(36), report_of(12, digest="y"))
+    assert other.ok and other.notes and not other.comparable
+    assert not check(report_of(36), report_of(12, digest="y"), max_drop=0.1).ok
+    for bad in (report_of(1, version="2.0"), {"schema_version": "1.0", "cells": []}, report_of(1, strategy="t")):
+        with pytest.raises(ValueError):
+            check(report_of(1), bad)
+    with pytest.raises(ValueError):
+        check(report_of(1), report_of(1), strategy="nope")
+
+
+def test_cache_in_evaluation(spark, tmp_path):
+    seen = []
+
+    def embed(texts):
+        return plain.hash_vectors(texts)
+
+    path = str(tmp_path / "vectors")
+    d = spark.createDataFrame([("a", PROSE)], "doc_id string, text string")
+    q = documents.questions_from(spark, [{"id": "q1", "query": "topic3 thing5", "gold_snippets": ["speaks of topic3"]}])
+    config = Config(strategies=[("fixed", {"chunk_size": 40, "overlap": 4})], mode="dense", cache=path, resamples=200, fuzzy=None, model="plain")
+    first = evaluate(d, q, config, embed=embed)
+    n = comparison.cache_stats(spark.read.parquet(path)).first()
+    again = evaluate(d, q, config, embed=embed)
+    assert n.vectors == n.keys == comparison.cache_stats(spark.read.parquet(path)).first().vectors and not seen
+    without = evaluate(d, q, Config(strategies=config.strategies, mode="dense", resamples=200, fuzzy=None), embed=None)
+    for r in (again, without):
+        assert [c["recall_at_k"] for c in r["cells"]] == [c["recall_at_k"] for c in first["cells"]]
+    with pytest.raises(Exception):
+        comparison.cached_embed(comparison.cache_keys(d.select("text"), "m"), __file__, embed)  # a file that isn't a cache
+    assert comparison.cache_clear(spark, path) and not comparison.cache_clear(spark, path)
+
+
+def test_config_and_plugins(tmp_path, monkeypatch):
+    with pytest.raises(ValueError):
+        Config(strategies=[("nope", {})])
+    (tmp_path / "c.yaml").write_text("embedding: {model: intfloat/e5-small, cache: /x}\noutput: {json: r.json}\nstrategies: [{name: small, params: {kind: fixed, chunk_size: 9, overlap: 1}}]\n")
+    from passagebench.plans.evaluate import load_config
+
+    c = load_config(str(tmp_path / "c.yaml"))
+    assert c.prefixes == ("query: ", "passage: ") and c.cache == "/x" and c.json_path == "r.json"
+
+    class Point:
+        name = "entry"
+
+        def load(self):
+            return lambda: None
+
+    class Broken(Point):
+        name = "broken"
+
+        def load(self):
+            raise ImportError("no such thing")
+
+    import importlib.metadata
+
+    monkeypatch.setattr(importlib.metadata, "entry_points", lambda group: [Point(), Broken()])
+    monkeypatch.setattr(chunking, "_discovered", False)
+    try:
+        with pytest.warns(RuntimeWarning):
+            assert "entry" in chunking.strategies()
+        assert "broken" not in chunking.strategies()
+    finally:
+        chunking.unregister_chunker("entry")
+
+
+def test_contracts(spark):
+    kind = "title string, paragraphs array<struct<context string, qas array<struct<question string, is_impossible boolean, answers array<struct<text string, answer_start int>>>>>>"
+    text = "The term of this contract is five years from signing."
+    qas = [("What  term?", False, [("of this contract is five years", 9)]), ("Wrong?", False, [("five years from signing now", 3)]), ("None?", True, [])]
+    long = "A" * 90
+    rows = spark.createDataFrame([(long + "1", [(text, qas), ("more", [])]), (long + "2", [(text, qas)])], kind)
+    d, q, dropped = comparison.convert_contracts(rows)
+    assert d.select("doc_id").distinct().count() == 2 and q.count() == 2 and q.first().query == "What term?"
+    assert {r.reason: r.n for r in dropped.collect()} == {"absent": 2, "offset wrong": 2, "nothing left": 2, "further paragraph": 1}
