@@ -61,18 +61,33 @@ class Shard:
 
     def __init__(self, texts: pa.Array, window: int):
         h, _, _, self.rows = K.words(*K.text_bytes(texts), K.NOT_ALNUM)
-        self.vocabulary, rank = np.unique(h, return_inverse=True)
+        self.vocabulary, rank, count = np.unique(h, return_inverse=True, return_counts=True)
         self.n, self.window = len(h), window
         self.ends = np.repeat(self.rows[1:], np.diff(self.rows))
         self.rank = np.append(rank + 1, [0] * (window + 1))  # 0: beyond the end
-        order, depth = rank + 1, 1
-        while depth < window:
-            after = np.zeros(self.n, np.int64)
-            inside = np.flatnonzero(np.arange(self.n) + depth < self.ends)
-            after[inside] = order[inside + depth]
-            order = np.unique(order * (self.n + 1) + after, return_inverse=True)[1] + 1
+        order = (np.cumsum(count) - count)[rank]  # how many suffixes are less, to the depth so far
+        alike, depth = count[rank] > 1, 1
+        while depth < window and alike.any():
+            own = np.flatnonzero(alike)  # only suffixes that aren't told apart yet are sorted again
+            after = np.zeros(len(own), np.int64)
+            inside = own + depth < self.ends[own]
+            after[inside] = order[own[inside] + depth] + 1
+            by = np.argsort(order[own] * (self.n + 1) + after)
+            own, after, before = own[by], after[by], order[own[by]]
+            old = np.concatenate([[True], before[1:] != before[:-1]])
+            new = old | np.concatenate([[True], after[1:] != after[:-1]])
+            index = np.arange(len(own))
+            place = np.maximum.accumulate(np.where(new, index, 0))
+            order[own] = before + place - np.maximum.accumulate(np.where(old, index, 0))
+            alike[own] = (np.diff(np.append(np.flatnonzero(new), len(own))) > 1)[np.cumsum(new) - 1]
             depth *= 2
-        self.array = np.argsort(order, kind="stable")
+        own = np.flatnonzero(alike)  # alike to the whole depth: in any order
+        own = own[np.argsort(order[own])]
+        if len(own):
+            new = np.concatenate([[True], order[own][1:] != order[own][:-1]])
+            order[own] += np.arange(len(own)) - np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))
+        self.array = np.empty(self.n, np.int64)
+        self.array[order] = np.arange(self.n)
 
     def bound(self, tests: np.ndarray, depth: np.ndarray, right: bool) -> np.ndarray:
         """For rows of ranks, the first place in the array where a suffix isn't less, or with right is greater, to the depth."""
