@@ -165,7 +165,7 @@ def read_turns(text: str, attachments: list[Attachment] = ()) -> Iterator[Turn]:
         run(end)
         if end == line + 1:
             parts.append(Part("text", ""))
-        if "<|" in "".join(text[a:b] for a, b in spans):
+        if any("<|" in text[a:b] for a, b in spans):
             raise ValueError("an unknown control string")
         yield Turn(unescape(text[at + len(TURN) : line].replace(BREAK, "\n")), parts, spans)
         at = end + len(END) + 1

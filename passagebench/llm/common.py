@@ -2,72 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import functools
 import gc
 import os
-import re
 import tempfile
-import uuid
 import zipfile
-from collections.abc import Iterable
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import BROADCAST_BYTES, free, release, stored, work_folder
+
+__all__ = ["BROADCAST_BYTES", "free", "release", "stored", "work_folder"]
+
 ROOT = Path(__file__).resolve().parents[2]
-#: A table is sent to every task only when it is known to be at most so large; beyond that it is joined by key.
-BROADCAST_BYTES = 32 << 20
 _shipped: set[str] = set()
-_local: dict[str, str] = {}
-_folders: list[tuple] = []
-
-
-def work_folder(spark: SparkSession) -> str:
-    """A new folder inside the shared one that the cluster names in spark.checkpoint.dir.
-
-    Only in local mode, as in tests, may that setting be absent: a temporary folder stands in for it. What is in the folder
-    is needed while results that are made from it are read; `release`, or the end of the driver, deletes it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _local:
-            _local[app] = tempfile.mkdtemp(prefix="passagebench-")
-            spark.sparkContext.setCheckpointDir(_local[app])
-        base = _local[app]
-    folder = f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
-    _folders.append((folder, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()))
-    return folder
-
-
-def release() -> None:
-    """Delete the intermediate tables made so far; results not yet read can't be read afterwards."""
-    while _folders:
-        folder, jvm, conf = _folders.pop()
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
-@atexit.register
-def _release_at_end() -> None:
-    try:
-        release()
-    except Exception:  # the JVM may have ended before
-        _folders.clear()
-
-
-def free(columns: Iterable[str], name: str) -> str:
-    """The name, or the name with as many underscores as it takes to be no column's, whatever the case of letters."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
 
 
 def text_bytes_of(docs: DataFrame) -> int:
@@ -80,13 +32,6 @@ def groups(spark: SparkSession, size: int, most: int = 24 << 20) -> int:
     return max(shards(spark), -(-size // most))
 
 
-def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: later steps survive lost executors without its lineage."""
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def prepare(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the Arrow batches and make this package importable in the workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

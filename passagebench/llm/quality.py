@@ -36,7 +36,7 @@ from . import common, kernels as K
 from .toxicity import _logistic
 
 #: The most labels that are used as labels (16 bytes each, sent to all tasks).
-LABELLED = 100_000
+LABELLED = 20_000
 WORDS, FORMS, META = 1 << 14, 1 << 10, 448
 ROUNDS, SHARE, FOLDS = 4, 0.05, 5
 #: Margins count in bins of 1 / FINE up to REACH either way.
