@@ -152,7 +152,7 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 @common.lean
-def _remove(batches: Iterator[pa.RecordBatch], text_at: int, counts: bool, width: int) -> Iterator[pa.RecordBatch]:
+def _remove(batches: Iterator[pa.RecordBatch], text_at: int, counts: list[str], width: int) -> Iterator[pa.RecordBatch]:
     """The last column has the blobs of codes."""
     for whole in batches:
         for batch in K.pieces(whole, text_at):
@@ -183,7 +183,7 @@ def _remove(batches: Iterator[pa.RecordBatch], text_at: int, counts: bool, width
             names = batch.schema.names[:-1]
             if counts:
                 columns += [pa.array(np.diff(rows), pa.int64()), pa.array(removed, pa.int64())]
-                names = [*names, "n_sentences", "n_removed"]  # Spark takes columns by place
+                names = [*names, *counts]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
@@ -202,7 +202,7 @@ def without_repeats(docs: DataFrame, counts: bool = False, least_words: int = LE
     joined = docs.join(later.hint("merge"), document == F.col(own), "left").select(*[f"`{c}`" for c in docs.columns], codes)
     names = [common.free(docs.columns, c) for c in ("n_sentences", "n_removed")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + (", {} long, {} long".format(*names) if counts else "")
-    return joined.mapInArrow(partial(_remove, text_at=docs.columns.index("text"), counts=counts, width=_width(least_words)), schema)
+    return joined.mapInArrow(partial(_remove, text_at=docs.columns.index("text"), counts=names if counts else [], width=_width(least_words)), schema)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
