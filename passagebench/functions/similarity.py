@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,8 +34,40 @@ def ratio(a: str, b: str) -> float:
     return 2 * lcs(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
-def best_alignment(short: str, long: str, above: float = 0.0) -> tuple[float, int, int]:
-    """Ratio, start and end of the best window, the first of equals; zeros if no ratio exceeds `above`.
+Q = 3
+
+
+def grams(text: str) -> np.ndarray:
+    """A number for each run of Q characters."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:] if len(c) >= Q else c[:0]
+
+
+def possible_ends(m: int, own: np.ndarray, others: np.ndarray, n: int, above: float) -> np.ndarray | None:
+    """Where a window with a ratio above that may end; None if that can't be told.
+
+    own: the sorted grams of the short string, of length m; others: those of the long one, of length n. A character that isn't
+    matched spoils at most Q grams of the short string, one that the window has more at most Q - 1; what is left must
+    stand in the window.
+    """
+    if not len(own):
+        return None
+    at = np.minimum(np.searchsorted(own, others), len(own) - 1)
+    known = np.concatenate([[0], np.cumsum(own[at] == others)])
+    end = np.arange(1, n + m)
+    low, high = np.maximum(end - m, 0), np.minimum(end, n)
+    size = high - low
+    matched = above * (m + size) / 2
+    need = (m - Q + 1) - Q * (m - matched) - (Q - 1) * (size - matched)
+    if (need <= 0).all():
+        return None
+    last = np.clip(high - Q + 1, 0, len(others))
+    return end[known[np.maximum(last, low.clip(max=len(others)))] - known[low.clip(max=len(others))] >= np.floor(need)]
+
+
+def best_alignment(short: str, long: str, above: float = 0.0, ends: np.ndarray | None = None) -> tuple[float, int, int]:
+    """Ratio, start and end of the best window, the first of equals; zeros if no ratio exceeds `above`. ends: the only places
+    where such a window can end.
 
     A window that is d places on shares at most d characters more, so after a ratio r the next that can beat the best so far
     is (best - r) times the window's length on; no window is missed by going there at once.
@@ -49,8 +82,13 @@ def best_alignment(short: str, long: str, above: float = 0.0) -> tuple[float, in
     if at >= 0:
         return 1.0, at, at + m
     best = (above, 0, 0)
-    end = 1
+    places = iter(() if ends is None else ends.tolist())
+    end = 1 if ends is None else 0
     while end < len(long) + m:
+        if ends is not None:
+            end = next((e for e in places if e >= end), len(long) + m)
+            if end >= len(long) + m:
+                break
         lo, hi = max(0, end - m), min(end, len(long))
         if 2 * (hi - lo) / (m + hi - lo) <= best[0]:  # cut off at an end, and too short for any ratio above the best
             end += 1

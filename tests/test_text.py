@@ -82,3 +82,25 @@ def test_alignment_against_all_windows():
             a, b = b, a
         windows = [(max(0, e - len(a)), min(e, len(b))) for e in range(1, len(b) + len(a))]
         assert abs(partial_ratio(a, b) - max(ratio(a, b[x:y]) for x, y in windows)) < 1e-12
+
+
+def test_possible_ends_lose_no_window():
+    import random
+
+    import numpy as np
+
+    from passagebench.functions.similarity import grams, possible_ends
+
+    rng = random.Random(9)
+    told = 0
+    for _ in range(400):
+        a = "".join(rng.choice("abcde ") for _ in range(rng.randint(3, 30)))
+        noisy = "".join(c if rng.random() > 0.1 else rng.choice("xyz") for c in a)
+        b = "".join(rng.choice("abcde ") for _ in range(rng.randint(0, 60))) + noisy + "".join(rng.choice("abcde ") for _ in range(rng.randint(0, 60)))
+        if len(a) > len(b):
+            continue
+        for above in (0.6, 0.8, 0.9):
+            ends = possible_ends(len(a), np.unique(grams(a)), grams(b), len(b), above)
+            told += ends is not None and len(ends) < len(b)
+            assert best_alignment(a, b, above, ends) == best_alignment(a, b, above)
+    assert told > 100
