@@ -20,6 +20,8 @@ from ..functions.shipping import ship
 
 #: Sentences that are embedded at once.
 EMBED_BLOCK = 8192
+#: Distances are rounded, so that the order of additions can't move a break between equal ones.
+DIGITS = 9
 ELEMENTS = "array<struct<type:string,text:string,start:int,end:int,level:int>>"
 
 
@@ -144,7 +146,7 @@ def semantic(docs: DataFrame, breakpoint_percentile: float = 95, min_tokens: int
         for k in range(0, len(flat), EMBED_BLOCK):
             v = np.asarray(embed(flat[k : k + EMBED_BLOCK]))
             v = v if last is None else np.vstack([last, v])
-            distances.append(1 - (v[:-1] * v[1:]).sum(1))
+            distances.append(np.round(1 - (v[:-1] * v[1:]).sum(1), DIGITS))
             last = v[-1:]
         distances = np.concatenate([np.zeros(0), *distances])
         at = np.cumsum([0, *map(len, found)])

@@ -6,12 +6,15 @@ whole item. Every double is rounded, and near-ties are broken on rounded scores,
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import stats
 from ..functions import text as T
+from ..functions.shipping import ship
 from ..operators import chunking, comparison, questions, retrieval, scoring
 from ..storage import spread, stored
 
@@ -233,18 +236,14 @@ def page_elements(spark, sf_dir):
     return rows.select("doc_id", "e.type", "e.start", "e.end", F.md5("e.text").alias("text_md5"))
 
 
-@query(rf"""WITH {PAGES_SQL}, size AS (SELECT doc_id, max(start + length(body)) AS n FROM page_elements GROUP BY doc_id),
-heads AS (SELECT doc_id, start, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS k FROM page_elements WHERE h),
-starts AS (SELECT doc_id, start FROM heads UNION SELECT doc_id, 0 FROM size), spans AS (SELECT doc_id, start, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start), n) AS stop FROM starts JOIN size USING (doc_id))
-SELECT doc_id, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS "end" FROM spans WHERE stop > start""")
+@query(rf"""WITH {PAGES_SQL}, whole AS (SELECT doc_id, max(start + length(body)) AS n, string_agg(body, chr(10) ORDER BY start) AS t FROM page_elements GROUP BY doc_id),
+starts AS (SELECT doc_id, start FROM page_elements WHERE h UNION SELECT doc_id, 0 FROM whole), spans AS (SELECT doc_id, t, start, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start), n) AS stop FROM starts JOIN whole USING (doc_id)),
+held AS (SELECT *, NOT contains(trim(t[start + 1:stop], ' ' || chr(10)), chr(10)) AND row_number() OVER (PARTITION BY doc_id ORDER BY start DESC) > 1 AS held FROM spans WHERE stop > start),
+groups AS (SELECT *, coalesce(sum(CASE WHEN held THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM held)
+SELECT doc_id, CAST(min(start) AS INTEGER) AS start, CAST(max(stop) AS INTEGER) AS "end" FROM groups GROUP BY doc_id, g""")
 def structure_sections_pages(spark, sf_dir):
-    """Section boundaries at headings, before heading-only sections are merged: a window over each page's headings."""
-    from pyspark.sql.window import Window as W
-
-    rows = page_documents(spark, sf_dir)
-    starts = rows.select("doc_id", F.length("text").alias("n"), F.explode(F.array_distinct(F.concat(F.array(F.lit(0)), F.transform(F.filter("elements", lambda e: e["type"] == "heading"), lambda e: e["start"])))).alias("start"))
-    stop = F.coalesce(F.lead("start").over(W.partitionBy("doc_id").orderBy("start")), F.col("n"))
-    return starts.select("doc_id", "start", stop.alias("end")).where("end > start")
+    """Chunks by headings, none too large: sections, those of a heading alone joined with the next."""
+    return chunking.structure(page_documents(spark, sf_dir), 1_000_000).select("doc_id", "start", "end")
 
 
 @query()
@@ -290,14 +289,32 @@ def table_integrity(spark, sf_dir):
     return scoring.table_integrity(chunking.fixed(rows, SIZE, OVERLAP), elements).select("strategy", r6("table_integrity").alias("table_integrity"))
 
 
-@query(rf"""WITH {PAGES_SQL}, h AS (SELECT doc_id, start, body FROM page_elements WHERE h)
-SELECT e.doc_id, e.start, md5(coalesce((SELECT max_by(h.body, h.start) FROM h WHERE h.doc_id = e.doc_id AND h.start <= e.start), '')) AS trail_md5 FROM page_elements e WHERE NOT e.h""")
+def outlined_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as markdown outlines: every line whose length is a multiple of three is a heading of a level by its length."""
+    level = lambda line: F.length(line) % 5 + 1
+    lines = F.transform(F.split("text", "\n"), lambda x: F.when((F.length(x) % 3 == 0) & x.rlike(r"^\S"), F.concat(F.substring(F.lit("#####"), F.lit(1), level(x)), F.lit(" "), x)).otherwise(x))
+    rows = docs(spark, sf_dir).select("doc_id", F.array_join(lines, "\n").alias("text"))
+    return rows.withColumn("elements", chunking.markdown_elements(F.col("text")))
+
+
+OUTLINE_SQL = r"""d0 AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN length(x) % 3 = 0 AND regexp_matches(x, '^\S') THEN substr('#####', 1, length(x) % 5 + 1) || ' ' || x ELSE x END), chr(10)) AS text FROM documents),
+rows AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d0)),
+lines AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, length(regexp_extract(line, '^(#{1,6})[ \t]+\S', 1)) AS level FROM rows),
+heads AS MATERIALIZED (SELECT doc_id, i, start, level, regexp_extract(line, '^#{1,6}[ \t]+(.*?)[ \t]*$', 1) AS title, least_below FROM (SELECT *, level AS least_below FROM lines WHERE level > 0)),
+open AS (SELECT l.doc_id, l.start, h.start AS h_start, h.title FROM lines l JOIN heads h ON h.doc_id = l.doc_id AND h.i < l.i WHERE l.level = 0 AND NOT EXISTS (SELECT 1 FROM heads k WHERE k.doc_id = h.doc_id AND k.i > h.i AND k.i < l.i AND k.level <= h.level))"""
+
+
+@query(f"""WITH {OUTLINE_SQL} SELECT l.doc_id, CAST(l.start AS INTEGER) AS start, CAST(count(o.title) AS INTEGER) AS depth, md5(coalesce(string_agg(o.title, ' > ' ORDER BY o.h_start), '')) AS trail_md5
+FROM lines l LEFT JOIN open o ON o.doc_id = l.doc_id AND o.start = l.start WHERE l.level = 0 GROUP BY l.doc_id, l.start""")
 def heading_trail(spark, sf_dir):
-    """The heading trail at every list item: one level here, so the last heading before it."""
-    rows = page_documents(spark, sf_dir)
-    items = rows.select("doc_id", F.explode(F.filter("elements", lambda e: e["type"] == "list")).alias("e")).select("doc_id", "e.start", "e.end")
-    out = chunking.annotate(items, rows)
-    return out.select("doc_id", "start", F.md5(F.array_join("section_path", " > ")).alias("trail_md5"))
+    """The headings that are open at every other line, of up to five levels."""
+    rows = outlined_documents(spark, sf_dir)
+    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    from pyspark.sql.window import Window as W
+
+    start = F.coalesce(F.sum(F.length("line") + 1).over(W.partitionBy("doc_id").orderBy("i").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    items = lines.withColumn("start", start).where(~F.col("line").rlike(r"^#{1,6}[ \t]+\S")).select("doc_id", "start", (F.col("start") + F.length("line")).alias("end"))
+    return chunking.annotate(items, rows).select("doc_id", "start", F.size("section_path").alias("depth"), F.md5(F.array_join("section_path", " > ")).alias("trail_md5"))
 
 
 HEALTH_SQL = f"""sizes AS (SELECT strategy, count(*) AS num_chunks, min(token_count) AS tokens_min, median(token_count) AS tokens_median, round(avg(token_count), 6) AS tokens_mean, max(token_count) AS tokens_max,
@@ -402,10 +419,11 @@ split_rows AS (SELECT DISTINCT a.question_id FROM r2 a JOIN r2 b ON a.question_i
   WHERE a.question_id NOT IN (SELECT question_id FROM hits) AND contains(trim(regexp_replace(lower(a.text || ' ' || b.text), '\s+', ' ', 'g')), q.norm))"""
 
 
-@query(BASE_SQL + HITS_SQL + ", " + SPLIT_SQL + " SELECT question_id FROM split_rows")
+@query(f"WITH {chunks_sql(30, 0)}, {QUESTIONS_SQL}, {bm25_sql(20)}, " + HITS_SQL + ", " + SPLIT_SQL + " SELECT question_id FROM split_rows")
 def split_across(spark, sf_dir):
-    c, gold = kept_chunks(spark, sf_dir), scoring.gold_rows(question_rows(spark, sf_dir))
-    ranked = stored(scoring.held(ranked_rows(spark, sf_dir, c), c))
+    """Chunks of 30 tokens without overlap, 20 of them retrieved: many snippets lie in two neighbours."""
+    c = stored(retrieval.with_length(chunking.fixed(docs(spark, sf_dir), 30, 0)))
+    gold, ranked = scoring.gold_rows(question_rows(spark, sf_dir)), stored(scoring.held(retrieval.retrieve(c, question_rows(spark, sf_dir), ["bm25"], 20), c))
     return scoring.splits(ranked, c, gold, scoring.hits(ranked, c, gold, None), None).select("question_id")
 
 
@@ -538,20 +556,23 @@ SELECT n, CASE WHEN abs(d) < 1e-9 OR h <= 0 THEN NULL WHEN greatest(n + 1, ceil(
 def questions_to_separate(spark, sf_dir):
     rows = paired_rows(spark, sf_dir)
     s = scoring.hash_interval(rows, ["strategy"], "question_id", "d", RESAMPLES).join(rows.groupBy("strategy").agg(F.avg("d").alias("d"), F.count("*").alias("n")), "strategy")
-    half = (F.col("ci_high") - F.col("ci_low")) / 2
-    needed = F.greatest(F.col("n") + 1, F.ceil(F.col("n") * (half / F.col("d")) * (half / F.col("d"))))
-    return s.select("n", F.when((F.abs("d") >= 1e-9) & (half > 0), F.when(needed <= 100_000, needed)).cast("long").alias("needed"))
+    ship(spark)
+
+    def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"n": b.n, "needed": pd.array([stats.questions_to_separate(int(n), d, (low, high)) for n, d, low, high in zip(b.n, b.d, b.ci_low, b.ci_high)], dtype="Int64")})
+
+    return s.select("n", "d", "ci_low", "ci_high").mapInPandas(needed, "n long, needed long")
 
 
 @query(_two_runs_sql() + " SELECT 'fixed' AS strategy, round((SELECT avg(v) FROM other), 6) AS baseline_recall, round((SELECT avg(gold_found * 1e0) FROM results), 6) AS current_recall, ci_high < 0 AS failed FROM ci")
 def regression_check(spark, sf_dir):
-    rows = paired_rows(spark, sf_dir)
+    """The gate itself, with its own bootstrap; the SQL resamples by hashes, and must come to the same verdict."""
     q = question_rows(spark, sf_dir)
     small = stored(retrieval.with_length(chunking.fixed(docs(spark, sf_dir), 96, 16, "fixed")))
-    before = scoring.metrics(scoring.per_question(retrieval.retrieve(small, q, ["bm25"], TOP), small, q, None), TOP).select("strategy", F.col("recall_at_k").alias("baseline_recall"))
-    now = scoring.metrics(result_rows(spark, sf_dir), TOP).select("strategy", F.col("recall_at_k").alias("current_recall"))
-    ci = scoring.hash_interval(rows, ["strategy"], "question_id", "d", RESAMPLES)
-    return before.join(now, "strategy").join(ci, "strategy").select("strategy", r6("baseline_recall").alias("baseline_recall"), r6("current_recall").alias("current_recall"), (F.col("ci_high") < 0).alias("failed"))
+    before = stored(scoring.per_question(retrieval.retrieve(small, q, ["bm25"], TOP), small, q, None))
+    out = comparison.check(before, stored(result_rows(spark, sf_dir)), "fixed", "bm25")
+    return spark.createDataFrame([(out.strategy, round(out.baseline_recall, 6), round(out.current_recall, 6), not out.ok)], "strategy string, baseline_recall double, current_recall double, failed boolean")
 
 
 @query()
@@ -650,29 +671,13 @@ def cache_misses(spark, sf_dir):
 @query(rf"""WITH {SENTENCES_SQL}, {vectors_sql("(SELECT doc_id || ':' || idx AS id, sentence FROM sentences)", 'id', 'sentence', 'v')},
 k AS (SELECT s.doc_id, s.idx, s.doc_id || ':' || s.idx AS a, s.doc_id || ':' || (s.idx + 1) AS b FROM sentences s JOIN sentences t ON t.doc_id = s.doc_id AND t.idx = s.idx + 1),
 dots AS (SELECT k.a AS id, sum(x.weight * y.weight) AS dot FROM k JOIN v x ON x.id = k.a JOIN v y ON y.id = k.b AND y.bucket = x.bucket GROUP BY k.a),
-dist AS (SELECT k.doc_id, k.idx, round(1 - coalesce(dot, 0), 6) AS d FROM k LEFT JOIN dots ON dots.id = k.a), th AS (SELECT doc_id, quantile_cont(d, 0.95e0) AS t FROM dist GROUP BY doc_id)
-SELECT doc_id, count(*) + 1 AS sentences, round(any_value(t), 6) AS threshold, CAST(sum(CASE WHEN d > t + 1e-9 THEN 1 ELSE 0 END) AS BIGINT) AS breaks FROM dist JOIN th USING (doc_id) GROUP BY doc_id""")
+dist AS (SELECT k.doc_id, k.idx, round(1 - coalesce(dot, 0), 9) AS d FROM k LEFT JOIN dots ON dots.id = k.a), th AS (SELECT doc_id, quantile_cont(d, 0.95e0) AS t FROM dist GROUP BY doc_id),
+breaks AS (SELECT doc_id, count(*) FILTER (WHERE d > t + 1e-11) AS n FROM dist JOIN th USING (doc_id) GROUP BY doc_id)
+SELECT s.doc_id, coalesce(any_value(b.n), 0) + 1 AS chunks FROM sentences s LEFT JOIN breaks b USING (doc_id) GROUP BY s.doc_id""")
 def semantic_breakpoints(spark, sf_dir):
-    """Distances of neighbouring sentences, each document's 95th percentile, and how many lie above it."""
-    from pyspark.sql.window import Window as W
-
-    spans = docs(spark, sf_dir).select("doc_id", "text", F.posexplode(T.sentence_spans(F.col("text"))).alias("idx", "s"))
-    rows = spans.select("doc_id", "idx", F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("sentence"))
-
-    def counts(c: Column) -> Column:
-        b = F.transform(F.array_sort(T.hash_buckets(c)), lambda x: x)
-        return F.transform(F.array_distinct(b), lambda x: F.struct(x.alias("b"), F.size(F.filter(b, lambda y: y == x)).cast("double").alias("n")))
-
-    rows = rows.select("doc_id", "idx", counts(F.col("sentence")).alias("v"))
-    rows = rows.withColumn("w", F.lead("v").over(W.partitionBy("doc_id").orderBy("idx"))).where("w IS NOT NULL")
-
-    def norm(c: str) -> Column:
-        return F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x["n"] * x["n"]))
-
-    dot = F.aggregate("v", F.lit(0.0), lambda a, x: a + x["n"] * F.aggregate("w", F.lit(0.0), lambda s, y: s + F.when(y["b"] == x["b"], y["n"]).otherwise(0.0)))
-    d = rows.select("doc_id", r6(1 - F.coalesce(F.try_divide(dot, norm("v") * norm("w")), F.lit(0.0))).alias("d"))
-    limits = d.groupBy("doc_id").agg(F.percentile("d", 0.95).alias("t"), F.collect_list("d").alias("ds"))
-    return limits.select("doc_id", (F.size("ds") + 1).cast("long").alias("sentences"), r6("t").alias("threshold"), F.size(F.filter("ds", lambda x: x > F.col("t") + 1e-9)).cast("long").alias("breaks"))
+    """How many chunks the semantic chunker makes of each document where neither floor nor ceiling changes its breaks."""
+    made = chunking.semantic_no_floor(docs(spark, sf_dir), max_tokens=1_000_000_000)
+    return made.groupBy("doc_id").agg(F.count("*").alias("chunks"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
