@@ -6,7 +6,7 @@ import pytest
 from passagebench.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-CHOSEN = ("token_counts", "sentence_spans", "fixed_chunks", "language_detect", "table_runs", "boundary_health", "bm25_topk", "dense_topk_embeddings", "recall_mrr_precision", "validate_duplicates", "draft_idf")
+CHOSEN = ("token_counts", "sentence_spans", "fixed_chunks", "language_detect", "table_runs", "boundary_health", "bm25_topk", "dense_topk_embeddings", "recall_mrr_precision", "validate_duplicates", "draft_idf", "language_audit", "corpus_fingerprint", "structure_sections_pages", "heading_trail", "semantic_breakpoints", "split_across", "dense_topk_hash", "gold_markers", "validate_ambiguous", "bm25_idf")
 
 
 def shown(rows):
