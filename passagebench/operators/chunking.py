@@ -38,23 +38,28 @@ def fixed(docs: DataFrame, chunk_size: int = 512, overlap: int = 64, strategy: s
     if not 0 <= overlap < chunk_size:
         raise ValueError("overlap must be at least 0 and below chunk_size")
     step = chunk_size - overlap
-    pieces = docs.select("doc_id", F.col("text").alias("whole"), T.token_pieces(F.col("text")).alias("p"))
-    n = F.size("p")
-    windows = F.when(n <= chunk_size, F.lit(1)).otherwise(1 + F.ceil((n - chunk_size) / step)).cast("int")
-    pieces = pieces.where(n > 0).select("doc_id", "p", windows.alias("windows"), F.regexp_instr("whole", F.lit(T.WORD)).alias("first"))
-    lead = F.col("first") - 1
-
-    def joined(i: Column, count: int) -> Column:
-        return F.array_join(F.slice("p", i * step + 1, F.lit(count)), "")
-
-    starts = F.aggregate(
-        F.sequence(F.lit(0), F.col("windows") - 1),
-        F.struct(lead.alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda acc, i: F.struct((acc["at"] + F.length(joined(i, step))).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")),
-        lambda acc: acc["all"],
-    )
-    rows = pieces.select("doc_id", "p", F.posexplode(starts).alias("chunk_index", "start"))
-    rows = rows.select("doc_id", "chunk_index", joined(F.col("chunk_index"), chunk_size).alias("text"), "start")
+
+    # everything is one expression over names bound once: a lambda computes again whatever it is given as an expression
+    def windows(p: Column) -> Column:
+        n = F.size(p)
+        last = F.when(n <= chunk_size, F.lit(0)).otherwise(F.ceil((n - chunk_size) / step)).cast("int")
+
+        def window(i: Column) -> Column:
+            kept = F.array_join(F.slice(p, (i + 1) * step + 1, F.lit(overlap)), "") if overlap else F.lit("")
+            return T.let(F.array_join(F.slice(p, i * step + 1, F.lit(step)), ""), lambda new: F.struct(F.length(new).alias("size"), F.concat(new, kept).alias("text")))
+
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), window))
+
+    def placed(w: Column) -> Column:
+        """A document has few windows: their sizes are a short array, summed up to each."""
+        def before(sizes: Column) -> Column:
+            return F.transform(w, lambda x, i: F.struct(F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, b: a + b).alias("before"), x["text"].alias("text")))
+
+        return T.let(F.transform(w, lambda x: x["size"]), before)
+
+    made = T.let(T.token_pieces(F.col("text")), lambda p: T.let(windows(p), placed))
+    rows = docs.select("doc_id", (F.regexp_instr("text", F.lit(T.WORD)) - 1).alias("lead"), F.posexplode(made).alias("chunk_index", "w"))
+    rows = rows.select("doc_id", "chunk_index", F.col("w.text").alias("text"), (F.col("lead") + F.col("w.before")).alias("start"))
     return _finish(rows.withColumn("end", F.col("start") + F.length("text")), strategy)
 
 
@@ -238,7 +243,7 @@ def markdown_elements(text: Column) -> Column:
 
     # the end of the text closes a table that it ends with; its offset is one beyond, as if another line began
     folded = T.blocked_fold(lines, state, step, "out")
-    return F.element_at(F.transform(F.array(folded), lambda f: F.concat(F.flatten(f["blocks"]), closed(f["state"].withField("out", F.array().cast(ELEMENTS))))), 1)
+    return T.let(folded, lambda f: F.concat(F.flatten(f["blocks"]), closed(f["state"].withField("out", F.array().cast(ELEMENTS)))))
 
 
 def heading_trails(elements: Column) -> Column:
