@@ -168,7 +168,7 @@ def evaluate(docs: DataFrame, questions: DataFrame, config: Config | None = None
     warnings, summary = warnings_for(docs, questions, config)
     say("chunk")
     docs = stored(docs) if docs.isStreaming is False and "elements" in docs.columns else docs
-    chunks = stored(retrieval.with_length(chunking.chunk_all(docs, config.strategies, embed)))
+    chunks = stored(chunking.chunk_all(docs, config.strategies, embed))
     prefixes = config.prefixes if embed else ("", "")  # words of a prefix would only blur hashed words
     if config.cache and embed and {"dense", "hybrid"} & set(config.modes):
         chunks = stored(comparison.with_vectors(chunks, config.cache, embed, config.model, prefix=prefixes[1]))
