@@ -4,18 +4,22 @@
 2. classes   Documents with equal sets are one class (partial aggregation; a hot group of copies is one row from then on).
 3. order     A total order of shingles, from rare to common. How common a shingle is comes from a table of LEVELS bytes, each the
              logarithm of the greatest count of all shingles that share it; ties go by hash. It only makes the join faster.
-4. postings  One narrow scan: two linked sets share one of the first n - ceil(0.7 n) + 1 shingles in that order. Each class sends
+4. crowds    Near copies of one text, thousands of which all share the same rare shingles, would make all their pairs in every token
+             range. A shingle that is among the SKETCH least of CROWD classes names a leader, the class with the most copies; classes
+             like a leader are its crowd. Pairs inside a crowd are counted by matrix products over a grid of its sets, and make no
+             candidates. Which classes are in a crowd decides how a pair is counted, and not whether it is.
+5. postings  One narrow scan: two linked sets share one of the first n - ceil(0.7 n) + 1 shingles in that order. Each class sends
              these with their places, as sorted binary blobs, one per token range; there are as many ranges as the bytes make.
-5. trees     A token range's postings form a signature tree, sorted by token and size. Nodes have the OR of their tokens' bits
+6. trees     A token range's postings form a signature tree, sorted by token and size. Nodes have the OR of their tokens' bits
              (coarser from level to level), a size range, and the most shingles that any of their postings has left from its
              place on. The tree is descended against itself from the root: node pairs whose maximum possible overlap is too small
              for any of their sizes are dropped with all below. The overlap of a pair is counted from the first shingle that
              both share, so it is at most what either has left there. What arrives at the leaves are the candidate pairs.
-6. bitmaps   Candidates are spread over a grid of class blocks, sized by the bytes of the bitmaps of whole sets; a second descent
+7. bitmaps   Candidates are spread over a grid of class blocks, sized by the bytes of the bitmaps of whole sets; a second descent
              bounds the overlap of nodes and pairs by these.
-7. verify    The sets of the classes that are left are made again from their texts, sent to a grid sized by their bytes and
+8. verify    The sets of the classes that are left are made again from their texts, sent to a grid sized by their bytes and
              intersected exactly.
-8. degrees and components  Cells emit link counts per class and a spanning forest, never all pairs of documents.
+9. degrees and components  Cells emit link counts per class and a spanning forest, never all pairs of documents.
 
 Token hashes and class names have 64 bits, 48 when two sets are intersected. Bitmaps and bounds only drop pairs that can't be
 linked, and no list, candidate set or number of rounds is cut off.
@@ -50,6 +54,12 @@ FOREST_EDGES = 2_000_000
 #: In these rounds, nodes with more edges than this take their least neighbour from a table sent to all tasks; there can be
 #: at most 1 / HUB as many of them as edges.
 HUB = 1_000_000
+#: A shingle that is among the SKETCH least of CROWD classes names a leader. Sets whose SKETCH least meet a leader's, and that are
+#: alike to AROUND percent, are in its crowd. Leaders' sets go to all tasks, those of the largest crowds up to so many bytes.
+CROWD, SKETCH, AROUND = 128, 8, 40
+LEADER_BYTES, MOST_LEADERS = 8 << 20, 60_000
+#: Sets on one side of a cell of a crowd's grid.
+BLOCK_SETS = 2048
 
 
 def set_keys(sets: list[np.ndarray]) -> list[int]:
@@ -85,7 +95,7 @@ def _sets(text: pa.Array) -> list[np.ndarray]:
 
 @common.lean
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["kind", "doc_id", "n", "key", "bits"]
+    names = ["kind", "doc_id", "n", "key", "bits", "sketch"]
     tokens, counts, held = np.zeros(0, K.U), np.zeros(0, np.int64), []
     id_type = pa.int64()
 
@@ -105,7 +115,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = _sets(batch.column(1))
             n = pa.array([len(s) for s in sets], pa.int64())
             keys = pa.array(set_keys(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), batch.column(0), n, keys, pa.array([bitmap(s) for s in sets], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), batch.column(0), n, keys, pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([s[:SKETCH].tobytes() for s in sets], pa.binary())], names=names)
             if sets:
                 t, c = np.unique(np.concatenate(sets), return_counts=True)
                 held.append((t, c))
@@ -114,7 +124,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     merge(2)
     for k in range(0, len(tokens), 100_000):
         t, c = tokens[k : k + 100_000], counts[k : k + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array([1] * len(t), pa.int32()), pa.nulls(len(t), id_type), pa.array(c), pa.array(t.view(np.int64)), pa.nulls(len(t), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([1] * len(t), pa.int32()), pa.nulls(len(t), id_type), pa.array(c), pa.array(t.view(np.int64)), pa.nulls(len(t), pa.binary()), pa.nulls(len(t), pa.binary())], names=names)
 
 
 def prefixes(sets: list[np.ndarray], levels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,9 +138,39 @@ def prefixes(sets: list[np.ndarray], levels: np.ndarray, percent: int) -> tuple[
     return h[order[keep]], own[keep], place[keep]
 
 
+class Leaders:
+    """The sets that crowds are around, by the upper 48 bits of their tokens; those of the largest crowds first."""
+
+    def __init__(self, blobs: list[bytes]):
+        self.sets = [unpacked(x) >> K.U(16) for x in blobs]
+        token = np.concatenate([np.zeros(0, K.U), *(s[:SKETCH] for s in self.sets)])
+        of = np.repeat(np.arange(len(self.sets)), [min(len(s), SKETCH) for s in self.sets])
+        order = np.argsort(token, kind="stable")
+        self.token, self.of = token[order], of[order]
+
+    def crowds(self, sets: list[np.ndarray]) -> np.ndarray:
+        """For each set the number, from 1 on, of the first leader that it is like; 0 if there is none."""
+        out = np.zeros(len(sets), np.uint16)
+        if not self.sets or not sets:
+            return out
+        own = np.repeat(np.arange(len(sets)), [min(len(s), SKETCH) for s in sets])
+        least = np.concatenate([s[:SKETCH] for s in sets]) >> K.U(16)
+        for i in np.unique(own[K.isin_sorted(least, self.token)]).tolist():
+            s = sets[i] >> K.U(16)
+            low, high = np.searchsorted(self.token, s[:SKETCH]), np.searchsorted(self.token, s[:SKETCH], "right")
+            for k in np.unique(np.concatenate([self.of[a:b] for a, b in zip(low, high)])).tolist():
+                small, large = sorted((s, self.sets[k]), key=len)
+                if 100 * len(small) >= AROUND * len(large) and np.count_nonzero(K.isin_sorted(small, large)) >= _least(len(small), len(large), AROUND):
+                    out[i] = k + 1
+                    break
+        return out
+
+
 @common.lean
-def _postings(batches: Iterator[pa.RecordBatch], parts: int, levels: bytes, percent: int) -> Iterator[pa.RecordBatch]:
-    """Tokens (mixed hashes, even over all ranges), class keys, sizes and places, by token range."""
+def _postings(batches: Iterator[pa.RecordBatch], parts: int, levels: bytes, percent: int, leaders: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Tokens (hashes mixed again, as the first of a set are its least; so they are even over all ranges), class keys, sizes,
+    places and crowds, by token range."""
+    led = Leaders(leaders)
     table = np.frombuffer(levels, np.uint8)
     bounds = (np.arange(parts + 1).astype(object) * 2**64 // parts)[:-1].astype(K.U)
     seen: set[int] = set()
@@ -138,12 +178,12 @@ def _postings(batches: Iterator[pa.RecordBatch], parts: int, levels: bytes, perc
     size = 0
 
     def blobs() -> pa.RecordBatch:
-        t, k, n, place = (np.concatenate(x) for x in zip(*held))
+        t, k, n, place, crowd = (np.concatenate(x) for x in zip(*held))
         o = np.argsort(t)
-        t, k, n, place = t[o], k[o], n[o], place[o]
+        t, k, n, place, crowd = t[o], k[o], n[o], place[o], crowd[o]
         edges = np.searchsorted(t, bounds).tolist() + [len(t)]
         rows = [(i, a, b) for i, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
-        return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in rows], pa.int32())] + [pa.array([x[a:b].tobytes() for _, a, b in rows], pa.binary()) for x in (t, k, n, place)], names=["part", "t", "k", "n", "place"])
+        return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in rows], pa.int32())] + [pa.array([x[a:b].tobytes() for _, a, b in rows], pa.binary()) for x in (t, k, n, place, crowd)], names=["part", "t", "k", "n", "place", "crowd"])
 
     for whole in batches:
         for batch in K.pieces(whole, 0):
@@ -153,7 +193,7 @@ def _postings(batches: Iterator[pa.RecordBatch], parts: int, levels: bytes, perc
                     seen.add(key)
                     fresh.append(s), keys.append(key)
             t, own, place = prefixes(fresh, table, percent)
-            held.append((t, np.array(keys, np.int64)[own], np.array([len(s) for s in fresh], np.uint32)[own], place.astype(np.uint32)))
+            held.append((K.mix(t), np.array(keys, np.int64)[own], np.array([len(s) for s in fresh], np.uint32)[own], place.astype(np.uint32), led.crowds(fresh)[own]))
             size += len(t)
             if size > FLUSH:
                 yield blobs()
@@ -207,21 +247,23 @@ def _least(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 class Tree:
-    """A signature tree over postings sorted by token (as a rank), then size.
+    """A signature tree over postings sorted by token (as a rank), then crowd, then size.
 
     Nodes of one level span FANOUT**level neighbours. A node's bitmap has a bit per run of 2**shift ranks, modulo 64; the
     runs are about as long as a node, so that nodes of one parent, or of neighbouring ones, that share no token seldom
     share a bit.
     """
 
-    def __init__(self, rank: np.ndarray, size: np.ndarray, left: np.ndarray):
-        self.rank, self.levels = rank, []
+    def __init__(self, rank: np.ndarray, size: np.ndarray, left: np.ndarray, crowd: np.ndarray):
+        self.rank, self.levels, self.crowds = rank, [], []
         span = 1
         while True:
             at = np.arange(0, len(rank), span)
             per_node = (int(rank[-1]) + 1) * span // len(rank) if len(rank) else 0
             bits = K.U(1) << ((rank >> max(0, per_node.bit_length() - 1)) & 63).astype(K.U)
             self.levels.append((np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(size, at), np.maximum.reduceat(size, at), np.maximum.reduceat(left, at)))
+            least, most = np.minimum.reduceat(crowd, at), np.maximum.reduceat(crowd, at)
+            self.crowds.append(np.where(least == most, least, 0))
             if len(at) <= 1:
                 break
             span *= FANOUT
@@ -233,7 +275,8 @@ class Tree:
         return most >= np.maximum(_least(low[a], low[b], percent), 1)
 
     def pairs(self, percent: int, prune: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (i < j) of postings with one token, by descent of the tree against itself; without prune, of all that share one."""
+        """Pairs (i < j) of postings with one token that aren't in one crowd, by descent of the tree against itself; without
+        prune, of all that share one."""
         top = len(self.levels) - 1
         todo = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while todo:
@@ -242,6 +285,9 @@ class Tree:
                 half = len(a) // 2
                 todo += [(level, a[half:], b[half:]), (level, a[:half], b[:half])]
                 continue
+            one = self.crowds[level]  # the crowd that all below are in
+            keep = (one[a] != one[b]) | (one[a] == 0)
+            a, b = a[keep], b[keep]
             if prune:
                 keep = self.fits(level, a, b, percent)
                 a, b = a[keep], b[keep]
@@ -258,22 +304,23 @@ class Tree:
                 todo.append((level - 1, i, j))
 
 
-def candidates(t: np.ndarray, k: np.ndarray, n: np.ndarray, place: np.ndarray, percent: int, prune: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def candidates(t: np.ndarray, k: np.ndarray, n: np.ndarray, place: np.ndarray, percent: int, prune: bool = True, crowd: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of one token range's postings: class keys and sizes, and the distinct candidate pairs as indices into these."""
+    crowd = np.zeros(len(t), np.uint16) if crowd is None else crowd
     order = np.argsort(t, kind="stable")
     same = np.zeros(len(t) + 1, bool)
     same[1:-1] = t[order][1:] == t[order][:-1]
     order = order[same[:-1] | same[1:]]  # a token of one posting has no pair
-    order = order[np.lexsort((k[order], n[order], t[order]))]
-    t, k, n, place = t[order], k[order], n[order].astype(np.int64), place[order].astype(np.int64)
+    order = order[np.lexsort((k[order], n[order], crowd[order], t[order]))]
+    t, k, n, place, crowd = t[order], k[order], n[order].astype(np.int64), place[order].astype(np.int64), crowd[order]
     fresh = np.ones(len(t), bool)  # several tasks send the same class
     fresh[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1]) | (n[1:] != n[:-1])
-    t, k, n, place = t[fresh], k[fresh], n[fresh], place[fresh]
+    t, k, n, place, crowd = t[fresh], k[fresh], n[fresh], place[fresh], crowd[fresh]
     keys, some, index = np.unique(k, return_index=True, return_inverse=True)
     found, pending = [np.zeros(0, np.int64)], 0
     if len(t):
         rank = np.cumsum(np.concatenate([[0], t[1:] != t[:-1]]))
-        for i, j in Tree(rank, n, n - place).pairs(percent, prune):
+        for i, j in Tree(rank, n, n - place, crowd).pairs(percent, prune):
             x, y = index[i].astype(np.int64), index[j].astype(np.int64)
             found.append(np.minimum(x, y) * len(keys) + np.maximum(x, y))
             pending += len(i)
@@ -285,8 +332,8 @@ def candidates(t: np.ndarray, k: np.ndarray, n: np.ndarray, place: np.ndarray, p
 
 @common.lean
 def _candidates(batches: Iterator[pa.RecordBatch], blocks: int, splits: dict[int, int], percent: int) -> Iterator[pa.RecordBatch]:
-    table = pa.Table.from_batches(batches, pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("t", "k", "n", "place"))]))
-    keys, sizes, a, b = candidates(K.joined(table["t"], K.U), K.joined(table["k"], np.int64), K.joined(table["n"], np.uint32), K.joined(table["place"], np.uint32), percent)
+    table = pa.Table.from_batches(batches, pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("t", "k", "n", "place", "crowd"))]))
+    keys, sizes, a, b = candidates(K.joined(table["t"], K.U), K.joined(table["k"], np.int64), K.joined(table["n"], np.uint32), K.joined(table["place"], np.uint32), percent, crowd=K.joined(table["crowd"], np.uint16))
     del table
     for k in range(0, len(a), PAIRS):
         yield _pair_rows(a[k : k + PAIRS], b[k : k + PAIRS], keys, sizes, blocks, splits)
@@ -457,6 +504,138 @@ def _verify(key: tuple, pairs: pa.Table, classes: pa.Table, percent: int) -> pa.
     return pa.table([pa.array(x, pa.int64()) for x in out], names=["key", "links", "root"])
 
 
+@common.lean
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first half of each class's sketch, a token a row."""
+    for batch in batches:
+        token = [np.frombuffer(x, np.int64)[: SKETCH // 2] for x in batch.column(0).to_pylist()]
+        own = pa.array(np.repeat(np.arange(len(token)), [len(x) for x in token]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *token])), batch.column(1).take(own), batch.column(2).take(own)], names=["token", "key", "copies"])
+
+
+@common.lean
+def _suspects(batches: Iterator[pa.RecordBatch], leaders: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """The classes whose sketches meet a leader's, from sketch and other columns."""
+    token = Leaders(leaders).token
+    for batch in batches:
+        met = [bool(K.isin_sorted(np.frombuffer(x, K.U) >> K.U(16), token).any()) for x in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays(batch.columns[1:], names=batch.schema.names[1:]).filter(pa.array(met, pa.bool_()))
+
+
+@common.lean
+def _crowded(batches: Iterator[pa.RecordBatch], leaders: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """From text, key and copies: the sets that are in a crowd."""
+    led = Leaders(leaders)
+    for whole in batches:
+        for batch in K.pieces(whole, 0, 1 << 20):
+            sets = _sets(batch.column(0))
+            crowd = led.crowds(sets)
+            same = np.array(set_keys(sets), np.int64) == batch.column(1).to_numpy()  # else another text under the same doc_id
+            at = np.flatnonzero((crowd > 0) & same)
+            own = [sets[i] for i in at.tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(crowd[at].astype(np.int64)), batch.column(1).take(pa.array(at)), batch.column(2).take(pa.array(at)), pa.array([len(s) for s in own], pa.int64()), pa.array([packed(s) for s in own], pa.binary())],
+                names=["crowd", "key", "copies", "n", "tokens"],
+            )
+
+
+@common.lean
+def _dealt(batches: Iterator[pa.RecordBatch], blocks: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    """The sets of crowds to each cell of the crowd's grid that needs them; a crowd of one has no cell."""
+    for batch in batches:
+        crowd = batch.column(0).to_numpy()
+        n = np.array([blocks.get(c, 0) for c in crowd.tolist()], np.int64)
+        block = (K.mix(batch.column(1).to_numpy().view(K.U)) % np.maximum(n, 1).astype(K.U)).astype(np.int64)
+        for x in range(int(n.max(initial=0))):
+            at = np.flatnonzero(n > x)
+            cell = (crowd[at] << 40) | (np.minimum(block[at], x) << 20) | np.maximum(block[at], x)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(block[at])] + [c.take(pa.array(at)) for c in batch.columns[1:]], names=["cell", "block", "key", "copies", "n", "tokens"])
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each set on the left shares with each on the right.
+
+    Tokens of many sets are columns of a matrix product; the pairs of the others are counted one by one.
+    """
+
+    def listed(sets: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        token, row = np.concatenate([np.zeros(0, K.U), *sets]), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(token, kind="stable")
+        return row[order], *np.unique(token[order], return_index=True, return_counts=True)
+
+    def ones(row: np.ndarray, at: np.ndarray, many: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros((n, len(at)), np.float32)
+        out[row[np.repeat(at - np.cumsum(many) + many, many) + np.arange(many.sum())], np.repeat(np.arange(len(at)), many)] = 1
+        return out
+
+    (row_a, a, at_a, many_a), (row_b, b, at_b, many_b) = listed(left), listed(right)
+    _, x, y = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    at_a, many_a, at_b, many_b = at_a[x], many_a[x], at_b[y], many_b[y]
+    out, pairs = np.zeros((len(left), len(right)), np.float32), many_a * many_b
+    wide = 256 * pairs > len(left) * len(right)
+    columns = np.flatnonzero(wide)
+    for k in range(0, len(columns), 512):
+        c = columns[k : k + 512]
+        out += ones(row_a, at_a[c], many_a[c], len(left)) @ ones(row_b, at_b[c], many_b[c], len(right)).T
+    rest = np.flatnonzero(~wide)
+    part = np.cumsum(pairs[rest]) // PAIRS
+    for k in np.unique(part):
+        c = rest[part == k]
+        p = pairs[c]
+        within, width = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p), np.repeat(many_b[c], p)
+        i, j = row_a[np.repeat(at_a[c], p) + within // width], row_b[np.repeat(at_b[c], p) + within % width]
+        np.add.at(out.ravel(), i * len(right) + j, np.float32(1))
+    return out
+
+
+def _counted(key: tuple[pa.Scalar, ...], table: pa.Table, percent: int) -> pa.Table:
+    """Link counts and a spanning forest of one cell of a crowd's grid."""
+    cell = key[0].as_py()
+    block, keys, copies = (table[c].to_numpy() for c in ("block", "key", "copies"))
+    sets = [unpacked(x) for x in table["tokens"].to_pylist()]
+    a, b = (np.flatnonzero(block == (cell >> by & (1 << 20) - 1)) for by in (20, 0))
+    n = np.array([len(s) for s in sets], np.int64)
+    shared = overlaps([sets[i] for i in a.tolist()], [sets[i] for i in b.tolist()]) if len(a) and len(b) else np.zeros((len(a), len(b)), np.float32)
+    linked = shared >= _least(n[a][:, None], n[b][None, :], percent)
+    if cell >> 20 & (1 << 20) - 1 == cell & (1 << 20) - 1:
+        linked = np.triu(linked, 1)
+    i, j = np.nonzero(linked)
+    i, j = a[i], b[j]
+    degree = np.bincount(i, copies[j], len(keys)) + np.bincount(j, copies[i], len(keys))
+    root = spanning(i, j, len(keys))
+    own = np.flatnonzero(degree > 0)
+    return pa.table([pa.array(x, pa.int64()) for x in (keys[own], degree[own].astype(np.int64), keys[root[own]])], names=["key", "links", "root"])
+
+
+def _leaders(classes: DataFrame, texts: DataFrame) -> list[bytes]:
+    """The packed sets of the leaders, those of the most crowded shingles first."""
+    spark = classes.sparkSession
+    tokens = classes.select("sketch", "key", "copies").mapInArrow(_sketches, "token long, key long, copies long")
+    hot = tokens.groupBy("token").agg(F.count("*").alias("many"), F.max(F.struct("copies", "key")).alias("of")).where(F.col("many") >= CROWD)
+    led = hot.groupBy(F.col("of.key").alias("key")).agg(F.max("many").alias("many")).join(classes.select("key", "n"), "key")
+    rows = led.orderBy(F.desc("many"), "key").limit(MOST_LEADERS).select("key", "n").toArrow()
+    keys = rows["key"].to_numpy()[np.cumsum(rows["n"].to_numpy()) * 6 <= LEADER_BYTES]
+    if not len(keys):
+        return []
+    side = F.broadcast(classes.join(F.broadcast(spark.createDataFrame(pa.table({"key": keys}))), "key").select("first", "key", F.lit(1).cast("long").alias("copies"), F.array(F.lit(0).cast("long")).alias("cells")))
+    found = texts.join(side, texts["doc_id"].eqNullSafe(side["first"])).select("text", "key", "copies", "cells").mapInArrow(_members, "cell long, key long, copies long, n long, tokens binary")
+    of = {r.key: bytes(r.tokens) for r in found.select("key", "tokens").dropDuplicates(["key"]).collect()}
+    return [of[k] for k in keys.tolist() if k in of]
+
+
+def _crowd_links(classes: DataFrame, texts: DataFrame, leaders: list[bytes], folder: str, percent: int) -> DataFrame:
+    """key, links, root of the pairs inside crowds."""
+    suspects = common.stored(classes.select("sketch", "first", "key", "copies").mapInArrow(partial(_suspects, leaders=leaders), classes.select("first", "key", "copies").schema), folder, "suspects")
+    side = F.broadcast(suspects) if suspects.count() * 64 <= common.BROADCAST_BYTES else suspects
+    found = texts.join(side, texts["doc_id"].eqNullSafe(side["first"])).select("text", "key", "copies").mapInArrow(partial(_crowded, leaders=leaders), "crowd long, key long, copies long, n long, tokens binary")
+    crowds = common.stored(found.dropDuplicates(["key"]), folder, "crowds")
+    sizes = crowds.groupBy("crowd").agg(F.count("*").alias("sets"), F.sum(F.length("tokens")).alias("bytes")).where("sets > 1").collect()
+    blocks = {r.crowd: max(-(-r.sets // BLOCK_SETS), -(-r.bytes // CELL_BYTES)) for r in sizes}
+    n = max(common.groups(crowds.sparkSession, sum(r.bytes * blocks[r.crowd] for r in sizes)), min(4096, sum(b * (b + 1) // 2 for b in blocks.values() if b > 1)))
+    dealt = crowds.mapInArrow(partial(_dealt, blocks=blocks), "cell long, block long, key long, copies long, n long, tokens binary")
+    return dealt.repartition(n, "cell").groupBy("cell").applyInArrow(common.grouped(_counted, percent=percent), "key long, links long, root long")
+
+
 @common.lean
 def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(batches, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
@@ -541,13 +720,14 @@ def classified(docs: DataFrame, percent: int = 70) -> tuple[DataFrame, DataFrame
     folder = common.work_folder(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    profile = common.stored(texts.mapInArrow(_profile, f"kind int, doc_id {kind}, n long, key long, bits binary"), folder, "profile")
+    profile = common.stored(texts.mapInArrow(_profile, f"kind int, doc_id {kind}, n long, key long, bits binary, sketch binary"), folder, "profile")
     sets = profile.where("kind = 0").select("doc_id", "n", "key")
-    classes = profile.where("kind = 0 AND n > 0").groupBy("key").agg(F.first("n").alias("n"), F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("bits").alias("bits"))
+    classes = profile.where("kind = 0 AND n > 0").groupBy("key").agg(F.first("n").alias("n"), F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("bits").alias("bits"), F.first("sketch").alias("sketch"))
     classes = common.stored(classes, folder, "classes")
-    # a posting has 24 bytes
-    parts = common.groups(spark, classes.agg(F.coalesce(F.sum(24 * (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)), F.lit(0))).first()[0], 12 << 20)
-    postings = texts.select("text").mapInArrow(partial(_postings, parts=parts, levels=_levels(profile), percent=percent), "part int, t binary, k binary, n binary, place binary")
+    leaders = _leaders(classes, texts)
+    # a posting has 26 bytes
+    parts = common.groups(spark, classes.agg(F.coalesce(F.sum(26 * (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)), F.lit(0))).first()[0], 12 << 20)
+    postings = texts.select("text").mapInArrow(partial(_postings, parts=parts, levels=_levels(profile), percent=percent, leaders=leaders), "part int, t binary, k binary, n binary, place binary, crowd binary")
     blocks, splits = _grid(classes.select("key", F.length("bits").alias("size")))
     found = postings.repartitionById(parts, F.col("part")).mapInArrow(partial(_candidates, blocks=blocks, splits=splits, percent=percent), PAIR_TYPE)
     pairs = common.stored(found, folder, "pairs")
@@ -570,6 +750,8 @@ def classified(docs: DataFrame, percent: int = 70) -> tuple[DataFrame, DataFrame
     n = common.groups(spark, size)
     both = linked.repartition(n, "cell").groupBy("cell").cogroup(members.repartition(n, "cell").groupBy("cell"))
     links = common.stored(both.applyInArrow(common.cogrouped(_verify, percent=percent), "key long, links long, root long"), folder, "links")
+    if leaders:
+        links = links.union(common.stored(_crowd_links(classes, texts, leaders, folder, percent), folder, "crowd-links"))
 
     labels = components(links.select(F.col("key").alias("a"), F.col("root").alias("b")), folder)
     grouped = links.groupBy("key").agg(F.sum("links").alias("links")).join(labels.withColumnRenamed("node", "key"), "key", "left")

@@ -3,7 +3,7 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +90,43 @@ def test_pruning_spares_pairs_and_loses_none():
     assert every <= kept and keep.sum() < len(a) / 2
 
 
+def test_crowds_of_near_copies_make_no_candidates(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = []
+    for name in "pqr":  # two of them share half of their words
+        base = [f"{'p' if name == 'q' and i < 30 else name}{i}" for i in range(60)]
+        for _ in range(70):
+            new = list(base)
+            for i in rng.sample(range(60), rng.choice([0, 1, 1, 2, 3, 5, 8])):
+                new[i] = f"x{rng.getrandbits(40)}"
+            texts.append(" ".join(new))
+    texts += [" ".join(f"y{rng.getrandbits(40)}" for _ in range(30)) for _ in range(20)] + texts[:5] + ["", "p0", None]
+    for name, value in (("CROWD", 16), ("BLOCK_SETS", 20), ("PAIRS", 500)):
+        monkeypatch.setattr(ngram_join, name, value)
+    made = []
+    counted = ngram_join._crowd_links
+    monkeypatch.setattr(ngram_join, "_crowd_links", lambda *args: made.append(counted(*args)) or made[-1])
+    got = {r.doc_id: (r.n_shingles, r.n_similar, r.component_id) for r in ngram_join.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [{tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if (w := (t or "").split()) else set() for t in texts]
+    links = [(i, j) for i, s in enumerate(sets) for j, t in enumerate(sets) if i != j and s and 100 * len(s & t) >= 70 * len(s | t)]
+    label = ngram_join.spanning(*np.array(links).T, len(sets)).tolist()
+    degree = Counter(i for i, _ in links)
+    assert got == {i: (len(s), degree[i], label[i]) for i, s in enumerate(sets)}
+    assert made and made[0].agg(F.sum("links")).first()[0] > 0.5 * len(links)
+    # a tree makes no pair of one crowd, and every one of two
+    t, k, n, place = np.full(300, 7, kernels.U), np.arange(300), np.full(300, 50, np.uint32), np.zeros(300, np.uint32)
+    for crowd, pairs in ((np.ones(300, np.uint16), 0), (np.repeat([1, 2, 0], [150, 140, 10]).astype(np.uint16), 150 * 140 + 10 * 290 + 45)):
+        assert len(ngram_join.candidates(t, k, n, place, 70, crowd=crowd)[2]) == pairs
+
+
+def test_overlaps():
+    rng = np.random.default_rng(2)
+    left, right = ([np.unique(rng.zipf(1.3, rng.integers(0, 80)).astype(kernels.U)) for _ in range(n)] for n in (50, 30))
+    want = [[len(np.intersect1d(s, t)) for t in right] for s in left]
+    assert ngram_join.overlaps(left, right).tolist() == want
+    assert ngram_join.overlaps(left, left[:1]).shape == (50, 1)
+
+
 def test_one_of_each(spark):
     base = "one two three four five six seven eight nine ten eleven twelve"
     rows = [(5, base), (3, base + " more"), (None, base), (3, base), (3, base), (9, "other words stand here"), (9, "other words stand here"), (None, "only null ids"), (None, "only null ids"), (1, None), (1, None), (2, "")]
